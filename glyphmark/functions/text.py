@@ -50,4 +50,5 @@ def abstains(text: Column, marker: str = "<<NOTEXT>>") -> Column:
 
 
 def percent(x: Column, missing: str = "—") -> Column:
-    return F.when(x.isNull(), missing).otherwise(F.format_string("%.2f%%", x * 100))
+    """Two decimals, half to even; the formatter by itself rounds half up."""
+    return F.when(x.isNull(), missing).otherwise(F.format_string("%.2f%%", F.rint(x * 100 * 100) / 100))

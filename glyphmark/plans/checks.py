@@ -1 +1,162 @@
-"""Queries."""
+"""Queries of validation, reconciliation and integrity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from glyphmark.operators import constraints
+from glyphmark.plans import fixtures as fx
+from glyphmark.plans.registry import register
+
+WITH = "WITH " + fx.SQL
+RAW_SQL = """raw AS (SELECT ps || '' AS row_key, CASE WHEN p % 31 = 0 THEN '' ELSE 'i' || p END AS image_id, 's' AS series_uid, 'CT' AS modality, CASE WHEN p % 37 = 0 THEN '' ELSE 'v' END AS vendor, 'a' AS stratum,
+ CASE p % 7 WHEN 0 THEN '03' WHEN 1 THEN '-4' WHEN 2 THEN '+3' ELSE CAST(p AS VARCHAR) END AS frame_idx, 't' AS token_text,
+ CASE p % 11 WHEN 0 THEN 'x' WHEN 1 THEN 'inf' WHEN 2 THEN '-2' ELSE '10' END AS x0, '5' AS y0, CASE p % 5 WHEN 0 THEN '7' WHEN 1 THEN '900' ELSE '50' END AS x1, '20.5' AS y1, CASE WHEN p % 13 = 0 THEN 'phi' ELSE 'KEEP' END AS label,
+ CASE WHEN p % 17 <> 0 THEN 800 END AS w, CASE WHEN p % 17 <> 0 THEN 600 END AS h FROM (SELECT p_partkey AS ps, p_partkey AS p FROM part)),
+cc AS (SELECT *, x0 IN ('x') AS bad, x0 = 'inf' AS inf, x0 = '-2' AS neg FROM raw),
+viol AS (SELECT row_key, 'FIELD_EMPTY' AS code, 'image_id' AS "column" FROM cc WHERE image_id = '' UNION ALL SELECT row_key, 'FIELD_EMPTY', 'vendor' FROM cc WHERE vendor = ''
+ UNION ALL SELECT row_key, 'LABEL_INVALID', 'label' FROM cc WHERE label = 'phi' UNION ALL SELECT row_key, CASE WHEN frame_idx = '-4' THEN 'FRAME_NEGATIVE' ELSE 'FRAME_NOT_INT' END, 'frame_idx' FROM cc WHERE frame_idx IN ('03', '-4', '+3')
+ UNION ALL SELECT row_key, CASE WHEN bad THEN 'COORD_NOT_NUMBER' WHEN inf THEN 'COORD_NOT_FINITE' ELSE 'COORD_NEGATIVE' END, 'x0' FROM cc WHERE bad OR inf OR neg
+ UNION ALL SELECT row_key, 'BOX_ORDER_X', 'x1' FROM cc WHERE x0 = '10' AND x1 = '7' UNION ALL SELECT row_key, 'SIZE_UNKNOWN', 'image_id' FROM cc WHERE w IS NULL UNION ALL SELECT row_key, 'BOX_OUTSIDE_X', 'x1' FROM cc WHERE x0 = '10' AND x1 = '900' AND w IS NOT NULL)"""
+
+
+def _violations(spark, d):
+    p = F.col("p_partkey")
+    pick = lambda n, other, *some: F.coalesce(F.get(F.array(*[F.lit(s) for s in some]), (p % n).cast("int")), other)
+    size = lambda v: F.when(p % 17 != 0, v)
+    rows = fx.read(spark, d, "part").select(
+        p.cast("string").alias("row_key"), F.when(p % 31 == 0, "").otherwise(F.concat(F.lit("i"), p.cast("string"))).alias("image_id"), F.lit("s").alias("series_uid"), F.lit("CT").alias("modality"), F.when(p % 37 == 0, "").otherwise("v").alias("vendor"), F.lit("a").alias("stratum"),
+        pick(7, p.cast("string"), "03", "-4", "+3").alias("frame_idx"), F.lit("t").alias("token_text"), pick(11, F.lit("10"), "x", "inf", "-2").alias("x0"), F.lit("5").alias("y0"), pick(5, F.lit("50"), "7", "900").alias("x1"), F.lit("20.5").alias("y1"),
+        F.when(p % 13 == 0, "phi").otherwise("KEEP").alias("label"), size(800).alias("w"), size(600).alias("h"),
+    )
+    return constraints.violations(rows, "row_key")
+
+
+@register("validate_rows", f"WITH {RAW_SQL} SELECT * FROM viol")
+def validate_rows(spark, d):
+    return _violations(spark, d)
+
+
+@register("validate_frame_idx", f"WITH {RAW_SQL} SELECT row_key, code FROM viol WHERE \"column\" = 'frame_idx'")
+def validate_frame_idx(spark, d):
+    return _violations(spark, d).where("column = 'frame_idx'").select("row_key", "code")
+
+
+@register("validate_coords", f"WITH {RAW_SQL} SELECT row_key, code FROM viol WHERE code LIKE 'COORD%'")
+def validate_coords(spark, d):
+    return _violations(spark, d).where("code LIKE 'COORD%'").select("row_key", "code")
+
+
+@register("validate_bounds", f"WITH {RAW_SQL} SELECT row_key, code FROM viol WHERE code LIKE 'BOX%' OR code = 'SIZE_UNKNOWN'")
+def validate_bounds(spark, d):
+    return _violations(spark, d).where("code LIKE 'BOX%' OR code = 'SIZE_UNKNOWN'").select("row_key", "code")
+
+
+@register("violations_by_code", f"WITH {RAW_SQL} SELECT code, count(*) AS n, array_to_string(list_sort(list(DISTINCT row_key))[1:10], ',') AS first, greatest(0, count(*) - 10) AS more FROM viol GROUP BY code")
+def violations_by_code(spark, d):
+    return constraints.by_code(_violations(spark, d), "row_key").withColumn("first", F.array_join("first", ","))
+
+
+@register("manifest_violations", "WITH m AS (SELECT CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE 'u' || o_orderkey // 2 END AS uid, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'CT' END AS modality, CASE WHEN o_orderkey % 29 = 0 THEN '1.5' ELSE '3' END AS frame FROM orders) SELECT 'KEY_BLANK' AS code, count(*) FILTER (WHERE trim(uid) = '') AS n FROM m UNION ALL SELECT 'MODALITY_BLANK', count(*) FILTER (WHERE modality = '') FROM m UNION ALL SELECT 'FRAME_NOT_INTEGRAL', count(*) FILTER (WHERE frame = '1.5') FROM m UNION ALL SELECT 'KEY_DUPLICATE', count(*) FROM (SELECT uid FROM m WHERE trim(uid) <> '' GROUP BY uid HAVING count(*) > 1)")
+def manifest_violations(spark, d):
+    k = F.col("o_orderkey")
+    m = fx.read(spark, d, "orders").select(F.when(k % 19 == 0, " ").otherwise(F.concat(F.lit("u"), F.expr("cast(o_orderkey div 2 as string)"))).alias("uid"), F.when(k % 23 == 0, "").otherwise("CT").alias("modality"), F.when(k % 29 == 0, "1.5").otherwise("3").alias("frame"))
+    v = F.col("frame").try_cast("double")
+    one = m.agg(F.count_if(F.trim("uid") == "").alias("KEY_BLANK"), F.count_if(F.trim("modality") == "").alias("MODALITY_BLANK"), F.count_if(v.isNull() | (v != F.floor(v))).alias("FRAME_NOT_INTEGRAL"))
+    twice = m.where(F.trim("uid") != "").groupBy("uid").count().where("count > 1").agg(F.lit("KEY_DUPLICATE").alias("code"), F.count("*").alias("n"))
+    return one.unpivot([], ["KEY_BLANK", "MODALITY_BLANK", "FRAME_NOT_INTEGRAL"], "code", "n").unionByName(twice)
+
+
+@register("identity_violations", "WITH s AS (SELECT o_custkey % 100 AS run_id, CASE WHEN o_custkey % 100 = 7 AND o_orderkey % 3 = 0 THEN '  ' ELSE 'm' END AS model_name, CASE WHEN o_custkey % 100 = 9 AND o_orderkey % 2 = 0 THEN 'v2' ELSE 'v1' END AS version FROM orders) SELECT run_id, count(*) FILTER (WHERE trim(model_name) = '') AS blanks, count(DISTINCT (model_name, version)) AS identities, CASE WHEN count(*) FILTER (WHERE trim(model_name) = '') > 0 THEN 'BLANK_IDENTITY' ELSE 'MIXED_IDENTITY' END AS code FROM s GROUP BY run_id HAVING count(*) FILTER (WHERE trim(model_name) = '') > 0 OR count(DISTINCT (model_name, version)) > 1")
+def identity_violations(spark, d):
+    run = F.col("o_custkey") % 100
+    s = fx.read(spark, d, "orders").select(run.alias("run_id"), F.when((run == 7) & (F.col("o_orderkey") % 3 == 0), "  ").otherwise("m").alias("model_name"), F.when((run == 9) & (F.col("o_orderkey") % 2 == 0), "v2").otherwise("v1").alias("version"), F.lit("c").alias("config_id"), F.lit("h").alias("config_hash"), F.lit(None).cast("double").alias("verifier_elapsed"), F.lit(None).cast("string").alias("verifier_model"), F.lit(None).cast("string").alias("verifier_version"))
+    return constraints.identity_violations(s)
+
+
+@register("completeness_gate", WITH + ", s AS (SELECT image_id FROM images WHERE image_id % 8 <> 0), r AS (SELECT image_id, CASE WHEN image_id % 9 = 0 THEN 'deferred' ELSE 'accepted' END AS state FROM images WHERE image_id % 12 <> 5) SELECT coalesce(s.image_id, r.image_id) AS image_id, CASE WHEN r.image_id IS NULL THEN 'MISSING' WHEN s.image_id IS NULL THEN 'ORPHAN' ELSE 'DEFERRED' END AS code FROM s FULL JOIN r ON s.image_id = r.image_id WHERE r.image_id IS NULL OR s.image_id IS NULL OR state = 'deferred'")
+def completeness_gate(spark, d):
+    im = fx.images(spark, d).select("image_id")
+    s = im.where("image_id % 8 <> 0").withColumn("scored", F.lit(True))
+    r = im.where("image_id % 12 <> 5").withColumn("state", F.when(F.col("image_id") % 9 == 0, "deferred").otherwise("accepted"))
+    code = F.when(F.col("state").isNull(), "MISSING").when(F.col("scored").isNull(), "ORPHAN").when(F.col("state") == "deferred", "DEFERRED")
+    return s.join(r, "image_id", "full_outer").select("image_id", code.alias("code")).where("code IS NOT NULL")
+
+
+@register("preflight_sweep", WITH + ", m AS (SELECT image_id, sha256(image_id || '') AS s FROM images WHERE image_id % 11 <> 0), f AS (SELECT image_id, sha256(CASE WHEN image_id % 10 = 0 THEN 'x' ELSE image_id || '' END) AS s FROM images WHERE image_id % 14 <> 0) SELECT coalesce(m.image_id, f.image_id) AS image_id, CASE WHEN f.image_id IS NULL THEN 'FILE_MISSING' WHEN m.image_id IS NULL THEN 'FILE_ORPHAN' ELSE 'HASH_DIFFERS' END AS code FROM m FULL JOIN f USING (image_id) WHERE f.image_id IS NULL OR m.image_id IS NULL OR m.s <> f.s")
+def preflight_sweep(spark, d):
+    im, k = fx.images(spark, d).select("image_id"), F.col("image_id").cast("string")
+    m = im.where("image_id % 11 <> 0").withColumn("a", F.sha2(k, 256))
+    f = im.where("image_id % 14 <> 0").withColumn("b", F.sha2(F.when(F.col("image_id") % 10 == 0, "x").otherwise(k), 256))
+    code = F.when(F.col("b").isNull(), "FILE_MISSING").when(F.col("a").isNull(), "FILE_ORPHAN").when(F.expr("a <> b"), "HASH_DIFFERS")
+    return m.join(f, "image_id", "full_outer").select("image_id", code.alias("code")).where("code IS NOT NULL")
+
+
+@register("provenance_drift", WITH + " SELECT image_id FROM images WHERE image_id % 6 = 0 OR image_id % 10 = 1")
+def provenance_drift(spark, d):
+    im, k = fx.images(spark, d).select("image_id"), F.col("image_id")
+    old = im.withColumn("old", F.when(k % 10 != 1, F.lit("engine-1")))
+    now = im.withColumn("now", F.when(k % 6 == 0, "engine-2").otherwise("engine-1"))
+    return old.join(now, "image_id").where(~F.col("old").eqNullSafe(F.col("now"))).select("image_id")
+
+
+@register("dedupe_sets", "WITH u AS (SELECT o_orderkey // 2 AS id, o_orderkey % 2 AS set_no, CASE WHEN o_orderkey % 14 = 1 THEN 'b' ELSE 'a' END AS sha FROM orders) SELECT id, min(set_no) AS set_no, count(DISTINCT sha) > 1 AS conflict FROM u GROUP BY id")
+def dedupe_sets(spark, d):
+    u = fx.read(spark, d, "orders").select(F.expr("o_orderkey div 2").alias("id"), (F.col("o_orderkey") % 2).alias("set_no"), F.when(F.col("o_orderkey") % 14 == 1, "b").otherwise("a").alias("sha"))
+    w = Window.partitionBy("id")
+    first = u.withColumns({"k": F.row_number().over(w.orderBy("set_no")), "lo": F.min("sha").over(w), "hi": F.max("sha").over(w)})
+    return first.where("k = 1").select("id", "set_no", F.expr("lo <> hi").alias("conflict"))
+
+
+@register("id_collisions", "WITH m AS (SELECT substr(md5(o_orderkey || ''), 1, 4) AS id, o_orderkey AS src FROM orders) SELECT id, count(DISTINCT src) AS n FROM m GROUP BY id HAVING count(DISTINCT src) > 1")
+def id_collisions(spark, d):
+    k = F.col("o_orderkey")
+    return fx.read(spark, d, "orders").groupBy(F.substring(F.md5(k.cast("string")), 1, 4).alias("id")).agg(F.count_distinct(k).alias("n")).where("n > 1")
+
+
+@register("backmap_fd_violations", "SELECT o_custkey AS image_id, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
+def backmap_fd_violations(spark, d):
+    return fx.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("image_id")).agg(F.count_distinct("o_orderpriority").alias("n")).where("n > 1")
+
+
+@register("blank_contradictions", WITH + " SELECT image_id FROM images WHERE image_id % 10 < 2 AND image_id IN (SELECT image_id FROM gt)")
+def blank_contradictions(spark, d):
+    return fx.images(spark, d).where("image_id % 10 < 2").select("image_id").join(fx.gt_tokens(spark, d), "image_id", "left_semi")
+
+
+@register("control_box_violations", WITH + " SELECT DISTINCT image_id FROM gt WHERE image_id % 15 = 1")
+def control_box_violations(spark, d):
+    return fx.images(spark, d).where("image_id % 15 = 1").select("image_id").join(fx.gt_tokens(spark, d).select("image_id").distinct(), "image_id")
+
+
+@register("review_record_violations", "SELECT o_orderkey AS image_id, code FROM (SELECT o_orderkey, unnest(list_concat(CASE WHEN o_orderkey % 9 = 0 THEN ['STATE_INVALID'] ELSE [] END, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 = 1 AND o_orderkey % 6 = 0 THEN [] ELSE [] END, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0 AND o_orderkey % 6 = 0 THEN ['REASON_WITHOUT_DEFER'] ELSE [] END, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 = 0 AND o_orderkey % 10 = 0 THEN ['DEFERRED_WITH_TOKENS'] ELSE [] END)) AS code FROM orders)")
+def review_record_violations(spark, d):
+    k = F.col("o_orderkey")
+    r = fx.read(spark, d, "orders").select(k.alias("image_id"), F.when(k % 9 == 0, "open").when(k % 4 == 0, "deferred").otherwise("accepted").alias("state"), F.when(k % 6 == 0, "blurred").alias("reason"), F.when(k % 10 == 0, 1).otherwise(0).alias("n_tokens"))
+    known = F.col("state").isin("accepted", "edited", "deferred")
+    rules = [F.when(~known, "STATE_INVALID"), F.when(known & (F.col("state") != "deferred") & F.col("reason").isNotNull(), "REASON_WITHOUT_DEFER"), F.when((F.col("state") == "deferred") & (F.col("n_tokens") > 0), "DEFERRED_WITH_TOKENS")]
+    return r.select("image_id", F.explode(F.array_compact(F.array(*rules))).alias("code"))
+
+
+@register("frame_disagreements", WITH + " SELECT stratum, count(*) FILTER (WHERE frame_idx <> CASE WHEN image_id % 8 = 0 THEN 0 ELSE frame_idx END) AS n FROM images GROUP BY stratum")
+def frame_disagreements(spark, d):
+    m = fx.images(spark, d)
+    r = m.select("image_id", F.when(F.col("image_id") % 8 == 0, 0).otherwise(F.col("frame_idx")).alias("rendered"))
+    return m.join(r, "image_id").groupBy("stratum").agg(F.count_if(F.expr("frame_idx <> rendered")).alias("n"))
+
+
+@register("upsert_manifest", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM part UNION ALL SELECT -s_suppkey, 'new' FROM supplier")
+def upsert_manifest(spark, d):
+    old = fx.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("old").alias("version"))
+    new = old.where("id % 3 = 0").select("id", F.lit("new").alias("version")).unionByName(fx.read(spark, d, "supplier").select((-F.col("s_suppkey")).alias("id"), F.lit("new").alias("version")))
+    return old.join(new, "id", "left_anti").unionByName(new)
+
+
+@register("density_outliers", WITH + ", t AS (SELECT stratum, count(*) / count(DISTINCT image_id) AS a FROM gt JOIN images USING (image_id) GROUP BY stratum), o AS (SELECT count(*) / count(DISTINCT image_id) AS b FROM gt) SELECT stratum, round(a / b, 9) AS ratio FROM t, o")
+def density_outliers(spark, d):
+    from glyphmark.operators.rollup import grouped
+
+    rows = fx.gt_tokens(spark, d).select("image_id").join(fx.images(spark, d).select("image_id", "stratum"), "image_id")
+    g = grouped(rows, "stratum", (F.count("*") / F.count_distinct("image_id")).alias("a"))
+    return g.where("grp <> 'ALL'").join(F.broadcast(g.where("grp = 'ALL'").select(F.col("a").alias("b"))), how="cross").select(F.col("grp").alias("stratum"), F.round(F.expr("a / b"), 9).alias("ratio"))

@@ -1 +1,273 @@
-"""Queries."""
+"""Queries of scalar functions, reading arm, manifests and seeds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glyphmark.functions import cost, geometry, text
+from glyphmark.operators import rollup
+from glyphmark.plans import fixtures as fx
+from glyphmark.plans.registry import register
+
+WITH = "WITH " + fx.SQL
+
+
+@register("normalize_text", r"SELECT doc_id, regexp_replace(nfc_normalize(text), '^[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') AS norm FROM documents")
+def normalize_text(spark, d):
+    return fx.read(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("norm"))
+
+
+@register("iou_scalar", WITH + ", p AS (SELECT a.image_id, a.g AS g1, b.g AS g2, greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM gt a JOIN gt b ON a.image_id = b.image_id AND a.g < b.g) SELECT image_id, g1, g2, CASE WHEN s - i <= 0 THEN 0 ELSE i / (s - i) END AS iou FROM p")
+def iou_scalar(spark, d):
+    gt = fx.gt_tokens(spark, d)
+    return gt.alias("a").join(gt.alias("b"), F.expr("a.image_id = b.image_id AND a.g < b.g")).select("a.image_id", F.col("a.g").alias("g1"), F.col("b.g").alias("g2"), geometry.iou("a", "b").alias("iou"))
+
+
+READS = "bm AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM benchmark), r AS (SELECT item_id, trim(substr(text, 1, 40)) AS expected, trim(CASE item_id % 5 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN 'x' || substr(text, 2, 39) WHEN 2 THEN substr(text, 1, 30) WHEN 3 THEN '' ELSE replace(substr(text, 1, 40), 'e', 'o') END) AS hyp FROM bm)"
+
+
+def _reads(spark, d):
+    t, head = F.col("text"), F.substring("text", 1, 40)
+    k = F.col("item_id") % 5
+    hyp = F.when(k == 0, head).when(k == 1, F.concat(F.lit("x"), F.substring("text", 2, 39))).when(k == 2, F.substring("text", 1, 30)).when(k == 3, "").otherwise(F.replace(head, F.lit("e"), F.lit("o")))
+    rows = fx.read(spark, d, "benchmark").where(t.isNotNull()).withColumn("text", F.regexp_replace(t, r"[^\x00-\x7F]", "?"))
+    return rows.select("item_id", F.trim(head).alias("expected"), F.trim(hyp).alias("hyp"))
+
+
+@register("cer", f"WITH {READS} SELECT item_id, levenshtein(expected, hyp) / nullif(length(expected), 0) AS cer FROM r")
+def cer(spark, d):
+    return _reads(spark, d).select("item_id", text.cer(F.col("expected"), F.col("hyp")).alias("cer"))
+
+
+WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
+
+
+@register("wer", f"WITH {READS}, v AS (SELECT item_id, {WORDS.format('expected')} AS a, {WORDS.format('hyp')} AS b FROM r), u AS (SELECT *, list_distinct(list_concat(a, b)) AS voc FROM v) SELECT item_id, levenshtein(array_to_string(list_transform(a, lambda w: chr(33 + CAST(list_position(voc, w) AS INTEGER))), ''), array_to_string(list_transform(b, lambda w: chr(33 + CAST(list_position(voc, w) AS INTEGER))), '')) / nullif(len(a), 0) AS wer FROM u")
+def wer(spark, d):
+    return _reads(spark, d).select("item_id", text.wer(F.col("expected"), F.col("hyp")).alias("wer"))
+
+
+@register("diagnostic_rollup", f"WITH {READS} SELECT item_id % 2 AS half, count(*) AS n, count(CASE WHEN hyp <> '' THEN 1 END) AS n_read, round(avg(CASE WHEN hyp <> '' THEN levenshtein(expected, hyp) / nullif(length(expected), 0) END), 9) AS cer_macro FROM r GROUP BY 1")
+def diagnostic_rollup(spark, d):
+    c = F.when(F.col("hyp") != "", text.cer(F.col("expected"), F.col("hyp")))
+    return _reads(spark, d).groupBy((F.col("item_id") % 2).alias("half")).agg(F.count("*").alias("n"), F.count(c).alias("n_read"), F.round(F.avg(c), 9).alias("cer_macro"))
+
+
+@register("bench_reader", "WITH b AS (SELECT item_id, substr(text, 1, 8) AS e, CASE item_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' || substr(text, 2, 7) ELSE substr(text, 1, 8) END AS r FROM benchmark) SELECT count(*) AS n, count(*) FILTER (WHERE trim(e) = trim(r)) AS exact, count(*) FILTER (WHERE trim(r) = '') AS empty, count(*) FILTER (WHERE trim(r) <> '' AND trim(e) <> trim(r)) AS misread, count(*) FILTER (WHERE length(e) = 8) AS n8 FROM b")
+def bench_reader(spark, d):
+    e, k = F.substring("text", 1, 8), F.col("item_id") % 5
+    b = fx.read(spark, d, "benchmark").select(text.normalize(e).alias("e"), text.normalize(F.when(k == 0, "").when(k == 1, F.concat(F.lit("x"), F.substring("text", 2, 7))).otherwise(e)).alias("r"), (F.length(e) == 8).alias("eight"))
+    return b.agg(F.count("*").alias("n"), F.count_if(F.expr("e = r")).alias("exact"), F.count_if(F.expr("r = ''")).alias("empty"), F.count_if(F.expr("r <> '' AND e <> r")).alias("misread"), F.count_if("eight").alias("n8"))
+
+
+@register("image_id_hash", "SELECT o_orderkey, substr(sha256('s' || o_orderkey || '|' || o_orderkey % 60), 1, 8) AS hashed FROM orders")
+def image_id_hash(spark, d):
+    k = F.col("o_orderkey")
+    return fx.read(spark, d, "orders").select("o_orderkey", F.substring(F.sha2(F.concat_ws("|", F.concat(F.lit("s"), k.cast("string")), (k % 60).cast("string")), 256), 1, 8).alias("hashed"))
+
+
+SIZES = "z AS (SELECT p_partkey, 100 + p_partkey % 1500 AS w, 100 + p_partkey * 7 % 1100 AS h FROM part)"
+
+
+@register("cost_estimate", f"WITH {SIZES}, x AS (SELECT *, unnest(['claude', 'gpt4o', 'gemini', 'cloud', 'self_hosted']) AS rule FROM z) SELECT p_partkey, rule, CAST(CASE rule WHEN 'claude' THEN ceil(w * h / 750.0) WHEN 'gpt4o' THEN 85 + 170 * ceil(w / 512.0) * ceil(h / 512.0) WHEN 'gemini' THEN 45 + 258 * CASE WHEN w <= 384 AND h <= 384 THEN 1 ELSE ceil(w / 768.0) * ceil(h / 768.0) END WHEN 'cloud' THEN 1 ELSE 0 END AS BIGINT) AS units FROM x")
+def cost_estimate(spark, d):
+    z = fx.read(spark, d, "part").select("p_partkey", (100 + F.col("p_partkey") % 1500).alias("w"), (100 + F.col("p_partkey") * 7 % 1100).alias("h"), F.explode(F.array(*[F.lit(r) for r in cost.PRICES])).alias("rule"))
+    return z.select("p_partkey", "rule", cost.units(F.col("rule"), F.col("w"), F.col("h")).alias("units"))
+
+
+@register("cost_rollup", WITH + " SELECT stratum, count(*) AS n, CAST(round(sum(ceil(w * h / 750.0) * (5.0 / 1000000)), 6) AS DOUBLE) AS cost_total FROM images GROUP BY stratum")
+def cost_rollup(spark, d):
+    return fx.images(spark, d).groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.sum(cost.dollars(F.lit("claude"), F.col("w"), F.col("h"))), 6).alias("cost_total"))
+
+
+@register("usage_cost", "SELECT c_mktsegment AS grp, CAST(sum(c_custkey) AS BIGINT) AS input_tokens, CAST(sum(c_nationkey) AS BIGINT) AS output_tokens, round(sum(c_custkey) * 1.25 / 1000000 + sum(c_nationkey) * 10.0 / 1000000, 9) AS usd FROM customer GROUP BY 1")
+def usage_cost(spark, d):
+    out = fx.read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.sum("c_custkey").cast("long").alias("input_tokens"), F.sum("c_nationkey").cast("long").alias("output_tokens"))
+    return out.withColumn("usd", F.round(F.col("input_tokens") * 1.25 / 1_000_000 + F.col("output_tokens") * 10.0 / 1_000_000, 9))
+
+
+CROP = "cp AS (SELECT *, CAST(greatest(floor(x0 - (y1 - y0) * 0.1), 0) AS BIGINT) AS cx0, CAST(greatest(floor(y0 - (y1 - y0) * 0.1), 0) AS BIGINT) AS cy0 FROM gt), cr AS (SELECT *, greatest(CAST(least(ceil(x1 + (y1 - y0) * 0.1), 1024) AS BIGINT), cx0 + 1) AS cx1, greatest(CAST(least(ceil(y1 + (y1 - y0) * 0.1), 768) AS BIGINT), cy0 + 1) AS cy1 FROM cp), crop AS (SELECT *, greatest(1, CAST(round_even((cx1 - cx0) * 48.0 / (cy1 - cy0), 0) AS BIGINT)) AS cw FROM cr)"
+
+
+def _crops(spark, d):
+    gt = fx.gt_tokens(spark, d)
+    return gt.withColumns(geometry.crop(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], F.lit(1024), F.lit(768)))
+
+
+@register("crop_geometry", WITH + f", {CROP} SELECT image_id, g, cx0 AS crop_x0, cy0 AS crop_y0, cx1 AS crop_x1, cy1 AS crop_y1, cw AS crop_width FROM crop")
+def crop_geometry(spark, d):
+    return _crops(spark, d).select("image_id", "g", "crop_x0", "crop_y0", "crop_x1", "crop_y1", "crop_width")
+
+
+@register("crop_cost", WITH + f", {CROP} SELECT image_id, CAST(sum(ceil(cw * 48 / 750.0)) AS BIGINT) AS tokens FROM crop GROUP BY image_id")
+def crop_cost(spark, d):
+    return _crops(spark, d).groupBy("image_id").agg(F.sum(cost.units(F.lit("claude"), F.col("crop_width"), F.lit(48))).alias("tokens"))
+
+
+@register("quad_to_bbox", WITH + " SELECT image_id, g, greatest(0, least(x0 - 30, 1024)) AS x0, greatest(0, least(y0, 768)) AS y0, greatest(0, least(x1 + 5, 1024)) AS x1, greatest(0, least(y1 + 3, 768)) AS y1 FROM gt")
+def quad_to_bbox(spark, d):
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    quad = F.array(corner(x0 - 30, y0 + 2), corner(x1, y0), corner(x1 + 5, y1), corner(x0, y1 + 3))
+    return fx.gt_tokens(spark, d).select("image_id", "g", geometry.quad_box(quad, F.lit(1024), F.lit(768)).alias("b")).select("image_id", "g", "b.*")
+
+
+@register("abstention_flag", "SELECT item_id, item_id % 5 IN (0, 1, 2) AS abstains FROM benchmark")
+def abstention_flag(spark, d):
+    k = F.col("item_id") % 5
+    said = F.when(k == 0, "<<NOTEXT>>").when(k == 1, " << notext >>. ").when(k == 2, "`<<NoText>>`").when(k == 3, F.concat(F.lit("<<NOTEXT>> "), F.col("text"))).otherwise(F.col("text"))
+    return fx.read(spark, d, "benchmark").select("item_id", text.abstains(said).alias("abstains"))
+
+
+@register("fmt_rate", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '—' ELSE format('{:.2f}%', 100 * ((p_partkey % 64) / 64.0)) END AS rate FROM part")
+def fmt_rate(spark, d):
+    k = F.col("p_partkey")
+    return fx.read(spark, d, "part").select("p_partkey", text.percent(F.when(k % 10 != 0, k % 64 / 64.0)).alias("rate"))
+
+
+@register("config_label", "SELECT p_partkey, split_part(a, ':', 1) AS engine, split_part(a, ':', 2) AS variant, CASE WHEN p_partkey % 3 = 0 THEN 'stock' WHEN p_partkey % 3 = 1 THEN 'thr0.2' ELSE 'tuned' END AS config_id FROM (SELECT p_partkey, 'e' || p_partkey % 4 || ':' || CASE WHEN p_partkey % 2 = 0 THEN 'stock' ELSE 'tuned' END AS a FROM part)")
+def config_label(spark, d):
+    k = F.col("p_partkey")
+    arm = F.concat(F.lit("e"), (k % 4).cast("string"), F.when(k % 2 == 0, ":stock").otherwise(":tuned"))
+    knob = F.when(k % 3 == 0, 0.7).when(k % 3 == 1, 0.2).otherwise(0.5)
+    return fx.read(spark, d, "part").select("p_partkey", F.split_part(arm, F.lit(":"), F.lit(1)).alias("engine"), F.split_part(arm, F.lit(":"), F.lit(2)).alias("variant"), F.when(knob == 0.7, "stock").when(knob == 0.2, "thr0.2").otherwise("tuned").alias("config_id"))
+
+
+@register("manifest_project", "SELECT sha256('s' || o_orderkey) AS series_uid, o_orderpriority AS modality, c_mktsegment AS stratum, n_name AS vendor, CAST(o_orderkey % 60 AS INTEGER) AS frame_idx FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def manifest_project(spark, d):
+    return fx.images(spark, d).select(F.sha2(F.concat(F.lit("s"), F.col("image_id").cast("string")), 256).alias("series_uid"), "modality", "stratum", "vendor", "frame_idx")
+
+
+@register("manifest_counts", WITH + " SELECT 'modality' AS field, modality AS value, count(*) AS n FROM images GROUP BY 2 UNION ALL SELECT 'stratum', stratum, count(*) FROM images GROUP BY 2 UNION ALL SELECT 'vendor', vendor, count(*) FROM images GROUP BY 2 UNION ALL SELECT 'blank', 'candidate', count(*) FROM images WHERE image_id % 5 = 0")
+def manifest_counts(spark, d):
+    im = fx.images(spark, d).withColumn("blank", F.when(F.col("image_id") % 5 == 0, "candidate"))
+    return im.unpivot([], ["modality", "stratum", "vendor", "blank"], "field", "value").where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+@register("frame_idx_summary", WITH + " SELECT coalesce(min(frame_idx), 0) AS lo, coalesce(max(frame_idx), 0) AS hi, coalesce(median(frame_idx), 0) AS mid, round(coalesce(avg(frame_idx), 0), 9) AS mean FROM images")
+def frame_idx_summary(spark, d):
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return fx.images(spark, d).agg(z(F.min("frame_idx")).alias("lo"), z(F.max("frame_idx")).alias("hi"), z(F.median("frame_idx")).alias("mid"), F.round(z(F.avg("frame_idx")), 9).alias("mean"))
+
+
+@register("blank_ids", WITH + " SELECT image_id FROM images WHERE image_id % 5 = 0")
+def blank_ids(spark, d):
+    presence = fx.images(spark, d).select("image_id", F.when(F.col("image_id") % 5 == 0, " 0 ").otherwise("1").alias("has_text"))
+    return presence.where(text.strip(F.col("has_text")) == "0").select("image_id")
+
+
+@register("gt_geometry", WITH + " SELECT coalesce(stratum, 'ALL') AS grp, median(q + 4) AS median_height, count(*) AS n FROM (SELECT stratum, gt.part % 20 AS q FROM gt JOIN images USING (image_id)) GROUP BY GROUPING SETS ((stratum), ())")
+def gt_geometry(spark, d):
+    rows = fx.gt_tokens(spark, d).select("image_id", (F.col("part") % 20 + 4).alias("height")).join(fx.images(spark, d).select("image_id", "stratum"), "image_id")
+    return rollup.grouped(rows, "stratum", F.median("height").alias("median_height"), F.count("*").alias("n"))
+
+
+ANCHOR_SQL = "(VALUES " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(geometry.ANCHORS[:4])) + ") AS a(box_no, fx, fy)"
+
+
+@register("control_boxes", WITH + f", s AS (SELECT image_id, greatest(16.0, least(greatest(16.0, 768 * 0.035), 768.0)) AS bh FROM images WHERE image_id % 5 = 0) SELECT image_id, box_no, round(greatest(0.0, least(greatest(0.0, fx * 1024 - bh * 3), 1024 - bh * 6)), 6) AS x0, round(greatest(0.0, least(greatest(0.0, fy * 768 - bh / 2), 768 - bh)), 6) AS y0 FROM s, {ANCHOR_SQL}")
+def control_boxes(spark, d):
+    blank = fx.images(spark, d).where("image_id % 5 = 0")
+    b = blank.select("image_id", F.explode(geometry.control_boxes(F.col("w"), F.col("h"), 4)).alias("b")).select("image_id", "b.*")
+    return b.select("image_id", "box_no", F.round("x0", 6).alias("x0"), F.round("y0", 6).alias("y0"))
+
+
+@register("read_axis_split", WITH + " SELECT image_id, count(*) FILTER (WHERE is_gt AND r <> '') AS found, count(*) FILTER (WHERE is_gt AND r = '') AS omitted, count(*) FILTER (WHERE NOT is_gt AND r <> '') AS invented FROM (SELECT image_id, true AS is_gt, CASE WHEN part % 9 = 0 THEN '' ELSE token_text END AS r FROM gt UNION ALL SELECT image_id, false, CASE WHEN part % 4 = 0 THEN 'z' ELSE '' END FROM boxed WHERE image_id % 5 = 0) GROUP BY image_id")
+def read_axis_split(spark, d):
+    gt = fx.gt_tokens(spark, d).select("image_id", F.lit(True).alias("is_gt"), F.when(F.col("part") % 9 == 0, " \t").otherwise(F.col("token_text")).alias("r"))
+    control = fx.read(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("image_id"), F.lit(False).alias("is_gt"), F.when(F.col("l_partkey") % 4 == 0, "z").otherwise("").alias("r"))
+    rows = gt.unionByName(control).withColumn("read", text.normalize(F.col("r")) != "")
+    return rows.groupBy("image_id").agg(F.count_if(F.expr("is_gt AND read")).alias("found"), F.count_if(F.expr("is_gt AND NOT read")).alias("omitted"), F.count_if(F.expr("NOT is_gt AND read")).alias("invented"))
+
+
+@register("reader_floor", WITH + " SELECT count(*) AS crops, count(*) FILTER (WHERE part % 4 = 0) AS inventions, count(*) FILTER (WHERE part % 4 = 0) / count(*) AS per_crop, count(*) FILTER (WHERE part % 4 = 0) / count(DISTINCT image_id) AS per_image FROM boxed WHERE image_id % 5 = 0")
+def reader_floor(spark, d):
+    c = fx.read(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    out = c.agg(F.count("*").alias("crops"), F.count_if(F.col("l_partkey") % 4 == 0).alias("inventions"), F.count_distinct("l_orderkey").alias("n"))
+    return out.select("crops", "inventions", rollup.RATE(F.col("inventions"), F.col("crops")).alias("per_crop"), rollup.RATE(F.col("inventions"), F.col("n")).alias("per_image"))
+
+
+@register("verifier_reread", WITH + " SELECT image_id, w, CASE WHEN confidence IS NOT NULL AND confidence < 0.3 THEN upper(text) || '!' ELSE text END AS text, confidence FROM pred")
+def verifier_reread(spark, d):
+    from glyphmark.operators.adapters import reread
+
+    return reread(fx.predictions(spark, d), 0.3, lambda t: F.concat(F.upper(t), F.lit("!"))).select("image_id", "w", "text", "confidence")
+
+
+@register("verifier_latency", WITH + " SELECT modality, count(verifier_elapsed) AS n_verified, round(avg(verifier_elapsed), 9) AS mean, max(verifier_elapsed) AS top FROM images GROUP BY modality")
+def verifier_latency(spark, d):
+    rows = fx.images(spark, d).join(fx.score_extra(spark, d), "image_id")
+    return rows.groupBy("modality").agg(F.count("verifier_elapsed").alias("n_verified"), F.round(F.avg("verifier_elapsed"), 9).alias("mean"), F.max("verifier_elapsed").alias("top"))
+
+
+@register("filter_blank_words", WITH + " SELECT image_id, w, text FROM pred WHERE w % 7 <> 0")
+def filter_blank_words(spark, d):
+    p = fx.predictions(spark, d).withColumn("text", F.when(F.col("w") % 7 == 0, " \t ").otherwise(F.col("text")))
+    return p.where(text.strip(F.col("text")) != "").select("image_id", "w", "text")
+
+
+OCR = "SELECT event_id, CAST(event_id % 5 + 1 AS INTEGER) AS level, CASE WHEN event_id % 13 = 0 THEN 'bad' WHEN event_id % 11 = 0 THEN '-1' ELSE CAST(event_id % 101 AS VARCHAR) END AS conf, CASE WHEN event_id % 17 = 0 THEN '  ' ELSE 'T' || event_id END AS text, event_id % 300 AS l, event_id % 200 AS t, event_id % 50 AS w, event_id % 20 AS h FROM events"
+
+
+def _ocr(spark, d):
+    k = F.col("event_id")
+    conf = F.when(k % 13 == 0, "bad").when(k % 11 == 0, "-1").otherwise((k % 101).cast("string"))
+    return fx.read(spark, d, "events").select("event_id", (k % 5 + 1).cast("int").alias("level"), conf.alias("conf"), F.when(k % 17 == 0, "  ").otherwise(F.concat(F.lit("T"), k.cast("string"))).alias("text"), *[(k % n).alias(c) for c, n in (("l", 300), ("t", 200), ("w", 50), ("h", 20))])
+
+
+def _seeds(spark, d):
+    rows = _ocr(spark, d).where((F.col("level") == 5) & (text.strip(F.col("text")) != ""))
+    at = lambda c: F.col(c) / 2.0
+    return rows.select("event_id", "text", F.coalesce(F.col("conf").try_cast("double"), F.lit(-1.0)).alias("confidence"), at("l").alias("x0"), at("t").alias("y0"), ((F.col("l") + F.col("w")) / 2.0).alias("x1"), ((F.col("t") + F.col("h")) / 2.0).alias("y1"))
+
+
+SEEDS = f"seeds AS (SELECT event_id, text, coalesce(TRY_CAST(conf AS DOUBLE), -1) AS confidence, l / 2.0 AS x0, t / 2.0 AS y0, (l + w) / 2.0 AS x1, (t + h) / 2.0 AS y1 FROM ({OCR}) WHERE level = 5 AND trim(text) <> '')"
+
+
+@register("seed_tokens", f"WITH {SEEDS} SELECT * FROM seeds")
+def seed_tokens(spark, d):
+    return _seeds(spark, d)
+
+
+@register("degenerate_boxes", f"WITH {SEEDS} SELECT count(*) AS n, count(*) FILTER (WHERE x0 = x1 OR y0 = y1) AS degenerate FROM seeds")
+def degenerate_boxes(spark, d):
+    return _seeds(spark, d).agg(F.count("*").alias("n"), F.count_if(F.expr("x0 = x1 OR y0 = y1")).alias("degenerate"))
+
+
+BUCKETS = ["none"] + [f"{k}-{k + 9}" for k in range(0, 90, 10)] + ["90-100"]
+BUCKET_SQL = "CASE WHEN confidence < 0 THEN 'none' WHEN confidence >= 90 THEN '90-100' ELSE CAST(CAST(floor(confidence / 10) * 10 AS INTEGER) AS VARCHAR) || '-' || CAST(CAST(floor(confidence / 10) * 10 AS INTEGER) + 9 AS VARCHAR) END"
+
+
+@register("confidence_hist", f"WITH {SEEDS} SELECT b AS bucket, count(event_id) AS n FROM (SELECT unnest({BUCKETS}) AS b) LEFT JOIN (SELECT event_id, {BUCKET_SQL} AS k FROM seeds) ON b = k GROUP BY b")
+def confidence_hist(spark, d):
+    c = F.col("confidence")
+    low = (F.floor(c / 10) * 10).cast("int")
+    label = F.when(c < 0, "none").when(c >= 90, "90-100").otherwise(F.concat(low.cast("string"), F.lit("-"), (low + 9).cast("string")))
+    counts = _seeds(spark, d).groupBy(label.alias("bucket")).agg(F.count("*").alias("n"))
+    spine = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in BUCKETS])).alias("bucket"))
+    return spine.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("confidence_gate", WITH + ", g(stratum, gate) AS (VALUES ('BUILDING', 0.5), ('MACHINERY', 0.8)) SELECT p.image_id, p.w FROM pred p JOIN images i USING (image_id) LEFT JOIN g USING (stratum) WHERE p.confidence IS NULL OR p.confidence < 0 OR p.confidence >= coalesce(gate, 0)")
+def confidence_gate(spark, d):
+    gates = spark.createDataFrame([("BUILDING", 0.5), ("MACHINERY", 0.8)], "stratum string, gate double")
+    rows = fx.predictions(spark, d).join(fx.images(spark, d).select("image_id", "stratum"), "image_id").join(F.broadcast(gates), "stratum", "left")
+    return rows.where("confidence IS NULL OR confidence < 0 OR confidence >= coalesce(gate, 0)").select("image_id", "w")
+
+
+@register("box_geometry", WITH + " SELECT stratum, quantile_disc(x1 - x0, 0.1) AS p10, quantile_disc(x1 - x0, 0.5) AS p50, quantile_disc(x1 - x0, 0.9) AS p90 FROM gt JOIN images USING (image_id) GROUP BY stratum")
+def box_geometry(spark, d):
+    rows = fx.gt_tokens(spark, d).join(fx.images(spark, d).select("image_id", "stratum"), "image_id").withColumn("v", F.expr("x1 - x0"))
+    return rows.groupBy("stratum").agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v)").alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
+
+
+@register("set_hash", WITH + " SELECT stratum, sha256(string_agg(image_id || chr(10), '' ORDER BY CAST(image_id AS VARCHAR))) AS digest FROM images GROUP BY stratum")
+def set_hash(spark, d):
+    ids = F.array_sort(F.collect_list(F.col("image_id").cast("string")))
+    return fx.images(spark, d).groupBy("stratum").agg(F.sha2(F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("digest"))
+
+
+@register("linear_window", "SELECT p_partkey, array_to_string(list_transform([p_partkey % 300, p_partkey % 700, p_partkey % 50], lambda x: CAST(round_even(greatest(0, least(255, (x - 40) / 400.0 * 255)), 0) AS INTEGER)), ',') AS pixels FROM part")
+def linear_window(spark, d):
+    k = F.col("p_partkey")
+    return fx.read(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.array(k % 300, k % 700, k % 50), lambda x: F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (x - 40) / 400.0 * 255))).cast("int").cast("string")), ",").alias("pixels"))
