@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 RATE = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
 
@@ -18,9 +19,16 @@ def p95_exclusive(values: Column) -> Column:
 
 
 def grouped(scores: DataFrame, by: str, *aggregates: Column) -> DataFrame:
-    """Aggregates by one column and over all; the total's group is 'ALL', told by grouping() and not by null."""
+    """Aggregates by one column and over all; the total's group is 'ALL', told by grouping() and not by null.
+
+    Grouping sets give no total for no rows; a row of the aggregates over nothing, which
+    costs no scan, stands in for it.
+    """
     sets = scores.groupingSets([[by], []], by)
-    return sets.agg(F.grouping(by).alias("__all"), *aggregates).withColumn("grp", F.when(F.col("__all") == 1, "ALL").otherwise(F.col(by))).drop("__all", by)
+    rows = sets.agg(F.grouping(by).alias("__all"), *aggregates).withColumn("grp", F.when(F.col("__all") == 1, "ALL").otherwise(F.col(by))).drop(by)
+    nothing = scores.limit(0).agg(F.lit(2).cast("byte").alias("__all"), *aggregates).withColumn("grp", F.lit("ALL"))
+    order = Window.partitionBy("grp", F.col("__all") > 0).orderBy("__all")
+    return rows.unionByName(nothing).withColumn("__first", F.row_number().over(order)).where("__first = 1").drop("__first", "__all")
 
 
 def total(column: str) -> Column:

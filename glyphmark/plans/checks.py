@@ -158,5 +158,5 @@ def density_outliers(spark, d):
     from glyphmark.operators.rollup import grouped
 
     rows = fx.gt_tokens(spark, d).select("image_id").join(fx.images(spark, d).select("image_id", "stratum"), "image_id")
-    g = grouped(rows, "stratum", (F.count("*") / F.count_distinct("image_id")).alias("a"))
+    g = grouped(rows, "stratum", F.try_divide(F.count("*"), F.count_distinct("image_id")).alias("a"))
     return g.where("grp <> 'ALL'").join(F.broadcast(g.where("grp = 'ALL'").select(F.col("a").alias("b"))), how="cross").select(F.col("grp").alias("stratum"), F.round(F.expr("a / b"), 9).alias("ratio"))
