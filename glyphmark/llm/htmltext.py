@@ -39,6 +39,9 @@ SEED_PAGES = {
     True: "tag:article tag:main is:article is:main is:content is:post is:entry is:story".split(),
 }
 SEED_WORDS = 2000
+#: The most that one piece of noise inside an article may cost; it is left out, but doesn't end the article.
+NESTED_NOISE = -0.5
+_ARTICLE = frozenset(SEED_PAGES[True])
 _WORD = re.compile(r"[a-z]+")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -167,6 +170,8 @@ def extract(page: str | None, weights: Weights) -> str:
         if kind == "text":
             features = element.features if element else ()
             score = (-4.0 if element and element.hidden else weights.word(features)) * _n_words(raw)
+            if score < NESTED_NOISE and not _ARTICLE.isdisjoint(features):
+                score = NESTED_NOISE
             items.append((kind, raw, score))
         else:
             score = weights.tag(raw)
