@@ -44,6 +44,8 @@ NESTED_NOISE = -0.5
 _ARTICLE = frozenset(SEED_PAGES[True])
 _WORD = re.compile(r"[a-z]+")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A tag that the page's end cuts off.
+_OPEN_END = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -72,6 +74,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, Element | None]]:
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
+        if not m and (open_tag := _OPEN_END.search(page, at)):
+            end = open_tag.start()
         if end > at:
             yield "text", page[at:end], stack[-1] if stack else None
         if not m:
