@@ -109,8 +109,12 @@ def mix(docs: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, total_share:
     """The documents the mix takes, with all their columns and `mix_copies`, how often each is used."""
     counts = _taken(_measured(docs, seed, [text_key(F.col("text")).alias("__row")]), cycle, max_epochs, total_share)
     counts = counts.where("__copies > 0 AND __size > 0").groupBy("__id", "__source", "__row").agg(F.max("__copies").alias("mix_copies"))
-    mine = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (text_key(docs["text"]) == F.col("__row"))
-    return docs.join(counts, mine).select(*[docs[c] for c in docs.columns if c != "mix_copies"], "mix_copies")
+    names = [c for c in docs.columns if c != "mix_copies"]
+    # Numbered while they are joined: a column of docs may have any name, also one of those above.
+    at = {c: F.col(f"c{i}") for i, c in enumerate(names)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    mine = at["doc_id"].eqNullSafe(F.col("__id")) & at["source"].eqNullSafe(F.col("__source")) & (text_key(at["text"]) == F.col("__row"))
+    return rows.join(counts, mine).select(*[at[c].alias(c) for c in names], "mix_copies")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
