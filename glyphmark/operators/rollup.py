@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Groups of more than WHOLE values look for an order statistic only between sketched bounds, MARGIN of all ranks to either side.
+WHOLE, MARGIN, ACCURACY = 2_000, 0.002, 10_000
 RATE = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
 
 
@@ -18,8 +20,37 @@ def p95_exclusive(values: Column) -> Column:
     return F.when(n == 1, F.get(d, F.lit(0))).when(n > 1, (F.get(d, j - 1) * (100 - delta) + F.get(d, j) * delta) / 100)
 
 
-def grouped(scores: DataFrame, by: str, *aggregates: Column) -> DataFrame:
-    """Aggregates by one column and over all; the total's group is 'ALL', told by grouping() and not by null.
+def quantiles(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """__total, __key, median, p95: exact quantiles by one column and (where __total) over all, nulls left out; p95 is the exclusive one.
+
+    A mergeable sketch bounds each quantile's place.  Equal values are counted before the
+    shuffle, all below the bounds become one row, and only the few between them are put in
+    order, so no group is held in one task.  A group without values has no row.
+    """
+    part = lambda total, key: F.struct(F.lit(total).alias("__total"), key.cast("string").alias("__key"))
+    sides = rows.where(F.col(value).isNotNull()).select(F.explode(F.array(part(False, F.col(by)), part(True, F.lit(None)))).alias("s"), F.col(value).cast("double").alias("v")).select("s.*", "v")
+    places = [f + d for f in (0.5, 0.95) for d in (-MARGIN, MARGIN)]
+    found = sides.groupBy("__total", "__key").agg(F.count("*").alias("n"), F.percentile_approx("v", places, ACCURACY).alias("q"))
+    n = F.col("n")
+    ranks = (F.floor((n + 1) / 2), F.greatest(F.lit(1), F.least(F.floor(95 * (n + 1) / 100), n - 1)))
+    wide = lambda k: F.when(n > WHOLE, F.get("q", F.lit(k)))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), r.cast("long").alias("rank"), wide(2 * k).alias("lo"), wide(2 * k + 1).alias("hi")) for k, r in enumerate(ranks)])
+    limits = found.select(F.col("__total").alias("t"), F.col("__key").alias("g"), "n", F.explode(wanted).alias("x")).select("t", "g", "n", "x.*")
+    counted = sides.groupBy("__total", "__key", "v").agg(F.count("*").alias("c"))
+    near = counted.join(limits, (F.col("__total") == F.col("t")) & F.col("__key").eqNullSafe(F.col("g"))).where("hi IS NULL OR v <= hi")
+    near = near.groupBy("__total", "__key", "k", "n", "rank", F.when(F.col("v") < F.col("lo"), None).otherwise(F.col("v")).alias("v")).agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("__total", "__key", "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda k, r: F.max(F.when((F.col("k") == k) & (F.col("upto") >= r) & (F.col("upto") - F.col("c") < r), F.col("v")))
+    rank = F.col("rank")
+    picked = near.withColumn("upto", upto).groupBy("__total", "__key", "n").agg(at(0, rank).alias("m0"), at(0, rank + 1).alias("m1"), at(1, rank).alias("p0"), at(1, rank + 1).alias("p1"), F.max(F.when(F.col("k") == 1, rank)).alias("j"))
+    delta = (95 * (n + 1) - 100 * F.col("j")).cast("double")
+    median = F.when(n % 2 == 1, F.col("m0")).otherwise((F.col("m0") + F.col("m1")) / 2)
+    p95 = F.when(n == 1, F.col("p0")).otherwise((F.col("p0") * (100 - delta) + F.col("p1") * delta) / 100)
+    return picked.select("__total", "__key", median.alias("median"), p95.alias("p95"))
+
+
+def grouped(scores: DataFrame, by: str, *aggregates: Column, told: bool = False) -> DataFrame:
+    """Aggregates by one column and over all; the total's group is 'ALL', told by grouping() and not by null, and kept as __total if `told`.
 
     Grouping sets give no total for no rows; a row of the aggregates over nothing, which
     costs no scan, stands in for it.
@@ -28,22 +59,28 @@ def grouped(scores: DataFrame, by: str, *aggregates: Column) -> DataFrame:
     rows = sets.agg(F.grouping(by).alias("__all"), *aggregates).withColumn("grp", F.when(F.col("__all") == 1, "ALL").otherwise(F.col(by))).drop(by)
     nothing = scores.limit(0).agg(F.lit(2).cast("byte").alias("__all"), *aggregates).withColumn("grp", F.lit("ALL"))
     order = Window.partitionBy("grp", F.col("__all") > 0).orderBy("__all")
-    return rows.unionByName(nothing).withColumn("__first", F.row_number().over(order)).where("__first = 1").drop("__first", "__all")
+    out = rows.unionByName(nothing).withColumn("__first", F.row_number().over(order)).where("__first = 1")
+    return (out.withColumn("__total", F.col("__all") > 0) if told else out).drop("__first", "__all")
 
 
 def total(column: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("long")
 
 
-def run_summary(scores: DataFrame) -> DataFrame:
-    """The headline table: redaction and exact rates over KEEP tokens, found and added counts, floor, latency, cost."""
+def run_summary(scores: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
+    """The headline table: redaction and exact rates over KEEP tokens, found and added counts, floor, latency, cost.
+
+    latencies: stratum and elapsed of the same images, where that is cheaper to read again than the scores.
+    """
     out = grouped(
         scores, "stratum", F.count("*").alias("n_images"), total("keep_total").alias("keep_total"), total("false_redaction_count").alias("false_redaction_count"), total("keep_exact_match_count").alias("keep_exact_match_count"),
         total("found_count").alias("found_count"), total("omission_count").alias("omission_count"), total("gt_total").alias("gt_total"), total("added_count").alias("added_count"),
-        F.count_if("negative_control").alias("n_blank"), total("floor_count").alias("floor_count"), F.round(F.avg("elapsed"), 6).alias("latency_mean"), F.median("elapsed").alias("latency_median"),
-        F.array_compact(F.collect_list("elapsed")).alias("__e"), F.count_if(F.col("keep_exact_match_all")).alias("images_all_exact"),
+        F.count_if("negative_control").alias("n_blank"), total("floor_count").alias("floor_count"), F.round(F.avg("elapsed"), 6).alias("latency_mean"),
+        F.count_if(F.col("keep_exact_match_all")).alias("images_all_exact"), told=True,
     )
-    return out.withColumns({"false_redaction_rate": RATE(F.col("false_redaction_count"), F.col("keep_total")), "keep_exact_rate": RATE(F.col("keep_exact_match_count"), F.col("keep_total")), "floor_per_image": RATE(F.col("floor_count"), F.col("n_blank")), "latency_p95": p95_exclusive(F.col("__e"))}).drop("__e")
+    q = quantiles(scores if latencies is None else latencies, "stratum", "elapsed").select(F.col("__total").alias("__t"), "__key", F.col("median").alias("latency_median"), F.col("p95").alias("latency_p95"))
+    out = out.join(q, (F.col("__total") == F.col("__t")) & (F.col("__total") | F.col("grp").eqNullSafe(F.col("__key"))), "left").drop("__total", "__t", "__key")
+    return out.withColumns({"false_redaction_rate": RATE(F.col("false_redaction_count"), F.col("keep_total")), "keep_exact_rate": RATE(F.col("keep_exact_match_count"), F.col("keep_total")), "floor_per_image": RATE(F.col("floor_count"), F.col("n_blank"))})
 
 
 def detection_view(scores: DataFrame) -> DataFrame:

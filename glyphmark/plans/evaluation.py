@@ -47,6 +47,10 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return scoring.image_scores(fx.images(spark, d), tokens(spark, d), fx.predictions(spark, d)).join(fx.score_extra(spark, d), "image_id")
 
 
+def latencies(spark: SparkSession, d: str) -> DataFrame:
+    return fx.images(spark, d).select("image_id", "stratum").join(fx.score_extra(spark, d), "image_id")
+
+
 @register("iou_candidates", f"WITH {PAIRS} SELECT image_id, g, w, i / (s - i) AS iou FROM cand")
 def iou_candidates(spark, d):
     return matching.candidates(fx.gt_tokens(spark, d), fx.predictions(spark, d)).select("image_id", "g", "w", "iou")
@@ -69,9 +73,9 @@ def hallucinations(spark, d):
     return matching.hallucinations(pred, matching.greedy(matching.candidates(fx.gt_tokens(spark, d), pred))).select("image_id", "w", "text", "confidence")
 
 
-@register("boxfree_match", f"WITH {fx.SQL}, blobs AS (SELECT image_id, string_agg(text, ' ' ORDER BY text, coalesce(confidence, 0), w) AS blob FROM pred WHERE image_id % 10 = 1 GROUP BY image_id) SELECT image_id, g, coalesce(contains(blob, token_text), false) AS found, blob FROM gt LEFT JOIN blobs USING (image_id) WHERE image_id % 10 = 1")
+@register("boxfree_match", f"WITH {fx.SQL}, blobs AS (SELECT image_id, string_agg(text, ' ' ORDER BY text, coalesce(confidence, 0), w) AS blob FROM pred GROUP BY image_id) SELECT image_id, g, coalesce(contains(blob, token_text), false) AS found, blob FROM gt LEFT JOIN blobs USING (image_id)")
 def boxfree_match(spark, d):
-    return matching.boxfree(fx.gt_tokens(spark, d).where("image_id % 10 = 1"), fx.predictions(spark, d).where("image_id % 10 = 1"))
+    return matching.boxfree(fx.gt_tokens(spark, d), fx.predictions(spark, d))
 
 
 COUNTS = ("gt_total", "found_count", "omission_count", "keep_total", "keep_exact_match_count", "false_redaction_count", "added_count", "floor_count")
@@ -116,15 +120,18 @@ SUMS = ("keep_total", "false_redaction_count", "keep_exact_match_count", "found_
  b AS (SELECT *, greatest(1, least(95 * (len(e) + 1) // 100, len(e) - 1)) AS j FROM a)
  SELECT * EXCLUDE (e, j), false_redaction_count / nullif(keep_total, 0) AS false_redaction_rate, keep_exact_match_count / nullif(keep_total, 0) AS keep_exact_rate, floor_count / nullif(n_blank, 0) AS floor_per_image, {P95} AS latency_p95 FROM b""")
 def aggregate_run(spark, d):
-    return rollup.run_summary(scores(spark, d))
+    return rollup.run_summary(scores(spark, d), latencies(spark, d))
 
 
 @register("latency_stats", f"""WITH {fx.SQL}, a AS (SELECT stratum, count(*) AS n, round(avg(verifier_elapsed), 6) AS verifier_mean, count(verifier_elapsed) AS n_verified, median(verifier_elapsed) AS verifier_median, list(elapsed ORDER BY elapsed) AS e FROM images GROUP BY stratum),
  b AS (SELECT *, greatest(1, least(95 * (len(e) + 1) // 100, len(e) - 1)) AS j FROM a) SELECT stratum, n, verifier_mean, n_verified, verifier_median, {P95} AS latency_p95 FROM b""")
 def latency_stats(spark, d):
-    rows = fx.images(spark, d).join(fx.score_extra(spark, d), "image_id")
-    out = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.avg("verifier_elapsed"), 6).alias("verifier_mean"), F.count("verifier_elapsed").alias("n_verified"), F.median("verifier_elapsed").alias("verifier_median"), F.collect_list("elapsed").alias("e"))
-    return out.withColumn("latency_p95", rollup.p95_exclusive(F.col("e"))).drop("e")
+    rows = latencies(spark, d)
+    out = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.avg("verifier_elapsed"), 6).alias("verifier_mean"), F.count("verifier_elapsed").alias("n_verified"))
+    for value, pick, name in (("verifier_elapsed", "median", "verifier_median"), ("elapsed", "p95", "latency_p95")):
+        q = rollup.quantiles(rows, "stratum", value).where("NOT __total").select("__key", F.col(pick).alias(name))
+        out = out.join(q, F.col("stratum").eqNullSafe(F.col("__key")), "left").drop("__key")
+    return out
 
 
 DETECT = SCORES + ", det AS (SELECT *, image_id % 10 = 1 AS box_free, CASE WHEN image_id % 7 <> 0 THEN 0.5 END AS iou_thr FROM scores), dv AS (SELECT coalesce(stratum, 'ALL') AS grp, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS n_text, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND negative_control) AS n_blank, count(*) FILTER (WHERE box_free) AS n_box_free, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NULL) AS n_no_matcher, CAST(sum(found_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS found, CAST(sum(gt_total) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS tokens, CAST(sum(added_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS added, CAST(sum(floor_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND negative_control) AS BIGINT) AS floor FROM det GROUP BY GROUPING SETS ((stratum), ()))"
@@ -149,7 +156,7 @@ def detection_na_reason(spark, d):
 def report_table_a(spark, d):
     from glyphmark.functions.text import percent
 
-    a = rollup.run_summary(scores(spark, d))
+    a = rollup.run_summary(scores(spark, d), latencies(spark, d))
     return a.select("grp", percent(F.col("false_redaction_rate")).alias("false_redaction"), percent(F.col("keep_exact_rate")).alias("keep_exact"), F.col("found_count").alias("found"), F.col("omission_count").alias("omitted"), F.col("added_count").alias("added"))
 
 

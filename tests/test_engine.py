@@ -56,6 +56,19 @@ def test_p95_is_exclusive(spark, values):
     assert df.select(rollup.p95_exclusive(F.col("v"))).first()[0] == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 40, 2000, 2001, 30000])
+def test_quantiles_are_exact_at_every_size(spark, size):
+    """Ties, outliers, nulls, a null group and a group called ALL; sizes on both sides of the sketched bounds."""
+    rows = [(["a", None, "ALL"][k % 3], None if k % 11 == 5 else 1e9 if k % 13 == 0 else float((k * 7919) % 997) if k % 2 else k / 64) for k in range(size)]
+    got = {(r["__total"], r["__key"]): (r["median"], r["p95"]) for r in rollup.quantiles(spark.createDataFrame(rows, "s string, v double"), "s", "v").collect()}
+    want = {}
+    for total, key in [(True, None), (False, "a"), (False, None), (False, "ALL")]:
+        v = [x for s, x in rows if x is not None and (total or s == key)]
+        if v:
+            want[total, key] = (statistics.median(v), v[0] if len(v) == 1 else statistics.quantiles(v, n=100, method="exclusive")[94])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("  éa ", "a b c", "a x c d")], "n string, r string, h string")
     row = df.select(text.normalize(F.col("n")), text.wer(F.col("r"), F.col("h")), text.cer(F.col("r"), F.col("h"))).first()
