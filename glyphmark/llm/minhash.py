@@ -4,13 +4,16 @@ Each of TREES signature orders has DEPTH minima.  Two documents are neighbours i
 order by the length of the prefix they have in common.  A region (a prefix) of at most
 SMALL documents gives all its neighbours as candidates; a denser region is followed to
 greater depth until it is small, and every document of a dense region is also compared
-with that region's density peak, at every depth.  So candidates stay linear in the
-documents however large a group of near copies is.  Equal sets are one class from the
-start, found by a 128-bit digest of the whole set.  Candidates become links only after
-their full shingle sets are compared.
+with that region's density peak, at every depth.  That joins a large group of near copies
+at a cost linear in its documents.  What is still apart in a dense region is then compared
+pair by pair, block against block: documents of one component are not compared again, and
+a bound on the overlap from bit sets of the shingles, which never loses a pair at the
+threshold, leaves few pairs for the full sets.  Equal sets are one class from the start,
+found by a 128-bit digest of the whole set.  Candidates become links only after their full
+shingle sets are compared.
 
-The candidate search is a random one: of two documents at the threshold 0.85 in small
-regions it misses (1 - 0.85 ** 3) ** 14, about 2 pairs in a million.
+The candidate search is a random one: two documents at the threshold 0.85 share no region
+at all, and are missed, with (1 - 0.85 ** 3) ** 14, about 2 pairs in a million.
 
 Null and empty texts have no shingles and are linked with nothing.  A null doc_id is
 linked with nothing and its component_id is null.  Rows that repeat a doc_id are one
@@ -40,6 +43,8 @@ LABEL_BYTES = 4 * FULL + 2 * (DEPTH - FULL)
 #: Depths at which regions are looked at, as bytes of a label.
 LEVELS = tuple(4 * FULL + 2 * (d - FULL) for d in (3, 5, 7, 9, 12))
 SMALL = 8
+#: Documents of a block; a component with as many in one region has blocks of its own.
+BLOCK = 512
 
 _FACTORS = odd_numbers(TREES * DEPTH, 11)
 
@@ -90,8 +95,8 @@ def _within(buckets: DataFrame) -> DataFrame:
     return lists.where(F.size("r") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) of classes (rep, signature)."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b) of classes (rep, signature), and the members (key, rep) of the dense regions."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     labels = classes.select("rep", "signature", tree.alias("t")).select("rep", "t", F.expr(f"substring(signature, {LABEL_BYTES} * t + 1, {LABEL_BYTES})").alias("label"))
 
@@ -112,7 +117,71 @@ def candidates(classes: DataFrame) -> DataFrame:
     density = crowded.groupBy("rep").agg(F.round(F.sum(F.log("n")), 6).alias("density"))
     peaks = cut(crowded.join(density, "rep").groupBy("key").agg(F.max(F.struct("density", (-F.col("rep")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("peak")))
     stars = crowded.select("key", "rep").join(peaks, "key").where("rep <> peak").select(F.least("rep", "peak").alias("a"), F.greatest("rep", "peak").alias("b"))
-    return reduce(DataFrame.unionByName, [small, _within(shallowest), stars]).distinct()
+    return reduce(DataFrame.unionByName, [small, _within(shallowest), stars]).distinct(), rows.where("level = 0").select("key", "rep")
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles as a set of 4 to 8 bits for each shingle; halves of a set laid over each other are the set of half the width."""
+    for batch in batches:
+        sizes, sets = [], []
+        for c in chunks(batch.column("text"), True, SPACE):
+            for s in shingle_sets(c):
+                width = 1 << max(6, (4 * len(s) - 1).bit_length())
+                row = np.zeros(width, np.uint8)
+                row[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+                sizes.append(len(s))
+                sets.append(np.packbits(row, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "n", "bits"])
+
+
+def _by_width(rows: np.ndarray, bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of each width and their bit sets, one under the other."""
+    widths = np.array([len(bits[r]) for r in rows])
+    return {int(w): (rows[widths == w], np.frombuffer(b"".join(bits[r] for r in rows[widths == w]), np.uint64).reshape(-1, int(w) // 8)) for w in np.unique(widths)}
+
+
+def _across(percent: int):
+    """Pairs of two blocks, or within one, that may reach the threshold; bit sets of two widths are compared in the smaller."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, label, n = (group.column(k).to_numpy() for k in ("rep", "label", "n"))
+        block, x, y = (group.column(k).to_numpy() for k in ("block", "x", "y"))
+        bits = group.column("bits").to_pylist()
+        left, right = (_by_width(np.flatnonzero(block == side), bits) for side in (x, y))
+        found = [np.zeros((0, 2), np.int64)]
+        for w, (i, p) in left.items():
+            for v, (j, q) in right.items():
+                if max(w, v) > 2 * min(w, v):
+                    continue
+                p1 = p[:, : v // 8] | p[:, v // 8 :] if w > v else p
+                q1 = q[:, : w // 8] | q[:, w // 8 :] if v > w else q
+                for k in range(len(i)):
+                    both = n[i[k]] + n[j]
+                    most = np.minimum((both - np.bitwise_count(p1[k] ^ q1).sum(axis=1, dtype=np.int64)) // 2, np.minimum(n[i[k]], n[j]))
+                    to = rep[j[(label[j] != label[i[k]]) & (100 * most >= percent * (both - most))]]
+                    found.append(np.stack([np.minimum(rep[i[k]], to), np.maximum(rep[i[k]], to)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _apart(dense: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of one dense region (key, rep), in different components (node, label), that may reach the threshold."""
+    rows = dense.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    groups = cut(rows.groupBy("key", "label").agg(F.count("*").alias("n")))
+    loose = F.col("n") < BLOCK
+    regions = groups.groupBy("key").agg(F.count("*").alias("labels"), F.sum(F.when(loose, F.col("n")).otherwise(0)).alias("rest")).where("labels > 1").select("key", "rest")
+    parts = groups.join(regions, "key").select("key", "label", F.when(~loose, F.col("label")).alias("own"), F.ceil(F.when(loose, F.col("rest")).otherwise(F.col("n")) / BLOCK).alias("parts"))
+    spread = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("rep"))), F.col("parts"))
+    members = cut(rows.join(parts, ["key", "label"]).select("key", "rep", "label", "own", F.xxhash64("key", "own", spread).alias("block")))
+    blocks = members.select("key", "block", "own").distinct()
+    ends = blocks.select("key", F.col("block").alias("x"), F.col("own").alias("own_x")).join(blocks.select("key", F.col("block").alias("y"), F.col("own").alias("own_y")), "key")
+    ends = ends.where("x <= y AND NOT coalesce(own_x = own_y, false)").select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep").distinct(), "rep")
+    sets = cut(texts.mapInArrow(_bits, "rep long, n long, bits binary").distinct())
+    sides = members.select("rep", "label", "block").join(ends, "block").join(sets.where("n > 0"), "rep")
+    return sides.groupBy("x", "y").applyInArrow(_across(percent), "a long, b long").where("a < b").distinct()
 
 
 def _confirm(percent: int):
@@ -141,8 +210,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     signed = cut(signatures(docs))
     able = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(able.groupBy("print", "signature").agg(F.min("doc_id").alias("rep")))
-    pairs = cut(candidates(classes.select("rep", "signature")))
-    labels = components(cut(confirmed(pairs, docs, percent)).unionByName(_repeated(able)))
+    pairs, dense = candidates(classes.select("rep", "signature"))
+    links = cut(confirmed(cut(pairs), docs, percent)).unionByName(_repeated(able))
+    labels = components(links)
+    more = cut(confirmed(cut(_apart(dense, labels, docs, percent)), docs, percent))
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     known = classes.select("print", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("label", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "print").join(known, "print", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

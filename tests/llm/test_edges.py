@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -109,6 +110,44 @@ def test_near_duplicates_match_brute_force(spark, seed):
     assert len(set(top)) < len(texts)
 
 
+def test_pairs_inside_a_crowded_family_match_brute_force(spark):
+    rng, texts = random.Random(5), []
+    for d in range(3000):
+        words = [f"w{k}" for k in range(100)]
+        for k in rng.sample(range(4, 96), 2):
+            words[k] = f"x{d}_{k}"
+        texts.append(words)
+    for d in range(0, 3000, 50):
+        words = list(texts[d])
+        words[1], words[rng.randrange(4, 96)] = f"y{d}", f"z{d}"
+        texts.append(words)
+    sets = [{tuple(w[k : k + 5]) for k in range(96)} for w in texts]
+    number: dict[tuple, int] = {}
+    for s in sets:
+        for x in s:
+            number.setdefault(x, len(number))
+    times = np.bincount([number[x] for s in sets for x in s])
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
+    held = np.zeros((len(sets), int(column.max()) + 1), np.float32)
+    for d, s in enumerate(sets):
+        held[d, [c for x in s if (c := column[number[x]]) >= 0]] = 1
+    both, n = held @ held.T, np.array([len(s) for s in sets])
+    parent = list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in np.argwhere(np.triu(100 * both >= 85 * (n[:, None] + n[None, :] - both), 1)):
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 85).collect()}
+    assert got == {k: root(k) for k in got}
+    assert sum(k != c for k, c in got.items()) >= 50
+
+
 def test_mixing_follows_the_keys_to_the_target(spark):
     """Taken words against a plain loop over the sources."""
     rng = random.Random(5)
