@@ -9,7 +9,9 @@ and its number of words.
 
 Collision checks run over the distinct entities of the corpus: a surrogate that two values
 share, or that is itself an entity of the corpus, is drawn again (the smallest value keeps
-its own) until none is left.  Redrawn entities are usually a handful; up to MAX_BROADCAST
+its own) until none is left.  From the attempt GROW_AFTER on each attempt adds a syllable to a
+name, a letter to an address and a digit to a phone, so their room never runs out; the other
+kinds have 10 ** 9 surrogates or more, and a corpus that uses them up is an error.  Redrawn entities are usually a handful; up to MAX_BROADCAST
 they are broadcast, more are joined to the documents that hold them.
 
 Null texts stay null; texts without entities stay as they are.  Rows that repeat a doc_id
@@ -20,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,7 @@ from glyphmark.llm.common import stored, table, text_key
 
 KEY = "surrogate-key-1"
 MAX_BROADCAST, MAX_ROUNDS = 100_000, 50
+GROW_AFTER = 6
 
 _NUMBER = re.compile(
     r"(?<![\w.@+\-])(?:"
@@ -96,6 +101,15 @@ class _Draw:
         return x % n
 
 
+@lru_cache(maxsize=100_000)
+def _same_script(c: str) -> str:
+    """The characters near c of its category and script, Latin letters if it is alone."""
+    script = lambda x: unicodedata.name(x, "").split(" ")[0].split("-")[0]
+    start = ord(c) & ~63
+    near = [x for x in map(chr, range(start, start + 64)) if x.isalnum() and unicodedata.category(x) == unicodedata.category(c) and script(x) == script(c)]
+    return "".join(near) if len(near) > 1 else "abcdefghijklmnopqrstuvwxyz"
+
+
 def _alike(c: str, draw: _Draw) -> str:
     if c.isdigit():
         return str(draw.below(10))
@@ -110,9 +124,16 @@ def _alike(c: str, draw: _Draw) -> str:
     if c.isalpha() and c.lower() in "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ":
         new = "àáâäçèéêëíîïñóôöùúûü"[draw.below(20)]
         return new.upper() if c.isupper() else new
+    if c.isalnum():
+        pool = _same_script(c)
+        return pool[draw.below(len(pool))]
     return c
 
 
+def _added(attempt: int) -> int:
+    return max(0, attempt + 1 - GROW_AFTER)
+
+
 def _luhn(digits: list[int]) -> int:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -142,7 +163,7 @@ def _name(value: str, gender: str, key: str, attempt: int) -> str:
             pool = NAMES[script, gender] if gender != "n" else NAMES[script, "m"] + NAMES[script, "f"]
             out.append(pool[draw.below(len(pool))])
         else:
-            out.append("".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + draw.below(2))).capitalize())
+            out.append("".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + draw.below(2) + _added(attempt))).capitalize())
     return " ".join(out)
 
 
@@ -152,7 +173,8 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
         local, host = value.rsplit("@", 1)
         labels = host.split(".")
         domain = _Draw(key, "domain", host.lower(), 0)
-        return "".join(_alike(c, draw) for c in local) + "@" + ".".join(["".join(_alike(c, domain) for c in x) for x in labels[:-1]] + labels[-1:])
+        last = next((c for c in reversed(local) if c.isalpha()), "a")
+        return "".join(_alike(c, draw) for c in local + last * _added(attempt)) + "@" + ".".join(["".join(_alike(c, domain) for c in x) for x in labels[:-1]] + labels[-1:])
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
@@ -160,8 +182,9 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
     if kind.startswith("name-"):
         return _name(value, kind[5:], key, attempt)
     keep = 0
-    if kind == "phone" and value.startswith("+"):
-        keep = re.match(r"\+\d{1,3}(?=\D)|\+\d", value).end()
+    if kind == "phone":
+        keep = re.match(r"\+\d{1,3}(?=\D)|\+\d|", value).end()
+        value += "0" * _added(attempt)
     elif kind == "iban":
         keep = 2
     return value[:keep] + "".join(_alike(c, draw) for c in value[keep:])
@@ -210,6 +233,8 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
         if not clash.limit(1).count():
             break
         entities = stored(entities.join(clash.withColumn("again", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt")), "entities")
+    else:
+        raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds: {[(r['kind'], r['n']) for r in clash.groupBy('kind').agg(F.count('*').alias('n')).collect()]}")
     return entities.where("attempt > 0")
 
 

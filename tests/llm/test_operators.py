@@ -204,6 +204,26 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.text for r in surrogates.pseudonymize(df).collect()}) == 3000
 
 
+def test_surrogates_stay_distinct_where_their_format_is_used_up(spark, monkeypatch):
+    phones = [f"+1 {k // 100:02d} {k % 100:02d}" for k in range(5100)]
+    df = spark.createDataFrame(list(enumerate(phones)), "doc_id long, text string")
+    new = {r.text for r in surrogates.pseudonymize(df).collect()}
+    assert len(new) == 5100 and not new & set(phones)
+    monkeypatch.setattr(surrogates, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="still collide"):
+        surrogates.pseudonymize(df)
+
+
+def test_surrogates_of_every_script():
+    assert surrogates.surrogate("email", "佐藤@例え.jp") != "佐藤@例え.jp"
+    for word in ("佐藤", "παῦλος", "şahin", "łódź", "יוסף", "김철수", "ёлка", "სახლი"):
+        new = surrogates.surrogate("email", f"{word}@example.jp")
+        local = new.split("@")[0]
+        assert len(local) == len(word) and local != word and local.isalpha()
+    growing = [surrogates.surrogate("name-m", "Schmidt", k) for k in (0, 5, 8, 20)]
+    assert len(growing[1]) <= 8 < len(growing[2]) < len(growing[3])
+
+
 def test_pipeline_runs_on_its_tables(spark):
     import corpus_pipeline
 
