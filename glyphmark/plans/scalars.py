@@ -53,6 +53,29 @@ def diagnostic_rollup(spark, d):
     return _reads(spark, d).groupBy((F.col("item_id") % 2).alias("half")).agg(F.count("*").alias("n"), F.count(c).alias("n_read"), F.round(F.avg(c), 9).alias("cer_macro"))
 
 
+def _whole_reads(spark, d):
+    """The reads of _reads over whole texts, characters as they are: faults fall on the first, the last quarter, all or every e."""
+    t, k = F.col("text"), F.col("item_id") % 5
+    hyp = F.when(t.isNull(), None).when(k == 0, t).when(k == 1, F.expr("concat('x', substring(text, 2))")).when(k == 2, F.expr("substring(text, 1, length(text) * 3 div 4)")).when(k == 3, "").otherwise(F.replace(t, F.lit("e"), F.lit("o")))
+    return fx.read(spark, d, "benchmark").select("item_id", text.strip(t).alias("expected"), text.strip(hyp).alias("hyp"))
+
+
+@register("cer_whole")
+def cer_whole(spark, d):
+    return _whole_reads(spark, d).select("item_id", text.cer(F.col("expected"), F.col("hyp")).alias("cer"))
+
+
+@register("wer_whole")
+def wer_whole(spark, d):
+    return _whole_reads(spark, d).select("item_id", text.wer(F.col("expected"), F.col("hyp")).alias("wer"))
+
+
+@register("diagnostic_rollup_whole")
+def diagnostic_rollup_whole(spark, d):
+    c = F.when(F.col("hyp") != "", text.cer(F.col("expected"), F.col("hyp")))
+    return _whole_reads(spark, d).groupBy((F.col("item_id") % 2).alias("half")).agg(F.count("*").alias("n"), F.count(c).alias("n_read"), F.round(F.avg(c), 9).alias("cer_macro"))
+
+
 @register("bench_reader", "WITH b AS (SELECT item_id, substr(text, 1, 8) AS e, CASE item_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' || substr(text, 2, 7) ELSE substr(text, 1, 8) END AS r FROM benchmark) SELECT count(*) AS n, count(*) FILTER (WHERE trim(e) = trim(r)) AS exact, count(*) FILTER (WHERE trim(r) = '') AS empty, count(*) FILTER (WHERE trim(r) <> '' AND trim(e) <> trim(r)) AS misread, count(*) FILTER (WHERE length(e) = 8) AS n8 FROM b")
 def bench_reader(spark, d):
     e, k = F.substring("text", 1, 8), F.col("item_id") % 5

@@ -75,6 +75,31 @@ def test_text_functions(spark):
     assert row[0] == "éa" and row[1] == pytest.approx(2 / 3) and row[2] == pytest.approx(3 / 5)
 
 
+def test_whole_texts_are_scored(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = {k: f"{k} " + " ".join(["größe", "Ελένη", "été", "plain", "日本語", "е𝒳e"][(k + j) % 6] for j in range(60)) for k in range(10)} | {10: None, 11: ""}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hyps = {k: [t, "x" + t[1:], t[: len(t) * 3 // 4], "", t.replace("e", "o")][k % 5].strip() for k, t in texts.items() if t}
+    cer = {k: edits(texts[k], h) / len(texts[k]) for k, h in hyps.items()}
+    wer = {k: edits(texts[k].split(), h.split()) / len(texts[k].split()) for k, h in hyps.items()}
+    q = entry.queries()
+    assert {r.item_id: r.cer for r in q["cer_whole"](spark, str(tmp_path)).collect()} == pytest.approx(cer | {10: None, 11: None})
+    assert {r.item_id: r.wer for r in q["wer_whole"](spark, str(tmp_path)).collect()} == pytest.approx(wer | {10: None, 11: None})
+    got = {r.half: (r.n, r.n_read, r.cer_macro) for r in q["diagnostic_rollup_whole"](spark, str(tmp_path)).collect()}
+    for half in (0, 1):
+        read = [cer[k] for k, h in hyps.items() if h and k % 2 == half]
+        assert got[half] == (sum(k % 2 == half for k in texts), len(read), pytest.approx(statistics.mean(read), abs=1e-8))
+
+
 def test_costs(spark):
     df = spark.createDataFrame([("claude", 1000, 800), ("gpt4o", 1024, 1024), ("gemini", 384, 384), ("gemini", 769, 10), ("cloud", 5, 5), (None, 5, 5)], "rule string, w int, h int")
     assert [r[0] for r in df.select(cost.units(F.col("rule"), F.col("w"), F.col("h"))).collect()] == [1067, 765, 303, 561, 1, 0]
