@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one is made only where it is unset, as in tests."""
@@ -18,13 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     have = context._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds: Arrow batches of BATCH_ROWS rows, where the session has Spark's default of 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -47,11 +59,21 @@ def text_key(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage by a Parquet table in the shared folder; smaller on disk than a checkpoint."""
     path = work_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for df in tables:
+        remove_path(df.sparkSession, df.stored_at)
