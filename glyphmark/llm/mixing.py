@@ -5,9 +5,11 @@ and w its quality weight.  Within a source documents are taken in key order.  A
 target is met by complete epochs of all its documents, then by the documents whose prefix
 sum of words fits the rest.  The document across the budget is taken if that comes nearer.
 
-Prefix sums are in two levels: a monotone map of the key deals a source into slices of
-about SLICE_ROWS documents, slices are summed first, and only within a slice are rows
-ordered.  So a source with a third of all rows is no single task.
+Prefix sums are in levels: slices are summed by SLICES_TOGETHER, then one by one, and only
+within a slice are rows ordered.  A slice is the share of a source's documents with a smaller
+key, by the law 1 - (1 - key) ** weight of the keys of each weight; so it holds about
+SLICE_ROWS documents whatever the weights, and a source with a third of all rows is no
+single task.
 
 Targets: sources in code-point order, null last, weigh `cycle` in turn and share
 `total_share` of all words; none is above `max_epochs` times its own words, and what is
@@ -22,6 +24,9 @@ beyond which the operator refuses.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +34,9 @@ from pyspark.sql.window import Window
 from glyphmark.llm.common import cut, table, text_key
 
 CYCLE, MAX_EPOCHS, TOTAL_SHARE = (1, 2, 3), 3, 1.0
-SLICE_ROWS, MAX_SOURCES, SEED = 20_000, 1_000_000, "mix-1"
+SLICE_ROWS, SLICES_TOGETHER, MAX_SOURCES, SEED = 2_000, 1_000, 1_000_000, "mix-1"
+#: What quality_weight can give.
+WEIGHTS = (1.0, 0.5, 0.25)
 
 
 def word_count(text: Column) -> Column:
@@ -62,40 +69,59 @@ def source_targets(sizes: list[tuple[str | None, int]], cycle=CYCLE, max_epochs:
         if not capped:
             break
         rest -= sum(target[i] for i in capped)
-        free = [i for i in free if i not in set(capped)]
+        gone = set(capped)
+        free = [i for i in free if i not in gone]
     return [(s, n, t) for (s, n), t in zip(rows, target, strict=True)]
 
 
+def _rank_share(weights: tuple[float, ...]) -> Column:
+    """About which share of a source's documents have a smaller key: the keys' law, weighed by the source's documents of each weight."""
+    left = 1 - F.col("__key")
+    below = [F.col(f"__of_{k}") * (1 - F.pow(left, F.lit(w))) for k, w in enumerate(weights)]
+    return reduce(add, below) / F.greatest(reduce(add, [F.col(f"__of_{k}") for k in range(len(weights))]), F.lit(1))
+
+
 def _taken(measured: DataFrame, cycle, max_epochs: int, total_share: float) -> DataFrame:
-    """measured: rows with __id, __source, __size, __key in [0, 1).  Adds __source_size, __target, __taken."""
+    """measured: rows with __id, __source, __size, __weight, __key in [0, 1).  Adds __source_size, __target, __taken, __copies."""
     spark = measured.sparkSession
-    per_source = measured.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
+    measured = cut(measured)
+    of = [F.count(F.when(F.col("__weight") == w, 1)).alias(f"of_{k}") for k, w in enumerate(WEIGHTS)]
+    per_source = measured.groupBy("__source").agg(F.sum("__size").alias("size"), *of).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    docs = {r["__source"]: r["docs"] for r in per_source}
-    targets = [(s, n, t, max(1, -(-docs[s] // SLICE_ROWS))) for s, n, t in source_targets([(r["__source"], r["size"]) for r in per_source], cycle, max_epochs, total_share)]
-    plan = spark.createDataFrame(targets, "__s string, __source_size long, __target double, __slices long")
+    weighed = {r["__source"]: [r[f"of_{k}"] for k in range(len(WEIGHTS))] for r in per_source}
+    targets = [(s, n, t, max(1, -(-sum(weighed[s]) // SLICE_ROWS)), *weighed[s]) for s, n, t in source_targets([(r["__source"], r["size"]) for r in per_source], cycle, max_epochs, total_share)]
+    plan = spark.createDataFrame(targets, "__s string, __source_size long, __target double, __slices long, " + ", ".join(f"__of_{k} long" for k in range(len(WEIGHTS))))
     if len(targets) <= 10_000:
         plan = F.broadcast(plan)
     sliced = measured.join(plan, F.col("__source").eqNullSafe(F.col("__s")), "inner").drop("__s")
-    sliced = sliced.withColumn("__slice", F.least(F.floor(F.col("__key") * F.col("__slices")), F.col("__slices") - 1))
-    sliced = cut(sliced)
-    sums = sliced.groupBy("__source", "__slice").agg(F.sum("__size").alias("words"))
-    ahead = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(sums.select(F.col("__source").alias("__s"), F.col("__slice").alias("__k"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("__ahead")))
+    sliced = sliced.withColumn("__slice", F.least(F.floor(_rank_share(WEIGHTS) * F.col("__slices")), F.col("__slices") - 1)).drop(*[f"__of_{k}" for k in range(len(WEIGHTS))])
+    ahead = _words_ahead(sliced)
     within = Window.partitionBy("__source", "__slice").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     running = sliced.withColumn("__before", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    running = running.join(sums, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__k")))
+    running = running.join(ahead, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__k")))
     epochs = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(F.lit(0))
     rest = F.col("__target") - epochs * F.col("__source_size")
     more = F.when(F.col("__ahead") + F.col("__before") + F.col("__size") / 2 <= rest, 1).otherwise(0)
     return running.withColumn("__taken", ((epochs + more) * F.col("__size")).cast("long")).withColumn("__copies", (epochs + more).cast("int"))
 
 
+def _words_ahead(sliced: DataFrame) -> DataFrame:
+    """__s, __k, __ahead: the words of a source's earlier slices, summed by hundreds of slices and then by slice."""
+    sums = cut(sliced.groupBy("__source", "__slice").agg(F.sum("__size").alias("words")).withColumn("far", F.floor(F.col("__slice") / SLICES_TOGETHER)))
+    before = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    far = sums.groupBy("__source", "far").agg(F.sum("words").alias("words"))
+    far = far.select(F.col("__source").alias("s"), F.col("far").alias("f"), F.coalesce(F.sum("words").over(before(["__source"], "far")), F.lit(0)).alias("earlier"))
+    near = sums.withColumn("ahead", F.coalesce(F.sum("words").over(before(["__source", "far"], "__slice")), F.lit(0)))
+    both = near.join(far, F.col("__source").eqNullSafe(F.col("s")) & (F.col("far") == F.col("f")))
+    return cut(both.select(F.col("__source").alias("__s"), F.col("__slice").alias("__k"), (F.col("ahead") + F.col("earlier")).alias("__ahead")))
+
+
 def _measured(docs: DataFrame, seed: str, keep: list[Column]) -> DataFrame:
     size = word_count(F.col("text"))
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__source"), size.alias("__size"), F.coalesce(F.length("text"), F.lit(0)).alias("__chars"), *keep)
-    key = -F.log(unit_draw(F.col("__id"), seed)) / quality_weight(F.col("__size"), F.col("__chars"))
+    rows = rows.withColumn("__weight", quality_weight(F.col("__size"), F.col("__chars")))
+    key = -F.log(unit_draw(F.col("__id"), seed)) / F.col("__weight")
     return rows.withColumn("__key", 1 - F.exp(-key)).drop("__chars")
 
 
