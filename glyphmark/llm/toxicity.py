@@ -1,10 +1,11 @@
 """Toxicity: a Levenshtein automaton intersected with a trie of a learned lexicon.
 
 The lexicon is mined from labelled rows: words, and word beginnings where a stem with its
-endings tells more than any one word.  Words of at least 5 bytes also match with one edit,
-of at least 9 with two; beginnings match exactly.  Trie and automata are intersected once
-on the driver into one deterministic table over bytes, which runs over all words of a
-batch side by side; most words die in it after two or three bytes.
+endings tells more than any one word.  Words of at least 5 letters also match with one edit,
+of at least 9 with two; beginnings match exactly.  An edit is one of a code point, in any
+script.  Trie and automata are intersected once on the driver into deterministic tables over
+code points, TOGETHER words to a table, which run over all words of a batch side by side;
+most words die in them after two or three letters.
 
 Each hit is looked at in its context window: quotation marks on both sides or a reporting
 word near it make it a quotation.  A logistic regression over counts of plain, misspelled,
@@ -32,14 +33,13 @@ from glyphmark.llm.common import table
 from glyphmark.llm.textcore import ALNUM, Chunk, chunks
 
 MAX_TRAIN = 20_000
-MAX_TERMS, MAX_CANDIDATES = 60, 20_000
+#: Words of one table; more words make more tables.
+TOGETHER = 64
 #: A term is in at least so many toxic documents, with such log odds, log-likelihood ratio and precision.
 MIN_DOCS, MIN_ODDS, MIN_GAIN, MIN_PRECISION = 6, 2.0, 20.0, 0.6
 #: A beginning counts only if it is in so many times the toxic documents of its commonest word.
 STEM_GAIN = 1.5
-#: Terms far below the surest one are chance finds.
-RELATIVE_GAIN = 0.03
-STEM_SIZES = range(3, 11)
+STEM_SIZES, WORD_SIZES = range(3, 11), range(3, 25)
 CONTEXT_BYTES, CONTEXT_WORDS = 48, 4
 #: Words that report speech.
 REPORTING = ("said", "says", "wrote", "quote", "quoted", "called", "sagte", "schrieb", "dijo", "dit", "disait")
@@ -52,14 +52,27 @@ def edits_allowed(size: int) -> int:
     return 2 if size >= 9 else 1 if size >= 5 else 0
 
 
+def code_points(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a chunk's bytes, and the first and the end of each word among them."""
+    lead = (c.data & 0xC0) != 0x80
+    before = np.concatenate([[0], np.cumsum(lead)])
+    at = np.flatnonzero(lead)
+    more = np.concatenate([c.data, np.zeros(3, np.uint8)]).astype(np.int32)
+    one = more[at]
+    tail = [more[at + k] & 0x3F for k in (1, 2, 3)]
+    two, three, four = (one & 0x1F) << 6 | tail[0], (one & 0x0F) << 12 | tail[0] << 6 | tail[1], (one & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+    return np.select([one < 0x80, one < 0xE0, one < 0xF0], [one, two, three], four), before[c.starts], before[c.ends]
+
+
 class Automaton:
     """The deterministic product of the lexicon trie and the Levenshtein automata of its words.
 
-    table[state, byte] is the next state, 0 is dead, 1 the start.  word_term and word_edits
-    have what a word that ends in a state matches; stem_term what any word that reaches it does.
+    table[state, symbol] is the next state, 0 is dead, 1 the start; a symbol is the place of a
+    code point in `alphabet` and one, 0 is any other.  word_term and word_edits have what a
+    word that ends in a state matches; stem_term what any word that reaches it does.
     """
 
-    def __init__(self, words: list[bytes], stems: list[bytes]):
+    def __init__(self, words: list[str], stems: list[str]):
         children: list[dict[int, int]] = [{}]
         limit, word_at, stem_at = [0], {}, {}
         for k, (term, stem) in enumerate([(w, False) for w in words] + [(s, True) for s in stems]):
@@ -88,13 +101,14 @@ class Automaton:
             return frozenset(nodes.items())
 
         alphabet = sorted({b for c in children for b in c})
+        self.alphabet = np.array([ord(b) for b in alphabet], np.int32)
         start = close({0: 0})
         number, queue = {frozenset(): 0, start: 1}, [start]
-        rows: dict[int, np.ndarray] = {0: np.zeros(256, np.int32)}
+        rows: dict[int, np.ndarray] = {0: np.zeros(len(alphabet) + 1, np.int32)}
         while queue:
             state = queue.pop()
 
-            def step(b: int | None, state=state) -> int:
+            def step(b: str | None, state=state) -> int:
                 out: dict[int, int] = {}
                 for n, e in state:
                     moves = [(n, e + 1)] + [(c, e if x == b else e + 1) for x, c in children[n].items()]
@@ -107,10 +121,7 @@ class Automaton:
                     queue.append(new)
                 return number[new]
 
-            row = np.full(256, step(None), np.int32)
-            for b in alphabet:
-                row[b] = step(b)
-            rows[number[state]] = row
+            rows[number[state]] = np.array([step(b) for b in (None, *alphabet)], np.int32)
         size = len(number)
         self.table = np.stack([rows[k] for k in range(size)])
         self.word_term, self.word_edits, self.stem_term = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.full(size, -1, np.int32)
@@ -128,20 +139,24 @@ class Automaton:
             out[n] = max([edits_allowed(len(words[word_at[n]])) if n in word_at else 0, *(out[c] for c in children[n].values())])
         return out
 
-    def run(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, term, edits) of all hits of a chunk; edits is -1 for a stem."""
-        alive = np.arange(len(c.starts))
+    def run(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, term, edits) of all hits among the words of code_points; edits is -1 for a stem."""
+        if not len(self.alphabet):
+            return (np.zeros(0, np.int64),) * 3
+        place = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        symbols = np.where(self.alphabet[place] == points, place + 1, 0)
+        alive = np.arange(len(starts))
         state = np.ones(len(alive), np.int32)
-        at = c.starts.copy()
+        at = starts.copy()
         found: list[tuple] = []
         while len(alive):
-            state = self.table[state, c.data[at]]
+            state = self.table[state, symbols[at]]
             at = at + 1
             stem = self.stem_term[state]
             done = stem >= 0
             if done.any():
                 found.append((alive[done], stem[done], np.full(int(done.sum()), -1)))
-            ended = ~done & (at == c.ends[alive])
+            ended = ~done & (at == ends[alive])
             if ended.any():
                 term = self.word_term[state[ended]]
                 hit = term >= 0
@@ -149,11 +164,8 @@ class Automaton:
             go = (state > 0) & ~done & ~ended
             alive, state, at = alive[go], state[go], at[go]
         if not found:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        word, term, edits = (np.concatenate([f[k] for f in found]) for k in range(3))
-        order = np.argsort(word, kind="stable")
-        return word[order], term[order], edits[order]
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 _QUOTE_BYTES = tuple(q.encode() for q in QUOTES)
@@ -171,14 +183,26 @@ def _quoted(c: Chunk, k: int, row: int) -> bool:
 
 
 class Lexicon:
-    def __init__(self, words: list[bytes], stems: list[bytes], weights: list[float]):
+    """Words, then stems, and the weight of each."""
+
+    def __init__(self, words: list[str], stems: list[str], weights: list[float]):
         self.words, self.stems, self.weights = words, stems, np.array(weights or [0.0])
-        self.automaton = Automaton(words, stems)
+        self.tables = [(Automaton(words[k : k + TOGETHER], []), k) for k in range(0, len(words), TOGETHER)] + [(Automaton([], stems), len(words))] * bool(stems)
+
+    def hits(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, term, edits) by word; a word that several tables match counts once, for the fewest edits."""
+        points, starts, ends = code_points(c)
+        found = [(w, t + k, e) for a, k in self.tables for w, t, e in [a.run(points, starts, ends)]]
+        word, term, edits = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+        order = np.lexsort((term, edits, word))
+        word, term, edits = word[order], term[order], edits[order]
+        first = np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
+        return word[first], term[first], edits[first]
 
     def features(self, column: pa.Array) -> np.ndarray:
         out = np.zeros((len(column), N_FEATURES))
         for c in chunks(column, True, ALNUM):
-            word, term, edits = self.automaton.run(c)
+            word, term, edits = self.hits(c)
             row = np.searchsorted(c.first, word, "right") - 1
             counts = np.diff(c.first)
             out[c.lo : c.hi, 0] = np.log1p(counts) / 5
@@ -206,16 +230,15 @@ class ToxicityModel:
 
 
 def _terms(column: pa.Array) -> Iterator[set]:
-    """Each row's distinct words (True, bytes) and beginnings (False, bytes); whole UTF-8 letters only."""
+    """Each row's distinct words ("w" before them) and beginnings ("s" before them)."""
     for c in chunks(column, True, ALNUM):
         for r in range(c.hi - c.lo):
             out = set()
             for w in {c.word(k) for k in range(c.first[r], c.first[r + 1])}:
-                if 3 <= len(w) <= 24:
-                    out.add(b"w" + w)
-                for n in STEM_SIZES:
-                    if n < len(w) and w[n] & 0xC0 != 0x80:
-                        out.add(b"s" + w[:n])
+                w = w.decode("utf-8", "replace")
+                if len(w) in WORD_SIZES:
+                    out.add("w" + w)
+                out.update("s" + w[:n] for n in STEM_SIZES if n < len(w))
             yield out
 
 
@@ -225,7 +248,7 @@ def _count_terms(wanted):
         for batch in batches:
             for t in _terms(batch.column("text")):
                 total.update(t if only is None else t & only)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
     return run
 
@@ -273,10 +296,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
             return ToxicityModel(Lexicon([], [], []), np.zeros(N_FEATURES), prior)
 
         def count(label: int, wanted=None) -> DataFrame:
-            return rows.where(F.col("toxic") == label).select("text").mapInArrow(_count_terms(wanted), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            return rows.where(F.col("toxic") == label).select("text").mapInArrow(_count_terms(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-        positive = {bytes(r["term"]): r["n"] for r in count(1).where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-        negative = {bytes(r["term"]): r["n"] for r in count(0, context.broadcast(frozenset(positive))).collect()}
+        # Both are bounded by the sample of max_train documents.
+        positive = {r["term"]: r["n"] for r in count(1).where(F.col("n") >= MIN_DOCS).collect()}
+        negative = {r["term"]: r["n"] for r in count(0, context.broadcast(frozenset(positive))).collect()}
         lexicon = _choose(positive, negative, toxic, clean)
         got = rows.mapInArrow(_features(context.broadcast(lexicon)), "toxic int, x array<double>").collect()
     finally:
@@ -297,23 +321,19 @@ def _choose(positive: dict, negative: dict, toxic: int, clean: int) -> Lexicon:
             scored.append((float(gain), float(odds), term))
     fullest: Counter = Counter()
     for term, p in positive.items():
-        if term[:1] == b"w":
+        if term[:1] == "w":
             for n in STEM_SIZES:
                 fullest[term[1 : n + 1]] = max(fullest[term[1 : n + 1]], p)
-    scored = [x for x in scored if x[2][:1] == b"w" or positive[x[2]] > STEM_GAIN * fullest[x[2][1:]]]
-    floor = max((x[0] for x in scored), default=0) * RELATIVE_GAIN
-    scored = [x for x in scored if x[0] >= floor]
-    scored.sort(key=lambda x: (-x[0], x[2][:1] == b"s", len(x[2]), x[2]))
+    scored = [x for x in scored if x[2][:1] == "w" or positive[x[2]] > STEM_GAIN * fullest[x[2][1:]]]
+    scored.sort(key=lambda x: (-x[0], x[2][:1] == "s", len(x[2]), x[2]))
     words, stems = {}, {}
     for _, odds, term in scored:
         body = term[1:]
         if any(body.startswith(s) for s in stems):
             continue
-        if term[:1] == b"s" and (any(s.startswith(body) for s in stems) or any(w.startswith(body) for w in words)):
+        if term[:1] == "s" and (any(s.startswith(body) for s in stems) or any(w.startswith(body) for w in words)):
             continue
-        (words if term[:1] == b"w" else stems)[body] = odds
-        if len(words) + len(stems) >= MAX_TERMS:
-            break
+        (words if term[:1] == "w" else stems)[body] = odds
     return Lexicon(list(words), list(stems), [*words.values(), *stems.values()])
 
 

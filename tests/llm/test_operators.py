@@ -135,13 +135,12 @@ def test_toxicity_learns_and_catches_misspellings(spark):
     held = [k for k in range(600) if got[k] is not None]
     assert all((got[k] >= 0.5) == (k % 4 == 0) for k in held)
     assert got[900] == got[901] < 0.5 and 0 <= got[902] <= 1
-    hits = model.lexicon.automaton
     import pyarrow as pa
 
     from glyphmark.llm.textcore import ALNUM, chunks
 
     for c in chunks(pa.array(["worthles wortless worthless worth less"]), True, ALNUM):
-        word, _, edits = hits.run(c)
+        word, _, edits = model.lexicon.hits(c)
         assert word.tolist() == [0, 1, 2] and edits.tolist() == [1, 1, 0]
     assert toxicity.train(df.limit(0), df.limit(0)).score(pa.array(["x"]))[0] < 0.5
 
