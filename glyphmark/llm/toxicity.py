@@ -13,7 +13,9 @@ stem and quoted hits, their weights and density gives the score.
 
 Labels, lang, source and doc_id are never inputs of a score.  Training uses labelled rows
 only where crc32(doc_id) mod 5 is not 0, at most about MAX_TRAIN of them, picked by a hash
-of doc_id.  Without both labels in the training rows every score is the prior, or 0.
+of doc_id.  Near copies (an equal least shingle in one of COPIES orders) are one training row, so that the words of a
+text that was copied often are no evidence.  Without both labels in the training rows every
+score is the prior, or 0.
 
 Null and empty texts get the score of a text without hits.  Rows that repeat a doc_id are
 scored row by row.  Only `doc_id` and `text` are read; other columns may have any name.
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmark.llm.common import table
-from glyphmark.llm.textcore import ALNUM, Chunk, chunks
+from glyphmark.llm.textcore import ALNUM, Chunk, chunks, odd_numbers, windows
 
 MAX_TRAIN = 20_000
 #: Words of one table; more words make more tables.
@@ -40,6 +42,8 @@ MIN_DOCS, MIN_ODDS, MIN_GAIN, MIN_PRECISION = 6, 2.0, 20.0, 0.6
 #: A beginning counts only if it is in so many times the toxic documents of its commonest word.
 STEM_GAIN = 1.5
 STEM_SIZES, WORD_SIZES = range(3, 11), range(3, 25)
+#: Near copies among the training rows share a least GRAM words in one of so many orders.
+GRAM, COPIES = 5, 4
 CONTEXT_BYTES, CONTEXT_WORDS = 48, 4
 #: Words that report speech.
 REPORTING = ("said", "says", "wrote", "quote", "quoted", "called", "sagte", "schrieb", "dijo", "dit", "disait")
@@ -141,10 +145,9 @@ class Automaton:
 
     def run(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, term, edits) of all hits among the words of code_points; edits is -1 for a stem."""
-        if not len(self.alphabet):
-            return (np.zeros(0, np.int64),) * 3
-        place = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        symbols = np.where(self.alphabet[place] == points, place + 1, 0)
+        symbol = np.zeros(self.alphabet.max(initial=0) + 2, np.int32)
+        symbol[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        symbols = symbol[np.minimum(points, len(symbol) - 1)]
         alive = np.arange(len(starts))
         state = np.ones(len(alive), np.int32)
         at = starts.copy()
@@ -242,6 +245,27 @@ def _terms(column: pa.Array) -> Iterator[set]:
             yield out
 
 
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each text's least hashes, in COPIES orders, of GRAM words in a row, or of all its words if it has fewer."""
+    for batch in batches:
+        least = []
+        for c in chunks(batch.column("text"), True, ALNUM):
+            h = c.hashes()
+            for r in range(c.hi - c.lo):
+                own = h[c.first[r] : c.first[r + 1]]
+                grams = windows(own, min(GRAM, len(own)), 5) if len(own) else np.zeros(1, np.uint64)
+                least.append([int((grams * f).min().view(np.int64)) for f in odd_numbers(COPIES, 29)])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.list_(pa.int64()))], names=[*batch.schema.names, "least"])
+
+
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, text, toxic) without those that share a least shingle with a smaller doc_id's."""
+    rows = rows.mapInArrow(_least, "doc_id long, text string, toxic int, least array<long>")
+    for k in range(COPIES):
+        rows = rows.groupBy("toxic", F.get("least", F.lit(k))).agg(F.min(F.struct("doc_id", "text", "least")).alias("x")).select("x.doc_id", "x.text", "toxic", "x.least")
+    return rows.select("text", "toxic")
+
+
 def _count_terms(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only, total = wanted.value if wanted else None, Counter()
@@ -287,7 +311,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
     share = min(1.0, max_train / max(1, usable.count()))
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).where(picked)
-    rows = texts.join(usable.where(picked).dropDuplicates(["doc_id"]), "doc_id").select("text", "toxic").persist()
+    rows = texts.join(usable.where(picked).dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", "toxic")
+    rows = _without_copies(rows).persist()
     try:
         sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
