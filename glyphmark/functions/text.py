@@ -53,3 +53,16 @@ def abstains(text: Column, marker: str = "<<NOTEXT>>") -> Column:
 def percent(x: Column, missing: str = "—") -> Column:
     """Two decimals, half to even; the formatter by itself rounds half up."""
     return F.when(x.isNull(), missing).otherwise(F.format_string("%.2f%%", F.rint(x * 100 * 100) / 100))
+
+
+def int_text(x: Column, missing: str = "—") -> Column:
+    return F.coalesce(x.cast("long").cast("string"), F.lit(missing))
+
+
+def float_text(x: Column, places: int = 4, missing: str = "—") -> Column:
+    """So many decimals of the binary value, half to even where it is exactly between."""
+    return F.when(x.isNull(), missing).otherwise(F.format_string(f"%.{places}f", F.bround(x.cast("decimal(38,18)"), places).cast("double")))
+
+
+def cost_text(x: Column, missing: str = "—") -> Column:
+    return F.when(x.isNull(), missing).otherwise(F.concat(F.lit("$"), float_text(x, 6)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphmark.functions.text import strip
 
@@ -49,8 +50,11 @@ def violations(rows: DataFrame, key: str) -> DataFrame:
 
 
 def by_code(found: DataFrame, key: str, shown: int = 10) -> DataFrame:
-    """code, n, the first keys, how many more; a partial top list per task keeps the state small."""
-    ranked = found.groupBy("code").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(key)), 1, shown).alias("first"))
+    """code, n, the first keys, how many more.  Each task hands on at most `shown` keys of a code (a window's group limit), so no task holds all."""
+    place = F.row_number().over(Window.partitionBy("code").orderBy(key))
+    first = found.select("code", key).distinct().withColumn("__place", place).where(F.col("__place") <= shown)
+    first = first.groupBy("code").agg(F.array_sort(F.collect_list(key)).alias("first"))
+    ranked = found.groupBy("code").agg(F.count("*").alias("n")).join(first, "code")
     return ranked.withColumn("more", F.greatest(F.lit(0).cast("long"), F.col("n") - shown))
 
 

@@ -13,40 +13,15 @@ def build_rows(tokens: DataFrame, backmap: DataFrame, manifest: DataFrame) -> Da
     return out.withColumn("modality", F.when(known, F.col("modality")).otherwise(F.raise_error(F.lit("a token's image is in no series of the manifest"))))
 
 
-def seed_diff(seed: DataFrame, record: DataFrame) -> DataFrame:
-    """image_id, seed_index, change: deleted, added, text_fixed, box_fixed or unchanged."""
-    box = ("x0", "y0", "x1", "y1")
-    a = seed.withColumn("__seed", F.lit(True)).alias("a")
-    b = record.withColumn("__record", F.lit(True)).alias("b")
-    both = a.join(b, ["image_id", "seed_index"], "full_outer")
-    moved = F.lit(False)
-    for c in box:
-        moved = moved | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    change = F.when(F.col("__record").isNull(), "deleted").when(F.col("__seed").isNull(), "added").when(~F.col("a.text").eqNullSafe(F.col("b.text")), "text_fixed").when(moved, "box_fixed").otherwise("unchanged")
-    return both.select("image_id", "seed_index", change.alias("change"))
-
-
-def self_agreement(first: DataFrame, second: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """image_id, paired, text_agrees: first-round tokens in list order each take the best second-round word left; of equal ones the later."""
-    a = first.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("g", "token_text", "x0", "y0", "x1", "y1"))).alias("a"))
-    b = second.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("w", "text", "x0", "y0", "x1", "y1"))).alias("b"))
-
-    def overlap(x, y):
-        side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(x[hi], y[hi]) - F.greatest(x[lo], y[lo]))
-        inter = side("x0", "x1") * side("y0", "y1")
-        union = (x["x1"] - x["x0"]) * (x["y1"] - x["y0"]) + (y["x1"] - y["x0"]) * (y["y1"] - y["y0"]) - inter
-        return F.when(union > 0, F.try_divide(inter, union)).otherwise(0.0)
-
-    def step(state, x):
-        free = F.filter("b", lambda y: ~F.array_contains(state["used"], y["w"]) & (overlap(x, y) >= threshold))
-        best = F.array_max(F.transform(free, lambda y: F.struct(overlap(x, y).alias("iou"), y["w"].alias("w"), y["text"].alias("text"))))
-        hit = best.isNotNull()
-        return F.struct(
-            F.when(hit, F.concat(state["used"], F.array(best["w"]))).otherwise(state["used"]).alias("used"),
-            F.when(hit, state["paired"] + 1).otherwise(state["paired"]).alias("paired"),
-            F.when(hit & (best["text"] == x["token_text"]), state["agree"] + 1).otherwise(state["agree"]).alias("agree"),
-        )
-
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.lit(0).alias("paired"), F.lit(0).alias("agree"))
-    rows = a.join(b, "image_id", "left").withColumn("b", F.coalesce("b", F.array().cast("array<struct<w:bigint,text:string,x0:double,y0:double,x1:double,y1:double>>")))
-    return rows.select("image_id", F.size("a").alias("n_first"), F.aggregate("a", start, step).alias("s")).select("image_id", "n_first", F.col("s.paired").alias("paired"), F.col("s.agree").alias("text_agrees"))
+def summary(images: DataFrame, tokens: DataFrame, by: str = "stratum") -> DataFrame:
+    """images (image_id, by), tokens (image_id, label).  Images, those with text, rows and labels by group and over all."""
+    from glyphmark.operators.rollup import grouped, total
+
+    per = tokens.groupBy("image_id").agg(F.count("*").alias("n"), F.count_if(F.expr("label = 'KEEP'")).alias("k"), F.count_if(F.expr("label = 'PHI'")).alias("p"))
+    rows = images.join(per, "image_id", "left")
+    return grouped(rows, by, F.count("*").alias("images"), F.count("n").alias("with_text"), total("n").alias("n_rows"), total("k").alias("keep"), total("p").alias("phi"), F.count_if(F.col("n").isNull()).alias("blank"))
+
+
+def without_text(images: DataFrame, tokens: DataFrame, by: str = "stratum") -> DataFrame:
+    """The groups none of whose images has a token: they say nothing about reading."""
+    return summary(images, tokens, by).where("grp <> 'ALL' AND with_text = 0").select("grp", "images")

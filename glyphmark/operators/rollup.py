@@ -67,8 +67,25 @@ def total(column: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("long")
 
 
+def _costs(scores: DataFrame) -> list[Column]:
+    """Sum and mean of the column `cost`, where there is one: 0 and null for no image."""
+    if "cost" not in scores.columns:
+        return []
+    spent = F.coalesce(F.sum("cost"), F.lit(0.0))
+    return [spent.alias("cost_sum"), F.try_divide(spent, F.count("*").cast("double")).alias("cost_mean")]
+
+
+def _diagnostics(scores: DataFrame) -> list[Column]:
+    """Macro means of `cer` and `wer` over the images that have one, and the censored characters; never a ranking signal."""
+    if not {"cer", "wer"} <= set(scores.columns):
+        return []
+    chars = F.struct(total("keep_chars_total").alias("total"), total("keep_chars_censored").alias("censored"))
+    return [F.avg("cer").alias("cer_mean"), F.avg("wer").alias("wer_mean"), F.count("cer").alias("n_cer_images"), chars.alias("char_censor")]
+
+
 def run_summary(scores: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
-    """The headline table: redaction and exact rates over KEEP tokens, found and added counts, floor, latency, cost.
+    """The headline table: redaction and exact rates over KEEP tokens, found and added counts, floor, latency, and where
+    scores have the columns cost (dollars), cer and wer, their sums and means.
 
     latencies: stratum and elapsed of the same images, where that is cheaper to read again than the scores.
     """
@@ -76,10 +93,12 @@ def run_summary(scores: DataFrame, latencies: DataFrame | None = None) -> DataFr
         scores, "stratum", F.count("*").alias("n_images"), total("keep_total").alias("keep_total"), total("false_redaction_count").alias("false_redaction_count"), total("keep_exact_match_count").alias("keep_exact_match_count"),
         total("found_count").alias("found_count"), total("omission_count").alias("omission_count"), total("gt_total").alias("gt_total"), total("added_count").alias("added_count"),
         F.count_if("negative_control").alias("n_blank"), total("floor_count").alias("floor_count"), F.round(F.avg("elapsed"), 6).alias("latency_mean"),
-        F.count_if(F.col("keep_exact_match_all")).alias("images_all_exact"), told=True,
+        F.count_if(F.col("keep_exact_match_all")).alias("images_all_exact"), *_costs(scores), *_diagnostics(scores), told=True,
     )
     q = quantiles(scores if latencies is None else latencies, "stratum", "elapsed").select(F.col("__total").alias("__t"), "__key", F.col("median").alias("latency_median"), F.col("p95").alias("latency_p95"))
     out = out.join(q, (F.col("__total") == F.col("__t")) & (F.col("__total") | F.col("grp").eqNullSafe(F.col("__key"))), "left").drop("__total", "__t", "__key")
+    if "char_censor" in out.columns:
+        out = out.withColumns({"char_censor_rate": RATE(F.col("char_censor.censored"), F.col("char_censor.total")), "keep_chars_total": F.col("char_censor.total"), "keep_chars_censored": F.col("char_censor.censored")}).drop("char_censor")
     return out.withColumns({"false_redaction_rate": RATE(F.col("false_redaction_count"), F.col("keep_total")), "keep_exact_rate": RATE(F.col("keep_exact_match_count"), F.col("keep_total")), "floor_per_image": RATE(F.col("floor_count"), F.col("n_blank"))})
 
 
@@ -95,5 +114,14 @@ def detection_view(scores: DataFrame) -> DataFrame:
         F.when(F.count_distinct(F.struct("iou_thr")) == 1, F.max("iou_thr")).alias("common_iou_thr"),
     )
     out = out.withColumns({"recall": RATE(F.col("found"), F.col("tokens")), "precision": RATE(F.col("found"), F.col("found") + F.col("added")), "floor_per_image": RATE(F.col("floor"), F.col("n_blank"))})
-    reason = F.when(F.col("recall").isNotNull(), F.lit(None).cast("string")).when(F.col("n_text") + F.col("n_blank") > 0, "no text-bearing image").when(F.col("n_box_free") > 0, "box-free output").when(F.col("n_no_matcher") > 0, "no matcher ran").otherwise("no image")
-    return out.withColumn("na_reason", reason)
+    left_out = F.col("n_box_free") + F.col("n_no_matcher")
+    more = F.when(left_out > 0, F.format_string("; %d left out", left_out)).otherwise("")
+    why = F.when((F.col("n_box_free") > 0) & (F.col("n_no_matcher") == 0), "box-free output").when((F.col("n_no_matcher") > 0) & (F.col("n_box_free") == 0), "no matcher ran").otherwise(F.format_string("%d box-free, %d without a matcher", "n_box_free", "n_no_matcher"))
+
+    def reason(rate: str, nothing: str) -> Column:
+        """Which zero a missing rate comes from."""
+        none = F.when(left_out + F.col("n_text") + F.col("n_blank") == 0, "no image").when(F.col("n_text") + F.col("n_blank") == 0, why)
+        none = none.when(F.col("n_text") > 0, F.concat(F.lit(nothing), more)).otherwise(F.concat(F.format_string("all %d boxed images are blank", "n_blank"), more))
+        return F.when(F.col(rate).isNull(), none)
+
+    return out.withColumns({"recall_na": reason("recall", "no ground-truth tokens"), "precision_na": reason("precision", "nothing predicted")})

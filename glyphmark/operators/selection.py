@@ -29,6 +29,8 @@ def winners(trials: DataFrame, regressed: DataFrame, metric: str, descending: bo
     return first.join(stock, "engine").where(beats).select("engine", "trial_no", F.col(metric).alias("value"), "stock")
 
 
-def freeze(frozen: DataFrame, swept: DataFrame, won: DataFrame) -> DataFrame:
-    """Winners replace, engines swept without a winner go, engines not swept stay."""
+def freeze(frozen: DataFrame, swept: DataFrame, won: DataFrame, fixed_pair: str | None = None) -> DataFrame:
+    """Winners replace, engines swept without a winner go, engines not swept stay.  The engine whose pair is given is never written nor removed."""
+    if fixed_pair is not None:
+        swept, won = (x.where(F.col("engine") != fixed_pair) for x in (swept, won))
     return frozen.join(swept.select("engine").distinct(), "engine", "left_anti").unionByName(won.select(*frozen.columns))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from glyphmark.operators import constraints
+from glyphmark.operators import constraints, manifests, reconcile, review
 from glyphmark.plans import fixtures as fx
 from glyphmark.plans.registry import register
 
@@ -58,14 +57,12 @@ def violations_by_code(spark, d):
     return constraints.by_code(_violations(spark, d), "row_key").withColumn("first", F.array_join("first", ","))
 
 
-@register("manifest_violations", "WITH m AS (SELECT CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE 'u' || o_orderkey // 2 END AS uid, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'CT' END AS modality, CASE WHEN o_orderkey % 29 = 0 THEN '1.5' ELSE '3' END AS frame FROM orders) SELECT 'KEY_BLANK' AS code, count(*) FILTER (WHERE trim(uid) = '') AS n FROM m UNION ALL SELECT 'MODALITY_BLANK', count(*) FILTER (WHERE modality = '') FROM m UNION ALL SELECT 'FRAME_NOT_INTEGRAL', count(*) FILTER (WHERE frame = '1.5') FROM m UNION ALL SELECT 'KEY_DUPLICATE', count(*) FROM (SELECT uid FROM m WHERE trim(uid) <> '' GROUP BY uid HAVING count(*) > 1)")
+@register("manifest_violations", "WITH m AS (SELECT CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE 'u' || o_orderkey // 2 END AS uid, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'CT' END AS modality, CASE WHEN o_orderkey % 7 <> 0 THEN 'a' END AS stratum, CASE WHEN o_orderkey % 29 = 0 THEN '1.5' WHEN o_orderkey % 31 = 0 THEN 'x' ELSE '3' END AS frame FROM orders), v AS (SELECT *, TRY_CAST(frame AS DOUBLE) AS f FROM m) SELECT 'KEY_BLANK' AS code, 'series_uid' AS \"column\", count(*) FILTER (WHERE trim(uid) = '') AS n FROM v UNION ALL SELECT 'CATEGORY_BLANK', 'modality', count(*) FILTER (WHERE modality = '') FROM v UNION ALL SELECT 'CATEGORY_BLANK', 'stratum', count(*) FILTER (WHERE stratum IS NULL) FROM v UNION ALL SELECT 'CATEGORY_BLANK', 'vendor', 0 UNION ALL SELECT 'FRAME_NOT_NUMERIC', 'frame_idx', count(*) FILTER (WHERE f IS NULL) FROM v UNION ALL SELECT 'FRAME_NOT_INTEGRAL', 'frame_idx', count(*) FILTER (WHERE f <> floor(f)) FROM v UNION ALL SELECT 'KEY_DUPLICATE', 'series_uid', count(*) FROM (SELECT uid FROM m WHERE trim(uid) <> '' GROUP BY uid HAVING count(*) > 1)")
 def manifest_violations(spark, d):
     k = F.col("o_orderkey")
-    m = fx.read(spark, d, "orders").select(F.when(k % 19 == 0, " ").otherwise(F.concat(F.lit("u"), F.expr("cast(o_orderkey div 2 as string)"))).alias("uid"), F.when(k % 23 == 0, "").otherwise("CT").alias("modality"), F.when(k % 29 == 0, "1.5").otherwise("3").alias("frame"))
-    v = F.col("frame").try_cast("double")
-    one = m.agg(F.count_if(F.trim("uid") == "").alias("KEY_BLANK"), F.count_if(F.trim("modality") == "").alias("MODALITY_BLANK"), F.count_if(v.isNull() | (v != F.floor(v))).alias("FRAME_NOT_INTEGRAL"))
-    twice = m.where(F.trim("uid") != "").groupBy("uid").count().where("count > 1").agg(F.lit("KEY_DUPLICATE").alias("code"), F.count("*").alias("n"))
-    return one.unpivot([], ["KEY_BLANK", "MODALITY_BLANK", "FRAME_NOT_INTEGRAL"], "code", "n").unionByName(twice)
+    frame = F.when(k % 29 == 0, "1.5").when(k % 31 == 0, "x").otherwise("3")
+    m = fx.read(spark, d, "orders").select(F.when(k % 19 == 0, " ").otherwise(F.concat(F.lit("u"), F.expr("cast(o_orderkey div 2 as string)"))).alias("series_uid"), F.when(k % 23 == 0, "").otherwise("CT").alias("modality"), F.when(k % 7 != 0, "a").alias("stratum"), F.lit("v").alias("vendor"), frame.alias("frame_idx"))
+    return manifests.violations(m)
 
 
 @register("identity_violations", "WITH s AS (SELECT o_custkey % 100 AS run_id, CASE WHEN o_custkey % 100 = 7 AND o_orderkey % 3 = 0 THEN '  ' ELSE 'm' END AS model_name, CASE WHEN o_custkey % 100 = 9 AND o_orderkey % 2 = 0 THEN 'v2' ELSE 'v1' END AS version FROM orders) SELECT run_id, count(*) FILTER (WHERE trim(model_name) = '') AS blanks, count(DISTINCT (model_name, version)) AS identities, CASE WHEN count(*) FILTER (WHERE trim(model_name) = '') > 0 THEN 'BLANK_IDENTITY' ELSE 'MIXED_IDENTITY' END AS code FROM s GROUP BY run_id HAVING count(*) FILTER (WHERE trim(model_name) = '') > 0 OR count(DISTINCT (model_name, version)) > 1")
@@ -78,85 +75,84 @@ def identity_violations(spark, d):
 @register("completeness_gate", WITH + ", s AS (SELECT image_id FROM images WHERE image_id % 8 <> 0), r AS (SELECT image_id, CASE WHEN image_id % 9 = 0 THEN 'deferred' ELSE 'accepted' END AS state FROM images WHERE image_id % 12 <> 5) SELECT coalesce(s.image_id, r.image_id) AS image_id, CASE WHEN r.image_id IS NULL THEN 'MISSING' WHEN s.image_id IS NULL THEN 'ORPHAN' ELSE 'DEFERRED' END AS code FROM s FULL JOIN r ON s.image_id = r.image_id WHERE r.image_id IS NULL OR s.image_id IS NULL OR state = 'deferred'")
 def completeness_gate(spark, d):
     im = fx.images(spark, d).select("image_id")
-    s = im.where("image_id % 8 <> 0").withColumn("scored", F.lit(True))
-    r = im.where("image_id % 12 <> 5").withColumn("state", F.when(F.col("image_id") % 9 == 0, "deferred").otherwise("accepted"))
-    code = F.when(F.col("state").isNull(), "MISSING").when(F.col("scored").isNull(), "ORPHAN").when(F.col("state") == "deferred", "DEFERRED")
-    return s.join(r, "image_id", "full_outer").select("image_id", code.alias("code")).where("code IS NOT NULL")
+    reviewed = im.where("image_id % 12 <> 5").withColumn("state", F.when(F.col("image_id") % 9 == 0, "deferred").otherwise("accepted"))
+    return reconcile.completeness(im.where("image_id % 8 <> 0"), reviewed)
 
 
-@register("preflight_sweep", WITH + ", m AS (SELECT image_id, sha256(image_id || '') AS s FROM images WHERE image_id % 11 <> 0), f AS (SELECT image_id, sha256(CASE WHEN image_id % 10 = 0 THEN 'x' ELSE image_id || '' END) AS s FROM images WHERE image_id % 14 <> 0) SELECT coalesce(m.image_id, f.image_id) AS image_id, CASE WHEN f.image_id IS NULL THEN 'FILE_MISSING' WHEN m.image_id IS NULL THEN 'FILE_ORPHAN' ELSE 'HASH_DIFFERS' END AS code FROM m FULL JOIN f USING (image_id) WHERE f.image_id IS NULL OR m.image_id IS NULL OR m.s <> f.s")
+@register("preflight_sweep", WITH + ", m AS (SELECT image_id, sha256(image_id || '') AS s FROM images WHERE image_id % 11 <> 0), f AS (SELECT image_id, sha256(CASE WHEN image_id % 10 = 0 THEN 'x' ELSE image_id || '' END) AS s FROM images WHERE image_id % 14 <> 0) SELECT coalesce(m.image_id, f.image_id) AS image_id, CASE WHEN f.image_id IS NULL THEN 'FILE_MISSING' WHEN m.image_id IS NULL THEN 'FILE_ORPHAN' ELSE 'HASH_DIFFERS' END AS code FROM m FULL JOIN f USING (image_id) WHERE f.image_id IS NULL OR m.image_id IS NULL OR m.s <> f.s UNION ALL SELECT image_id, 'SEED_ORPHAN' FROM images WHERE image_id % 22 < 3 AND image_id NOT IN (SELECT image_id FROM m)")
 def preflight_sweep(spark, d):
     im, k = fx.images(spark, d).select("image_id"), F.col("image_id").cast("string")
-    m = im.where("image_id % 11 <> 0").withColumn("a", F.sha2(k, 256))
-    f = im.where("image_id % 14 <> 0").withColumn("b", F.sha2(F.when(F.col("image_id") % 10 == 0, "x").otherwise(k), 256))
-    code = F.when(F.col("b").isNull(), "FILE_MISSING").when(F.col("a").isNull(), "FILE_ORPHAN").when(F.expr("a <> b"), "HASH_DIFFERS")
-    return m.join(f, "image_id", "full_outer").select("image_id", code.alias("code")).where("code IS NOT NULL")
+    listed = im.where("image_id % 11 <> 0").withColumn("sha256", F.sha2(k, 256))
+    files = im.where("image_id % 14 <> 0").withColumn("sha256", F.sha2(F.when(F.col("image_id") % 10 == 0, "x").otherwise(k), 256))
+    return reconcile.preflight(listed, files, im.where("image_id % 22 < 3"))
 
 
-@register("provenance_drift", WITH + " SELECT image_id FROM images WHERE image_id % 6 = 0 OR image_id % 10 = 1")
+@register("provenance_drift", WITH + ", o AS (SELECT image_id, CASE WHEN image_id % 10 <> 1 THEN 'engine-1' END AS e, CASE WHEN image_id % 4 = 0 THEN 'h0' ELSE 'h1' END AS h FROM images), n AS (SELECT image_id, CASE WHEN image_id % 6 = 0 THEN 'engine-2' ELSE 'engine-1' END AS e, CASE WHEN image_id % 8 = 0 THEN 'h0' WHEN image_id % 4 <> 0 THEN 'h1' END AS h FROM images) SELECT image_id, concat_ws(',', CASE WHEN o.e IS DISTINCT FROM n.e THEN 'engine' END, CASE WHEN o.h IS DISTINCT FROM n.h THEN 'config_hash' END) AS drifted FROM o JOIN n USING (image_id) WHERE o.e IS DISTINCT FROM n.e OR o.h IS DISTINCT FROM n.h")
 def provenance_drift(spark, d):
     im, k = fx.images(spark, d).select("image_id"), F.col("image_id")
-    old = im.withColumn("old", F.when(k % 10 != 1, F.lit("engine-1")))
-    now = im.withColumn("now", F.when(k % 6 == 0, "engine-2").otherwise("engine-1"))
-    return old.join(now, "image_id").where(~F.col("old").eqNullSafe(F.col("now"))).select("image_id")
+    old = im.select(k, F.when(k % 10 != 1, F.lit("engine-1")).alias("engine"), F.when(k % 4 == 0, "h0").otherwise("h1").alias("config_hash"))
+    now = im.select(k, F.when(k % 6 == 0, "engine-2").otherwise("engine-1").alias("engine"), F.when(k % 8 == 0, "h0").when(k % 4 == 0, None).otherwise("h1").alias("config_hash"))
+    return reconcile.provenance_drift(old, now, ("engine", "config_hash")).select("image_id", F.array_join("drifted", ",").alias("drifted"))
 
 
-@register("dedupe_sets", "WITH u AS (SELECT o_orderkey // 2 AS id, o_orderkey % 2 AS set_no, CASE WHEN o_orderkey % 14 = 1 THEN 'b' ELSE 'a' END AS sha FROM orders) SELECT id, min(set_no) AS set_no, count(DISTINCT sha) > 1 AS conflict FROM u GROUP BY id")
+@register("dedupe_sets", "WITH u AS (SELECT o_orderkey // 2 AS id, o_orderkey % 2 AS set_no, CASE WHEN o_orderkey % 14 = 1 THEN 'b' ELSE 'a' END AS sha, CASE WHEN o_orderkey % 30 <> 4 THEN 'engine-1' ELSE '?' END AS e FROM orders) SELECT id, min(set_no) AS set_no, count(DISTINCT sha) > 1 OR count(DISTINCT e) > 1 AS conflict FROM u GROUP BY id")
 def dedupe_sets(spark, d):
-    u = fx.read(spark, d, "orders").select(F.expr("o_orderkey div 2").alias("id"), (F.col("o_orderkey") % 2).alias("set_no"), F.when(F.col("o_orderkey") % 14 == 1, "b").otherwise("a").alias("sha"))
-    w = Window.partitionBy("id")
-    first = u.withColumns({"k": F.row_number().over(w.orderBy("set_no")), "lo": F.min("sha").over(w), "hi": F.max("sha").over(w)})
-    return first.where("k = 1").select("id", "set_no", F.expr("lo <> hi").alias("conflict"))
+    k = F.col("o_orderkey")
+    u = fx.read(spark, d, "orders").select(F.expr("o_orderkey div 2").alias("id"), (k % 2).alias("set_no"), F.when(k % 14 == 1, "b").otherwise("a").alias("sha256"), F.when(k % 30 != 4, "engine-1").alias("engine"))
+    return reconcile.union_of_sets(u, ("engine",))
 
 
-@register("id_collisions", "WITH m AS (SELECT substr(md5(o_orderkey || ''), 1, 4) AS id, o_orderkey AS src FROM orders) SELECT id, count(DISTINCT src) AS n FROM m GROUP BY id HAVING count(DISTINCT src) > 1")
+@register("id_collisions", "WITH m AS (SELECT substr(md5(CASE WHEN o_orderkey % 50 = 3 THEN 'twice' ELSE o_orderkey || '' END), 1, CASE WHEN o_orderkey % 1000 = 9 THEN 6 ELSE 4 END) AS id, o_orderkey // 3 AS src FROM orders) SELECT 'ID_OF_TWO_SOURCES' AS code, id AS value, count(DISTINCT src) AS n FROM m GROUP BY id HAVING count(DISTINCT src) > 1 UNION ALL SELECT 'SOURCE_UNDER_TWO_IDS', src || '', count(DISTINCT id) FROM m GROUP BY src HAVING count(DISTINCT id) > 1 UNION ALL SELECT 'ID_LENGTHS_MIXED', length(id) || '', count(*) FROM m WHERE (SELECT count(DISTINCT length(id)) FROM m) > 1 GROUP BY length(id)")
 def id_collisions(spark, d):
     k = F.col("o_orderkey")
-    return fx.read(spark, d, "orders").groupBy(F.substring(F.md5(k.cast("string")), 1, 4).alias("id")).agg(F.count_distinct(k).alias("n")).where("n > 1")
+    name = F.md5(F.when(k % 50 == 3, F.lit("twice")).otherwise(k.cast("string")))
+    rows = fx.read(spark, d, "orders").select(F.when(k % 1000 == 9, F.substring(name, 1, 6)).otherwise(F.substring(name, 1, 4)).alias("id"), F.expr("o_orderkey div 3").alias("source"))
+    return manifests.id_collisions(rows)
 
 
 @register("backmap_fd_violations", "SELECT o_custkey AS image_id, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
 def backmap_fd_violations(spark, d):
-    return fx.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("image_id")).agg(F.count_distinct("o_orderpriority").alias("n")).where("n > 1")
+    rows = fx.read(spark, d, "orders").select(F.col("o_custkey").alias("image_id"), "o_orderpriority")
+    return manifests.functional_violations(rows, "image_id", "o_orderpriority")
 
 
 @register("blank_contradictions", WITH + " SELECT image_id FROM images WHERE image_id % 10 < 2 AND image_id IN (SELECT image_id FROM gt)")
 def blank_contradictions(spark, d):
-    return fx.images(spark, d).where("image_id % 10 < 2").select("image_id").join(fx.gt_tokens(spark, d), "image_id", "left_semi")
+    return reconcile.contradictions(fx.images(spark, d).where("image_id % 10 < 2"), fx.gt_tokens(spark, d))
 
 
 @register("control_box_violations", WITH + " SELECT DISTINCT image_id FROM gt WHERE image_id % 15 = 1")
 def control_box_violations(spark, d):
-    return fx.images(spark, d).where("image_id % 15 = 1").select("image_id").join(fx.gt_tokens(spark, d).select("image_id").distinct(), "image_id")
+    return reconcile.contradictions(fx.images(spark, d).where("image_id % 15 = 1"), fx.gt_tokens(spark, d))
 
 
-@register("review_record_violations", "SELECT o_orderkey AS image_id, code FROM (SELECT o_orderkey, unnest(list_concat(CASE WHEN o_orderkey % 9 = 0 THEN ['STATE_INVALID'] ELSE [] END, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 = 1 AND o_orderkey % 6 = 0 THEN [] ELSE [] END, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0 AND o_orderkey % 6 = 0 THEN ['REASON_WITHOUT_DEFER'] ELSE [] END, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 = 0 AND o_orderkey % 10 = 0 THEN ['DEFERRED_WITH_TOKENS'] ELSE [] END)) AS code FROM orders)")
+@register("review_record_violations", "WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN 'open' WHEN o_orderkey % 4 = 0 THEN 'deferred' ELSE 'accepted' END AS state, CASE WHEN o_orderkey % 6 = 0 THEN 'unreadable' WHEN o_orderkey % 20 = 0 THEN 'other' END AS reason, o_orderkey % 4 <> 0 OR o_orderkey % 10 = 0 AS has FROM orders) SELECT k AS image_id, 'STATE_INVALID' AS code FROM r WHERE state = 'open' UNION ALL SELECT k, 'DEFER_REASON_INVALID' FROM r WHERE state = 'deferred' AND coalesce(reason, '') <> 'unreadable' UNION ALL SELECT k, 'REASON_WITHOUT_DEFER' FROM r WHERE state = 'accepted' AND reason IS NOT NULL UNION ALL SELECT k, 'DEFERRED_WITH_TOKENS' FROM r WHERE state = 'deferred' AND has UNION ALL SELECT k, 'BOX_NOT_FOUR' FROM r WHERE has AND k % 16 = 1 UNION ALL SELECT k, 'LABEL_INVALID' FROM r WHERE has AND k % 18 = 1 UNION ALL SELECT k, 'TEXT_BLANK' FROM r WHERE has AND k % 22 = 1 UNION ALL SELECT k, 'SEED_INDEX_NEGATIVE' FROM r WHERE has AND k % 25 = 0 UNION ALL SELECT k, 'SEED_INDEX_REPEATED' FROM r WHERE has AND (k % 25 = 0 OR k % 21 = 0)")
 def review_record_violations(spark, d):
     k = F.col("o_orderkey")
-    r = fx.read(spark, d, "orders").select(k.alias("image_id"), F.when(k % 9 == 0, "open").when(k % 4 == 0, "deferred").otherwise("accepted").alias("state"), F.when(k % 6 == 0, "blurred").alias("reason"), F.when(k % 10 == 0, 1).otherwise(0).alias("n_tokens"))
-    known = F.col("state").isin("accepted", "edited", "deferred")
-    rules = [F.when(~known, "STATE_INVALID"), F.when(known & (F.col("state") != "deferred") & F.col("reason").isNotNull(), "REASON_WITHOUT_DEFER"), F.when((F.col("state") == "deferred") & (F.col("n_tokens") > 0), "DEFERRED_WITH_TOKENS")]
-    return r.select("image_id", F.explode(F.array_compact(F.array(*rules))).alias("code"))
+    state = F.when(k % 9 == 0, "open").when(k % 4 == 0, "deferred").otherwise("accepted")
+    reason = F.when(k % 6 == 0, "unreadable").when(k % 20 == 0, "other")
+    index = lambda i: F.when(k % 25 == 0, -1).when(k % 21 == 0, 7).otherwise(i)
+    box = F.when(k % 16 == 1, F.array(F.lit(0.0))).otherwise(F.array(*[F.lit(float(v)) for v in (0, 0, 5, 5)]))
+    token = lambda i: F.struct(box.alias("box"), F.when(k % 18 == 1, "X").otherwise("KEEP").alias("label"), F.when(k % 22 == 1, "  ").otherwise("a").alias("text"), index(F.lit(i)).alias("seed_index"))
+    tokens = F.when((k % 4 != 0) | (k % 10 == 0), F.array(token(0), token(1)))
+    return review.record_violations(fx.read(spark, d, "orders").select(k.alias("image_id"), state.alias("state"), reason.alias("defer_reason"), tokens.alias("tokens")))
 
 
 @register("frame_disagreements", WITH + " SELECT stratum, count(*) FILTER (WHERE frame_idx <> CASE WHEN image_id % 8 = 0 THEN 0 ELSE frame_idx END) AS n FROM images GROUP BY stratum")
 def frame_disagreements(spark, d):
     m = fx.images(spark, d)
-    r = m.select("image_id", F.when(F.col("image_id") % 8 == 0, 0).otherwise(F.col("frame_idx")).alias("rendered"))
-    return m.join(r, "image_id").groupBy("stratum").agg(F.count_if(F.expr("frame_idx <> rendered")).alias("n"))
+    rendered = m.select("image_id", F.when(F.col("image_id") % 8 == 0, 0).otherwise(F.col("frame_idx")).alias("rendered"))
+    return manifests.frame_disagreements(m.select("image_id", "stratum", "frame_idx"), rendered, "image_id", "stratum")
 
 
 @register("upsert_manifest", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM part UNION ALL SELECT -s_suppkey, 'new' FROM supplier")
 def upsert_manifest(spark, d):
     old = fx.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("old").alias("version"))
     new = old.where("id % 3 = 0").select("id", F.lit("new").alias("version")).unionByName(fx.read(spark, d, "supplier").select((-F.col("s_suppkey")).alias("id"), F.lit("new").alias("version")))
-    return old.join(new, "id", "left_anti").unionByName(new)
+    return manifests.upsert(old, new, "id")
 
 
 @register("density_outliers", WITH + ", t AS (SELECT stratum, count(*) / count(DISTINCT image_id) AS a FROM gt JOIN images USING (image_id) GROUP BY stratum), o AS (SELECT count(*) / count(DISTINCT image_id) AS b FROM gt) SELECT stratum, round(a / b, 9) AS ratio FROM t, o")
 def density_outliers(spark, d):
-    from glyphmark.operators.rollup import grouped
-
     rows = fx.gt_tokens(spark, d).select("image_id").join(fx.images(spark, d).select("image_id", "stratum"), "image_id")
-    g = grouped(rows, "stratum", F.try_divide(F.count("*"), F.count_distinct("image_id")).alias("a"))
-    return g.where("grp <> 'ALL'").join(F.broadcast(g.where("grp = 'ALL'").select(F.col("a").alias("b"))), how="cross").select(F.col("grp").alias("stratum"), F.round(F.expr("a / b"), 9).alias("ratio"))
+    return reconcile.density(rows, "stratum").select("stratum", F.round("ratio", 9).alias("ratio"))
\ No newline at end of file

@@ -116,9 +116,9 @@ SUMS = ("keep_total", "false_redaction_count", "keep_exact_match_count", "found_
 
 
 @register("aggregate_run", f"""WITH RECURSIVE {SCORES}, a AS (SELECT coalesce(stratum, 'ALL') AS grp, count(*) AS n_images, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in SUMS)}, count(*) FILTER (WHERE negative_control) AS n_blank, CAST(sum(floor_count) AS BIGINT) AS floor_count,
-  round(avg(elapsed), 6) AS latency_mean, median(elapsed) AS latency_median, list(elapsed ORDER BY elapsed) AS e, count(*) FILTER (WHERE keep_exact_match_all) AS images_all_exact FROM scores GROUP BY GROUPING SETS ((stratum), ())),
+  round(avg(elapsed), 6) AS latency_mean, median(elapsed) AS latency_median, list(elapsed ORDER BY elapsed) AS e, count(*) FILTER (WHERE keep_exact_match_all) AS images_all_exact, sum(cost) AS cost_sum, sum(cost) / count(*) AS cost_mean, avg(cer) AS cer_mean, avg(wer) AS wer_mean, count(cer) AS n_cer_images, CAST(sum(keep_chars_total) AS BIGINT) AS keep_chars_total, CAST(sum(keep_chars_censored) AS BIGINT) AS keep_chars_censored FROM scores GROUP BY GROUPING SETS ((stratum), ())),
  b AS (SELECT *, greatest(1, least(95 * (len(e) + 1) // 100, len(e) - 1)) AS j FROM a)
- SELECT * EXCLUDE (e, j), false_redaction_count / nullif(keep_total, 0) AS false_redaction_rate, keep_exact_match_count / nullif(keep_total, 0) AS keep_exact_rate, floor_count / nullif(n_blank, 0) AS floor_per_image, {P95} AS latency_p95 FROM b""")
+ SELECT * EXCLUDE (e, j), false_redaction_count / nullif(keep_total, 0) AS false_redaction_rate, keep_exact_match_count / nullif(keep_total, 0) AS keep_exact_rate, floor_count / nullif(n_blank, 0) AS floor_per_image, keep_chars_censored / nullif(keep_chars_total, 0) AS char_censor_rate, {P95} AS latency_p95 FROM b""")
 def aggregate_run(spark, d):
     return rollup.run_summary(scores(spark, d), latencies(spark, d))
 
@@ -134,22 +134,36 @@ def latency_stats(spark, d):
     return out
 
 
-DETECT = SCORES + ", det AS (SELECT *, image_id % 10 = 1 AS box_free, CASE WHEN image_id % 7 <> 0 THEN 0.5 END AS iou_thr FROM scores), dv AS (SELECT coalesce(stratum, 'ALL') AS grp, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS n_text, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND negative_control) AS n_blank, count(*) FILTER (WHERE box_free) AS n_box_free, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NULL) AS n_no_matcher, CAST(sum(found_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS found, CAST(sum(gt_total) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS tokens, CAST(sum(added_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS added, CAST(sum(floor_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND negative_control) AS BIGINT) AS floor FROM det GROUP BY GROUPING SETS ((stratum), ()))"
+DETECT = SCORES + ", det AS (SELECT *, image_id % 10 = 1 AS box_free, CASE WHEN image_id % 7 <> 0 OR stratum = 'BUILDING' THEN CAST(0.5 AS DOUBLE) END AS iou_thr FROM scores), dv AS (SELECT coalesce(stratum, 'ALL') AS grp, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS n_text, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND negative_control) AS n_blank, count(*) FILTER (WHERE box_free) AS n_box_free, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NULL) AS n_no_matcher, CAST(sum(found_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS found, CAST(sum(gt_total) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS tokens, CAST(sum(added_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS BIGINT) AS added, CAST(sum(floor_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND negative_control) AS BIGINT) AS floor, CASE WHEN count(DISTINCT coalesce(iou_thr, -1)) = 1 THEN max(iou_thr) END AS common_iou_thr FROM det GROUP BY GROUPING SETS ((stratum), ()))"
 
 
 def _detectable(spark, d):
-    return scores(spark, d).withColumns({"box_free": F.col("image_id") % 10 == 1, "iou_thr": F.when(F.col("image_id") % 7 != 0, F.lit(0.5))})
+    return scores(spark, d).withColumns({"box_free": F.col("image_id") % 10 == 1, "iou_thr": F.when((F.col("image_id") % 7 != 0) | (F.col("stratum") == "BUILDING"), F.lit(0.5))})
 
 
-@register("detection_view", f"WITH RECURSIVE {DETECT} SELECT *, CAST(NULL AS DOUBLE) AS common_iou_thr, found / tokens AS recall, found / (found + added) AS precision, floor / n_blank AS floor_per_image FROM dv")
+@register("detection_view", f"WITH RECURSIVE {DETECT} SELECT *, found / tokens AS recall, found / (found + added) AS precision, floor / n_blank AS floor_per_image FROM dv")
 def detection_view(spark, d):
-    return rollup.detection_view(_detectable(spark, d)).drop("na_reason")
+    return rollup.detection_view(_detectable(spark, d)).drop("recall_na", "precision_na")
 
 
-@register("detection_na_reason", f"WITH {fx.SQL} SELECT stratum AS grp, CASE WHEN count(*) FILTER (WHERE image_id % 5 <> 0) > 0 THEN 'box-free output' ELSE 'no image' END AS na_reason FROM images GROUP BY stratum UNION ALL SELECT 'ALL', 'box-free output'")
+#: A group of every kind of zero: its rows by the remainder of the order's key.
+NA = """nr AS (SELECT 'g' || k AS grp, k IN (1, 5) AND j OR k = 3 AND half AS box_free, CASE WHEN NOT (k = 2 OR k = 3 AND NOT half OR k = 8 AND half) THEN 0.5 END AS iou_thr, k IN (4, 5) AS negative_control, CASE WHEN k IN (6, 7) THEN 0 ELSE 5 END AS gt_total, CASE WHEN k IN (0, 9) THEN 2 ELSE 0 END AS found_count, CASE WHEN k IN (0, 7) THEN 1 ELSE 0 END AS added_count
+ FROM (SELECT o_orderkey % 10 AS k, o_orderkey % 10 = 1 OR o_orderkey // 10 % 3 = 0 AS j, o_orderkey // 10 % 2 = 0 AS half FROM orders))"""
+
+
+@register("detection_na_reason", f"""WITH {NA}, c AS (SELECT grp, count(*) FILTER (WHERE box_free) AS bf, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NULL) AS nm, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control) AS tx, count(*) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND negative_control) AS bl,
+ coalesce(sum(gt_total) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control), 0) AS t, coalesce(sum(found_count + added_count) FILTER (WHERE NOT box_free AND iou_thr IS NOT NULL AND NOT negative_control), 0) AS p FROM (SELECT * FROM nr UNION ALL SELECT * REPLACE ('ALL' AS grp) FROM nr) GROUP BY grp),
+ w AS (SELECT *, CASE WHEN bf + nm > 0 THEN '; ' || (bf + nm) || ' left out' ELSE '' END AS x, CASE WHEN nm = 0 THEN 'box-free output' WHEN bf = 0 THEN 'no matcher ran' ELSE bf || ' box-free, ' || nm || ' without a matcher' END AS why FROM c)
+ SELECT grp, CASE WHEN t > 0 THEN NULL WHEN tx + bl = 0 THEN why WHEN tx > 0 THEN 'no ground-truth tokens' || x ELSE 'all ' || bl || ' boxed images are blank' || x END AS recall_na, CASE WHEN p > 0 THEN NULL WHEN tx + bl = 0 THEN why WHEN tx > 0 THEN 'nothing predicted' || x ELSE 'all ' || bl || ' boxed images are blank' || x END AS precision_na FROM w""")
 def detection_na_reason(spark, d):
-    rows = fx.images(spark, d).select("stratum", F.lit(True).alias("box_free"), F.lit(0.5).alias("iou_thr"), F.lit(False).alias("negative_control"), *[F.lit(0).alias(c) for c in ("found_count", "gt_total", "added_count", "floor_count")])
-    return rollup.detection_view(rows).select("grp", "na_reason")
+    o = fx.read(spark, d, "orders").select((F.col("o_orderkey") % 10).alias("k"), F.expr("o_orderkey div 10").alias("q"))
+    k, half = F.col("k"), F.col("q") % 2 == 0
+    count = lambda when, n: F.when(when, n).otherwise(0)
+    rows = o.select(
+        F.concat(F.lit("g"), k.cast("string")).alias("stratum"), (k.isin(1, 5) & ((k == 1) | (F.col("q") % 3 == 0)) | (k == 3) & half).alias("box_free"), F.when(~((k == 2) | (k == 3) & ~half | (k == 8) & half), F.lit(0.5)).alias("iou_thr"), k.isin(4, 5).alias("negative_control"),
+        count(~k.isin(6, 7), 5).alias("gt_total"), count(k.isin(0, 9), 2).alias("found_count"), count(k.isin(0, 7), 1).alias("added_count"), F.lit(0).alias("floor_count"),
+    )
+    return rollup.detection_view(rows).select("grp", "recall_na", "precision_na")
 
 
 @register("report_table_a", f"WITH RECURSIVE {SCORES} SELECT coalesce(stratum, 'ALL') AS grp, format('{{:.2f}}%', 100 * sum(false_redaction_count) / sum(keep_total)) AS false_redaction, format('{{:.2f}}%', 100 * sum(keep_exact_match_count) / sum(keep_total)) AS keep_exact, CAST(sum(found_count) AS BIGINT) AS found, CAST(sum(omission_count) AS BIGINT) AS omitted, CAST(sum(added_count) AS BIGINT) AS added FROM scores GROUP BY GROUPING SETS ((stratum), ())")

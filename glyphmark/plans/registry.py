@@ -18,5 +18,5 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("evaluation", "scalars", "checks", "selection", "inputs"):
+for _module in ("evaluation", "scalars", "checks", "selection", "inputs", "guards"):
     importlib.import_module(f"glyphmark.plans.{_module}")

@@ -23,7 +23,7 @@ def cell(value) -> str:
     return text.replace("|", "\\|").replace("\n", " ")
 
 
-def sections(title: str, facts: dict, tables: dict[str, DataFrame]) -> str:
+def sections(title: str, facts: dict, tables: dict[str, DataFrame], notes: dict[str, str] | None = None) -> str:
     """A heading, the run's facts, and a section a table, sorted by its first column.  Takes only
     roll-ups: a table of more than MAX_ROWS is refused, not cut."""
     parts = [f"# {title}", "\n".join(f"- {k}: {cell(v)}" for k, v in facts.items())]
@@ -31,5 +31,6 @@ def sections(title: str, facts: dict, tables: dict[str, DataFrame]) -> str:
         rows = df.orderBy(df.columns[0]).limit(MAX_ROWS + 1).collect()
         if len(rows) > MAX_ROWS:
             raise ValueError(f"{name}: a report takes roll-ups of at most {MAX_ROWS} rows")
-        parts.append(f"## {name}\n\n{markdown_table(df.columns, [[cell(v) for v in r] for r in rows])}")
+        note = f"{notes[name]}\n\n" if notes and name in notes else ""
+        parts.append(f"## {name}\n\n{note}{markdown_table(df.columns, [[cell(v) for v in r] for r in rows])}")
     return "\n\n".join(parts) + "\n"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmark.functions import cost, geometry, text
-from glyphmark.operators import rollup
+from glyphmark.operators import manifests, ocrseeds, reading, reconcile, review, rollup
 from glyphmark.plans import fixtures as fx
 from glyphmark.plans.registry import register
 
@@ -23,64 +23,34 @@ def iou_scalar(spark, d):
     return gt.alias("a").join(gt.alias("b"), F.expr("a.image_id = b.image_id AND a.g < b.g")).select("a.image_id", F.col("a.g").alias("g1"), F.col("b.g").alias("g2"), geometry.iou("a", "b").alias("iou"))
 
 
-READS = "bm AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM benchmark), r AS (SELECT item_id, trim(substr(text, 1, 40)) AS expected, trim(CASE item_id % 5 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN 'x' || substr(text, 2, 39) WHEN 2 THEN substr(text, 1, 30) WHEN 3 THEN '' ELSE replace(substr(text, 1, 40), 'e', 'o') END) AS hyp FROM bm)"
-
-
 def _reads(spark, d):
-    t, head = F.col("text"), F.substring("text", 1, 40)
-    k = F.col("item_id") % 5
-    hyp = F.when(k == 0, head).when(k == 1, F.concat(F.lit("x"), F.substring("text", 2, 39))).when(k == 2, F.substring("text", 1, 30)).when(k == 3, "").otherwise(F.replace(head, F.lit("e"), F.lit("o")))
-    rows = fx.read(spark, d, "benchmark").where(t.isNotNull()).withColumn("text", F.regexp_replace(t, r"[^\x00-\x7F]", "?"))
-    return rows.select("item_id", F.trim(head).alias("expected"), F.trim(hyp).alias("hyp"))
+    """Whole benchmark texts with their characters as they are: faults fall on the first, the last quarter, all or every e."""
+    t, k = F.col("text"), F.col("item_id") % 5
+    hyp = F.when(t.isNull(), None).when(k == 0, t).when(k == 1, F.expr("concat('x', substring(text, 2))")).when(k == 2, F.expr("substring(text, 1, length(text) * 3 div 4)")).when(k == 3, "").otherwise(F.replace(t, F.lit("e"), F.lit("o")))
+    return fx.read(spark, d, "benchmark").select("item_id", text.strip(t).alias("expected"), text.strip(hyp).alias("hyp"))
 
 
-@register("cer", f"WITH {READS} SELECT item_id, levenshtein(expected, hyp) / nullif(length(expected), 0) AS cer FROM r")
+# SQL's levenshtein counts bytes and takes too long on whole texts; tests/test_engine.py holds these three against brute force.
+@register("cer")
 def cer(spark, d):
     return _reads(spark, d).select("item_id", text.cer(F.col("expected"), F.col("hyp")).alias("cer"))
 
 
-WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
-
-
-@register("wer", f"WITH {READS}, v AS (SELECT item_id, {WORDS.format('expected')} AS a, {WORDS.format('hyp')} AS b FROM r), u AS (SELECT *, list_distinct(list_concat(a, b)) AS voc FROM v) SELECT item_id, levenshtein(array_to_string(list_transform(a, lambda w: chr(33 + CAST(list_position(voc, w) AS INTEGER))), ''), array_to_string(list_transform(b, lambda w: chr(33 + CAST(list_position(voc, w) AS INTEGER))), '')) / nullif(len(a), 0) AS wer FROM u")
+@register("wer")
 def wer(spark, d):
     return _reads(spark, d).select("item_id", text.wer(F.col("expected"), F.col("hyp")).alias("wer"))
 
 
-@register("diagnostic_rollup", f"WITH {READS} SELECT item_id % 2 AS half, count(*) AS n, count(CASE WHEN hyp <> '' THEN 1 END) AS n_read, round(avg(CASE WHEN hyp <> '' THEN levenshtein(expected, hyp) / nullif(length(expected), 0) END), 9) AS cer_macro FROM r GROUP BY 1")
+@register("diagnostic_rollup")
 def diagnostic_rollup(spark, d):
     c = F.when(F.col("hyp") != "", text.cer(F.col("expected"), F.col("hyp")))
     return _reads(spark, d).groupBy((F.col("item_id") % 2).alias("half")).agg(F.count("*").alias("n"), F.count(c).alias("n_read"), F.round(F.avg(c), 9).alias("cer_macro"))
 
 
-def _whole_reads(spark, d):
-    """The reads of _reads over whole texts, characters as they are: faults fall on the first, the last quarter, all or every e."""
-    t, k = F.col("text"), F.col("item_id") % 5
-    hyp = F.when(t.isNull(), None).when(k == 0, t).when(k == 1, F.expr("concat('x', substring(text, 2))")).when(k == 2, F.expr("substring(text, 1, length(text) * 3 div 4)")).when(k == 3, "").otherwise(F.replace(t, F.lit("e"), F.lit("o")))
-    return fx.read(spark, d, "benchmark").select("item_id", text.strip(t).alias("expected"), text.strip(hyp).alias("hyp"))
-
-
-@register("cer_whole")
-def cer_whole(spark, d):
-    return _whole_reads(spark, d).select("item_id", text.cer(F.col("expected"), F.col("hyp")).alias("cer"))
-
-
-@register("wer_whole")
-def wer_whole(spark, d):
-    return _whole_reads(spark, d).select("item_id", text.wer(F.col("expected"), F.col("hyp")).alias("wer"))
-
-
-@register("diagnostic_rollup_whole")
-def diagnostic_rollup_whole(spark, d):
-    c = F.when(F.col("hyp") != "", text.cer(F.col("expected"), F.col("hyp")))
-    return _whole_reads(spark, d).groupBy((F.col("item_id") % 2).alias("half")).agg(F.count("*").alias("n"), F.count(c).alias("n_read"), F.round(F.avg(c), 9).alias("cer_macro"))
-
-
 @register("bench_reader", "WITH b AS (SELECT item_id, substr(text, 1, 8) AS e, CASE item_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' || substr(text, 2, 7) ELSE substr(text, 1, 8) END AS r FROM benchmark) SELECT count(*) AS n, count(*) FILTER (WHERE trim(e) = trim(r)) AS exact, count(*) FILTER (WHERE trim(r) = '') AS empty, count(*) FILTER (WHERE trim(r) <> '' AND trim(e) <> trim(r)) AS misread, count(*) FILTER (WHERE length(e) = 8) AS n8 FROM b")
 def bench_reader(spark, d):
     e, k = F.substring("text", 1, 8), F.col("item_id") % 5
-    b = fx.read(spark, d, "benchmark").select(text.normalize(e).alias("e"), text.normalize(F.when(k == 0, "").when(k == 1, F.concat(F.lit("x"), F.substring("text", 2, 7))).otherwise(e)).alias("r"), (F.length(e) == 8).alias("eight"))
-    return b.agg(F.count("*").alias("n"), F.count_if(F.expr("e = r")).alias("exact"), F.count_if(F.expr("r = ''")).alias("empty"), F.count_if(F.expr("r <> '' AND e <> r")).alias("misread"), F.count_if("eight").alias("n8"))
+    return reading.bench(fx.read(spark, d, "benchmark").select(e.alias("expected"), F.when(k == 0, "").when(k == 1, F.concat(F.lit("x"), F.substring("text", 2, 7))).otherwise(e).alias("read")))
 
 
 @register("image_id_hash", "SELECT o_orderkey, substr(sha256('s' || o_orderkey || '|' || o_orderkey % 60), 1, 8) AS hashed FROM orders")
@@ -105,8 +75,8 @@ def cost_rollup(spark, d):
 
 @register("usage_cost", "SELECT c_mktsegment AS grp, CAST(sum(c_custkey) AS BIGINT) AS input_tokens, CAST(sum(c_nationkey) AS BIGINT) AS output_tokens, round(sum(c_custkey) * 1.25 / 1000000 + sum(c_nationkey) * 10.0 / 1000000, 9) AS usd FROM customer GROUP BY 1")
 def usage_cost(spark, d):
-    out = fx.read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.sum("c_custkey").cast("long").alias("input_tokens"), F.sum("c_nationkey").cast("long").alias("output_tokens"))
-    return out.withColumn("usd", F.round(F.col("input_tokens") * 1.25 / 1_000_000 + F.col("output_tokens") * 10.0 / 1_000_000, 9))
+    calls = fx.read(spark, d, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_custkey").alias("input_tokens"), F.col("c_nationkey").alias("output_tokens"))
+    return reading.usage(calls, "grp", 1.25, 10.0)
 
 
 CROP = "cp AS (SELECT *, CAST(greatest(floor(x0 - (y1 - y0) * 0.1), 0) AS BIGINT) AS cx0, CAST(greatest(floor(y0 - (y1 - y0) * 0.1), 0) AS BIGINT) AS cy0 FROM gt), cr AS (SELECT *, greatest(CAST(least(ceil(x1 + (y1 - y0) * 0.1), 1024) AS BIGINT), cx0 + 1) AS cx1, greatest(CAST(least(ceil(y1 + (y1 - y0) * 0.1), 768) AS BIGINT), cy0 + 1) AS cy1 FROM cp), crop AS (SELECT *, greatest(1, CAST(round_even((cx1 - cx0) * 48.0 / (cy1 - cy0), 0) AS BIGINT)) AS cw FROM cr)"
@@ -158,25 +128,24 @@ def config_label(spark, d):
 
 @register("manifest_project", "SELECT sha256('s' || o_orderkey) AS series_uid, o_orderpriority AS modality, c_mktsegment AS stratum, n_name AS vendor, CAST(o_orderkey % 60 AS INTEGER) AS frame_idx FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def manifest_project(spark, d):
-    return fx.images(spark, d).select(F.sha2(F.concat(F.lit("s"), F.col("image_id").cast("string")), 256).alias("series_uid"), "modality", "stratum", "vendor", "frame_idx")
+    raw = fx.images(spark, d).select(F.sha2(F.concat(F.lit("s"), F.col("image_id").cast("string")), 256).alias("series_uid"), "modality", F.col("stratum").alias("strata"), F.col("vendor").alias("manufacturer"), F.col("frame_idx").alias("middle_frame_index"), F.lit("private").alias("institution_name"))
+    return manifests.project(raw, {"series_uid": "series_uid", "modality": "modality", "strata": "stratum", "manufacturer": "vendor", "middle_frame_index": "frame_idx"})
 
 
 @register("manifest_counts", WITH + " SELECT 'modality' AS field, modality AS value, count(*) AS n FROM images GROUP BY 2 UNION ALL SELECT 'stratum', stratum, count(*) FROM images GROUP BY 2 UNION ALL SELECT 'vendor', vendor, count(*) FROM images GROUP BY 2 UNION ALL SELECT 'blank', 'candidate', count(*) FROM images WHERE image_id % 5 = 0")
 def manifest_counts(spark, d):
-    im = fx.images(spark, d).withColumn("blank", F.when(F.col("image_id") % 5 == 0, "candidate"))
-    return im.unpivot([], ["modality", "stratum", "vendor", "blank"], "field", "value").where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("n"))
+    return manifests.counts(fx.images(spark, d), blank=F.col("image_id") % 5 == 0)
 
 
 @register("frame_idx_summary", WITH + " SELECT coalesce(min(frame_idx), 0) AS lo, coalesce(max(frame_idx), 0) AS hi, coalesce(median(frame_idx), 0) AS mid, round(coalesce(avg(frame_idx), 0), 9) AS mean FROM images")
 def frame_idx_summary(spark, d):
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return fx.images(spark, d).agg(z(F.min("frame_idx")).alias("lo"), z(F.max("frame_idx")).alias("hi"), z(F.median("frame_idx")).alias("mid"), F.round(z(F.avg("frame_idx")), 9).alias("mean"))
+    return manifests.frame_summary(fx.images(spark, d))
 
 
 @register("blank_ids", WITH + " SELECT image_id FROM images WHERE image_id % 5 = 0")
 def blank_ids(spark, d):
-    presence = fx.images(spark, d).select("image_id", F.when(F.col("image_id") % 5 == 0, " 0 ").otherwise("1").alias("has_text"))
-    return presence.where(text.strip(F.col("has_text")) == "0").select("image_id")
+    presence = fx.images(spark, d).select("image_id", F.when(F.col("image_id") % 5 == 0, " 0 ").when(F.col("image_id") % 7 == 0, "00").when(F.col("image_id") % 11 != 0, "1").alias("has_text"))
+    return reconcile.blank_images(presence)
 
 
 @register("gt_geometry", WITH + " SELECT coalesce(stratum, 'ALL') AS grp, median(q + 4) AS median_height, count(*) AS n FROM (SELECT stratum, gt.part % 20 AS q FROM gt JOIN images USING (image_id)) GROUP BY GROUPING SETS ((stratum), ())")
@@ -206,8 +175,7 @@ def read_axis_split(spark, d):
 @register("reader_floor", WITH + " SELECT count(*) AS crops, count(*) FILTER (WHERE part % 4 = 0) AS inventions, count(*) FILTER (WHERE part % 4 = 0) / count(*) AS per_crop, count(*) FILTER (WHERE part % 4 = 0) / count(DISTINCT image_id) AS per_image FROM boxed WHERE image_id % 5 = 0")
 def reader_floor(spark, d):
     c = fx.read(spark, d, "lineitem").where("l_orderkey % 5 = 0")
-    out = c.agg(F.count("*").alias("crops"), F.count_if(F.col("l_partkey") % 4 == 0).alias("inventions"), F.count_distinct("l_orderkey").alias("n"))
-    return out.select("crops", "inventions", rollup.RATE(F.col("inventions"), F.col("crops")).alias("per_crop"), rollup.RATE(F.col("inventions"), F.col("n")).alias("per_image"))
+    return reading.floor(c.select(F.col("l_orderkey").alias("image_id"), (F.col("l_partkey") % 4 == 0).alias("invented")))
 
 
 @register("verifier_reread", WITH + " SELECT image_id, w, CASE WHEN confidence IS NOT NULL AND confidence < 0.3 THEN upper(text) || '!' ELSE text END AS text, confidence FROM pred")
@@ -223,10 +191,10 @@ def verifier_latency(spark, d):
     return rows.groupBy("modality").agg(F.count("verifier_elapsed").alias("n_verified"), F.round(F.avg("verifier_elapsed"), 9).alias("mean"), F.max("verifier_elapsed").alias("top"))
 
 
-@register("filter_blank_words", WITH + " SELECT image_id, w, text FROM pred WHERE w % 7 <> 0")
+@register("filter_blank_words", WITH + ", p AS (SELECT image_id, w, CASE WHEN w % 7 = 0 THEN '  ' WHEN w % 11 <> 0 THEN text END AS text FROM pred) SELECT * FROM p WHERE trim(text) <> ''")
 def filter_blank_words(spark, d):
-    p = fx.predictions(spark, d).withColumn("text", F.when(F.col("w") % 7 == 0, " \t ").otherwise(F.col("text")))
-    return p.where(text.strip(F.col("text")) != "").select("image_id", "w", "text")
+    p = fx.predictions(spark, d).withColumn("text", F.when(F.col("w") % 7 == 0, " \t ").when(F.col("w") % 11 != 0, F.col("text")))
+    return ocrseeds.drop_blank_words(p).select("image_id", "w", "text")
 
 
 OCR = "SELECT event_id, CAST(event_id % 5 + 1 AS INTEGER) AS level, CASE WHEN event_id % 13 = 0 THEN 'bad' WHEN event_id % 11 = 0 THEN '-1' ELSE CAST(event_id % 101 AS VARCHAR) END AS conf, CASE WHEN event_id % 17 = 0 THEN '  ' ELSE 'T' || event_id END AS text, event_id % 300 AS l, event_id % 200 AS t, event_id % 50 AS w, event_id % 20 AS h FROM events"
@@ -239,9 +207,7 @@ def _ocr(spark, d):
 
 
 def _seeds(spark, d):
-    rows = _ocr(spark, d).where((F.col("level") == 5) & (text.strip(F.col("text")) != ""))
-    at = lambda c: F.col(c) / 2.0
-    return rows.select("event_id", "text", F.coalesce(F.col("conf").try_cast("double"), F.lit(-1.0)).alias("confidence"), at("l").alias("x0"), at("t").alias("y0"), ((F.col("l") + F.col("w")) / 2.0).alias("x1"), ((F.col("t") + F.col("h")) / 2.0).alias("y1"))
+    return ocrseeds.seed_tokens(_ocr(spark, d), 2.0, ("event_id",))
 
 
 SEEDS = f"seeds AS (SELECT event_id, text, coalesce(TRY_CAST(conf AS DOUBLE), -1) AS confidence, l / 2.0 AS x0, t / 2.0 AS y0, (l + w) / 2.0 AS x1, (t + h) / 2.0 AS y1 FROM ({OCR}) WHERE level = 5 AND trim(text) <> '')"
@@ -254,34 +220,35 @@ def seed_tokens(spark, d):
 
 @register("degenerate_boxes", f"WITH {SEEDS} SELECT count(*) AS n, count(*) FILTER (WHERE x0 = x1 OR y0 = y1) AS degenerate FROM seeds")
 def degenerate_boxes(spark, d):
-    return _seeds(spark, d).agg(F.count("*").alias("n"), F.count_if(F.expr("x0 = x1 OR y0 = y1")).alias("degenerate"))
+    return ocrseeds.degenerate(_seeds(spark, d))
 
 
-BUCKETS = ["none"] + [f"{k}-{k + 9}" for k in range(0, 90, 10)] + ["90-100"]
-BUCKET_SQL = "CASE WHEN confidence < 0 THEN 'none' WHEN confidence >= 90 THEN '90-100' ELSE CAST(CAST(floor(confidence / 10) * 10 AS INTEGER) AS VARCHAR) || '-' || CAST(CAST(floor(confidence / 10) * 10 AS INTEGER) + 9 AS VARCHAR) END"
+BUCKETS = list(ocrseeds.BUCKETS)
+BUCKET_SQL = "CASE WHEN confidence < 0 THEN '-1' WHEN confidence >= 90 THEN '90-100' ELSE CAST(CAST(floor(confidence / 10) * 10 AS INTEGER) AS VARCHAR) || '-' || CAST(CAST(floor(confidence / 10) * 10 AS INTEGER) + 9 AS VARCHAR) END"
 
 
 @register("confidence_hist", f"WITH {SEEDS} SELECT b AS bucket, count(event_id) AS n FROM (SELECT unnest({BUCKETS}) AS b) LEFT JOIN (SELECT event_id, {BUCKET_SQL} AS k FROM seeds) ON b = k GROUP BY b")
 def confidence_hist(spark, d):
-    c = F.col("confidence")
-    low = (F.floor(c / 10) * 10).cast("int")
-    label = F.when(c < 0, "none").when(c >= 90, "90-100").otherwise(F.concat(low.cast("string"), F.lit("-"), (low + 9).cast("string")))
-    counts = _seeds(spark, d).groupBy(label.alias("bucket")).agg(F.count("*").alias("n"))
-    spine = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in BUCKETS])).alias("bucket"))
-    return spine.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    return ocrseeds.confidence_histogram(_seeds(spark, d))
+
+
+@register("confidence_stats", f"WITH {SEEDS} SELECT count(*) AS n, min(confidence) AS lo, median(confidence) AS mid, max(confidence) AS hi FROM seeds")
+def confidence_stats(spark, d):
+    return ocrseeds.confidence_stats(_seeds(spark, d))
 
 
-@register("confidence_gate", WITH + ", g(stratum, gate) AS (VALUES ('BUILDING', 0.5), ('MACHINERY', 0.8)) SELECT p.image_id, p.w FROM pred p JOIN images i USING (image_id) LEFT JOIN g USING (stratum) WHERE p.confidence IS NULL OR p.confidence < 0 OR p.confidence >= coalesce(gate, 0)")
+@register("confidence_gate", WITH + ", g(grp, gate) AS (VALUES ('BUILDING', 0.5), ('MACHINERY', 0.8), ('(unknown)', 0.6)), v AS (SELECT p.image_id, p.w, confidence, CASE WHEN image_id % 9 = 0 THEN '(unknown)' ELSE stratum END AS grp FROM pred p JOIN images i USING (image_id)) SELECT image_id, w, grp FROM v LEFT JOIN g USING (grp) WHERE confidence IS NULL OR confidence < 0 OR confidence >= coalesce(gate, 0)")
 def confidence_gate(spark, d):
-    gates = spark.createDataFrame([("BUILDING", 0.5), ("MACHINERY", 0.8)], "stratum string, gate double")
-    rows = fx.predictions(spark, d).join(fx.images(spark, d).select("image_id", "stratum"), "image_id").join(F.broadcast(gates), "stratum", "left")
-    return rows.where("confidence IS NULL OR confidence < 0 OR confidence >= coalesce(gate, 0)").select("image_id", "w")
+    gates = spark.createDataFrame([("BUILDING", 0.5), ("MACHINERY", 0.8), (review.UNKNOWN, 0.6)], "grp string, gate double")
+    groups = fx.images(spark, d).where("image_id % 9 <> 0").select("image_id", F.col("stratum").alias("group"))
+    rows = review.with_group(fx.predictions(spark, d), groups, F.broadcast(gates))
+    return rows.where(review.visible(F.col("confidence"), F.col("gate"))).select("image_id", "w", "grp")
 
 
 @register("box_geometry", WITH + " SELECT stratum, quantile_disc(x1 - x0, 0.1) AS p10, quantile_disc(x1 - x0, 0.5) AS p50, quantile_disc(x1 - x0, 0.9) AS p90 FROM gt JOIN images USING (image_id) GROUP BY stratum")
 def box_geometry(spark, d):
-    rows = fx.gt_tokens(spark, d).join(fx.images(spark, d).select("image_id", "stratum"), "image_id").withColumn("v", F.expr("x1 - x0"))
-    return rows.groupBy("stratum").agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v)").alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
+    rows = fx.gt_tokens(spark, d).join(fx.images(spark, d).select("image_id", "stratum"), "image_id")
+    return ocrseeds.percentiles(rows, "stratum", F.col("x1") - F.col("x0"), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
 @register("set_hash", WITH + " SELECT stratum, sha256(string_agg(image_id || chr(10), '' ORDER BY CAST(image_id AS VARCHAR))) AS digest FROM images GROUP BY stratum")

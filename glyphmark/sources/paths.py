@@ -11,7 +11,11 @@ from pyspark.sql import SparkSession
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; a local folder is made only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="glyphmark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -73,6 +77,39 @@ class Files:
             self.fs.delete(part, False)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    files = Files(spark, folder)
+    return sorted(s.getPath().getName() for s in files.fs.listStatus(files.path)) if files.exists() else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    Files(spark, path).write(text.encode())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None if it isn't there."""
+    files = Files(spark, path)
+    if not files.exists():
+        return None
+    stream = files.fs.open(files.path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    files = Files(spark, path)
+    if not files.fs.rename(files.path, files.at(to)):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files = Files(spark, path)
+    files.fs.delete(files.path, True)
+
+
 def write_json(spark: SparkSession, value, path: str) -> None:
     """One document, keys sorted, replaced atomically."""
     Files(spark, path).write((json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode())

@@ -92,9 +92,9 @@ def test_whole_texts_are_scored(spark, tmp_path):
     cer = {k: edits(texts[k], h) / len(texts[k]) for k, h in hyps.items()}
     wer = {k: edits(texts[k].split(), h.split()) / len(texts[k].split()) for k, h in hyps.items()}
     q = entry.queries()
-    assert {r.item_id: r.cer for r in q["cer_whole"](spark, str(tmp_path)).collect()} == pytest.approx(cer | {10: None, 11: None})
-    assert {r.item_id: r.wer for r in q["wer_whole"](spark, str(tmp_path)).collect()} == pytest.approx(wer | {10: None, 11: None})
-    got = {r.half: (r.n, r.n_read, r.cer_macro) for r in q["diagnostic_rollup_whole"](spark, str(tmp_path)).collect()}
+    assert {r.item_id: r.cer for r in q["cer"](spark, str(tmp_path)).collect()} == pytest.approx(cer | {10: None, 11: None})
+    assert {r.item_id: r.wer for r in q["wer"](spark, str(tmp_path)).collect()} == pytest.approx(wer | {10: None, 11: None})
+    got = {r.half: (r.n, r.n_read, r.cer_macro) for r in q["diagnostic_rollup"](spark, str(tmp_path)).collect()}
     for half in (0, 1):
         read = [cer[k] for k, h in hyps.items() if h and k % 2 == half]
         assert got[half] == (sum(k % 2 == half for k in texts), len(read), pytest.approx(statistics.mean(read), abs=1e-8))
