@@ -5,13 +5,16 @@ to the cell of its nearest pivot.  The triangle inequality sets which other cell
 also visit: x can have a partner in cell j only if its distance to the bisecting plane of
 its own pivot and j's is at most r, and its distance to pivot j at most r more than the
 cell's radius.  It visits only cells after its own, so each pair meets once.  Cells are cut
-into blocks of about CELL_ROWS, visitors into chunks of as many, and each (block, chunk) is
-one bounded task.  A task returns sums of links and a spanning forest of them, never all
-pairs, so a group of thousands of near copies stays linear in its output.
+into blocks of about CELL_ROWS.  The visitors of each cell are counted first; a block's
+visitors are dealt into chunks of GUESTS times its rows, its own rows go to each chunk that
+is there, and each (block, chunk) is one bounded task.  A task returns sums of links and a
+spanning forest of them, never all pairs, so a group of thousands of near copies stays
+linear in its output.
 
 The bounds are exact for any data; how much they prune depends on it.  For vectors spread
 evenly over many dimensions hardly any cell can be left out, and the work is that of all
-blocks against all blocks.
+blocks against all blocks.  There are at most MAX_PIVOTS cells (their pivots are broadcast),
+so beyond about MAX_PIVOTS * CELL_ROWS vectors the blocks of one cell add to that, too.
 
 Equal vectors are one class from the start.  Vectors that are null, empty, zero, or hold
 null, NaN or infinite components link with nothing, nor do vectors of another length.  A
@@ -34,7 +37,11 @@ from glyphmark.llm.common import cut, stored, table
 from glyphmark.llm.components import components
 from glyphmark.llm.textcore import mix
 
-CELL_ROWS, MAX_PIVOTS = 3000, 1024
+CELL_ROWS, MAX_PIVOTS, GUESTS = 6000, 16_384, 4
+#: Bytes of a block's vectors; long vectors make smaller blocks.
+CELL_BYTES = 16 << 20
+#: Rows whose distances to all pivots are held at once.
+AT_ONCE = 256
 SLACK = 1e-9
 
 
@@ -58,59 +65,93 @@ def _assign(pivots_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = pivots_bc.value
         for batch in batches:
-            x = _matrix(batch.column("v"), pivots.shape[1])
-            d = _distances(x, pivots)
-            cell = d.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), _bytes(x)], names=["rep", "n", "cell", "distance", "unit_vector"])
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                x = _matrix(part.column("v"), pivots.shape[1])
+                d = _distances(x, pivots)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), _bytes(x)], names=["rep", "n", "cell", "distance", "unit_vector"])
 
     return run
 
 
+def cell_rows(size: int) -> int:
+    return max(500, min(CELL_ROWS, CELL_BYTES // (8 * size)))
+
+
 class Layout:
-    """Which blocks each cell has, in one order over all blocks, and how many visitor chunks each block expects."""
+    """Which blocks each cell has, in one order over all blocks, and how many chunks of visitors each block has."""
 
     def __init__(self, pivots: np.ndarray, counts: np.ndarray, radii: np.ndarray, reach: float):
         self.pivots, self.counts, self.radii, self.reach = pivots, counts, radii, reach
-        self.blocks = np.maximum(1, -(-counts // CELL_ROWS)).astype(int)
+        self.rows = cell_rows(pivots.shape[1])
+        self.blocks = np.maximum(1, -(-counts // self.rows)).astype(int)
         self.first = np.concatenate([[0], np.cumsum(self.blocks)])
         self.cell_of = np.repeat(np.arange(len(counts)), self.blocks)
-        rows = counts[self.cell_of] / self.blocks[self.cell_of]
-        before = np.concatenate([[0.0], np.cumsum(rows)[:-1]])
-        self.chunks = np.maximum(1, np.ceil(before / CELL_ROWS)).astype(int)
-        between = _distances(pivots, pivots)
-        self.between = np.maximum(between, 1e-12)
+        self.chunks = np.ones(len(self.cell_of), int)
+
+    def expect(self, visitors: np.ndarray) -> None:
+        """visitors: how many vectors of earlier cells visit each cell; a block is also visited by the earlier blocks of its cell."""
+        earlier = (np.arange(len(self.cell_of)) - self.first[self.cell_of]) * (self.counts / self.blocks)[self.cell_of]
+        self.chunks = np.maximum(1, np.ceil((visitors[self.cell_of] + earlier) / (GUESTS * self.rows))).astype(int)
+
+    def visits(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all visits to later cells."""
+        d = _distances(x, self.pivots)
+        own = d[np.arange(len(x)), cell]
+        between = np.maximum(_distances(self.pivots[cell], self.pivots), 1e-12)
+        may = (d**2 - own[:, None] ** 2) / (2 * between) <= self.reach
+        may &= d <= self.radii[None, :] + self.reach
+        may &= (self.counts > 0)[None, :] & (np.arange(len(self.counts))[None, :] > cell[:, None])
+        return np.nonzero(may)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for lo in range(0, batch.num_rows, AT_ONCE):
+        part = batch.slice(lo, AT_ONCE)
+        x = np.frombuffer(b"".join(part.column("unit_vector").to_pylist()), np.float64).reshape(part.num_rows, -1)
+        yield part, x, part.column("cell").to_numpy(zero_copy_only=False)
+
+
+def _count_visits(layout_bc):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lay: Layout = layout_bc.value
+        total = np.zeros(len(lay.counts), np.int64)
+        for batch in batches:
+            for _, x, cell in _parts(batch):
+                total += np.bincount(lay.visits(x, cell)[1], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
+
+    return run
+
+
+def _spread(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value so many times, and 0, 1, ... beside its repeats."""
+    at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(values, times), at
 
 
 def _deal(layout_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lay: Layout = layout_bc.value
         for batch in batches:
-            vectors = batch.column("unit_vector")
-            x = np.frombuffer(b"".join(vectors.to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            cell = batch.column("cell").to_numpy(zero_copy_only=False)
-            draw = mix(batch.column("rep").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            home = lay.first[cell] + (draw % lay.blocks[cell].astype(np.uint64)).astype(int)
-            d = _distances(x, lay.pivots)
-            own = d[np.arange(len(x)), cell]
-            may = (d**2 - own[:, None] ** 2) / (2 * lay.between[cell]) <= lay.reach
-            may &= d <= lay.radii[None, :] + lay.reach
-            may[np.arange(len(x)), cell] = True
-            draw = mix(draw)
-
-            def give(rows, block, chunk, resident, batch=batch, vectors=vectors):
-                k = pa.array(rows)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(block.astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(np.full(len(rows), resident)), batch.column("rep").take(k), batch.column("n").take(k), vectors.take(k)],
-                    names=["block", "chunk", "resident", "rep", "n", "unit_vector"],
-                )
-
-            for u in range(len(lay.cell_of)):
-                mine = np.flatnonzero(home == u)
-                for c in range(lay.chunks[u] if len(mine) else 0):
-                    yield give(mine, np.full(len(mine), u), np.full(len(mine), c), True)
-                guests = np.flatnonzero((home < u) & may[:, lay.cell_of[u]])
-                if len(guests):
-                    yield give(guests, np.full(len(guests), u), (draw[guests] % np.uint64(lay.chunks[u])).astype(int), False)
+            for part, x, cell in _parts(batch):
+                draw = mix(part.column("rep").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                home = lay.first[cell] + (draw % lay.blocks[cell].astype(np.uint64)).astype(int)
+                draw = mix(draw)
+                mine, chunk = _spread(np.arange(len(x)), lay.chunks[home])
+                row, to = lay.visits(x, cell)
+                far, k = _spread(np.arange(len(row)), lay.blocks[to])
+                far_block = lay.first[to[far]] + k
+                near, k = _spread(np.arange(len(x)), lay.first[cell + 1] - home - 1)
+                guest, block = np.concatenate([row[far], near]), np.concatenate([far_block, home[near] + 1 + k])
+                guest_chunk = (draw[guest] % lay.chunks[block].astype(np.uint64)).astype(int)
+                rows = np.concatenate([mine, guest])
+                columns = [np.concatenate([home[mine], block]).astype(np.int32), np.concatenate([chunk, guest_chunk]).astype(np.int32), np.arange(len(rows)) < len(mine)]
+                for lo in range(0, len(rows), 4096):
+                    take = pa.array(rows[lo : lo + 4096])
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[lo : lo + 4096]) for c in columns], *[part.column(c).take(take) for c in ("rep", "n", "unit_vector")]], names=["block", "chunk", "resident", "rep", "n", "unit_vector"])
 
     return run
 
@@ -139,7 +180,8 @@ def _join(cosine: float):
         h, g = np.flatnonzero(resident), np.flatnonzero(~resident)
         links = np.zeros(len(rep), np.int64)
         a, b = [], []
-        parts = [(h, g)] if len(g) else []
+        step = cell_rows(x.shape[1])
+        parts = [(h, g[k : k + step]) for k in range(0, len(g), step)]
         if len(h) and group.column("chunk")[0].as_py() == 0:
             parts.append((h, h))
         for left, right in parts:
@@ -167,7 +209,7 @@ def _range_join(classes: DataFrame, size: int, rows: int, cosine: float) -> Data
     """(a, b null, n): links of class a found by one task; (a, b, 0): an edge of the forest."""
     context = classes.sparkSession.sparkContext
     mine = classes.where(F.size("v") == size)
-    wanted = min(MAX_PIVOTS, max(1, 2 * (rows // CELL_ROWS)))
+    wanted = min(MAX_PIVOTS, max(1, 4 * (rows // cell_rows(size))))
     picked = mine.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").collect()
     pivots = _matrix(pa.array([r["v"] for r in picked], pa.list_(pa.float64())), size)
     placed = stored(mine.select("rep", "n", "v").mapInArrow(_assign(context.broadcast(pivots)), "rep long, n long, cell int, distance double, unit_vector binary"), "cells")
@@ -175,6 +217,10 @@ def _range_join(classes: DataFrame, size: int, rows: int, cosine: float) -> Data
     for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("d")).collect():
         counts[r["cell"]], radii[r["cell"]] = r["n"], r["d"]
     layout = Layout(pivots, counts, radii, math.sqrt(2 - 2 * cosine) + SLACK)
+    visitors = np.zeros(len(pivots), np.int64)
+    for r in placed.mapInArrow(_count_visits(context.broadcast(layout)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        visitors[r["cell"]] = r["n"]
+    layout.expect(visitors)
     dealt = placed.mapInArrow(_deal(context.broadcast(layout)), "block int, chunk int, resident boolean, rep long, n long, unit_vector binary")
     return dealt.groupBy("block", "chunk").applyInArrow(_join(cosine), "a long, b long, n long")
 
