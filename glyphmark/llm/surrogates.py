@@ -1,21 +1,26 @@
 """PII: detected entities get keyed, type-consistent surrogates.
 
-Kinds: email, IPv4, phone, card, ssn, iban, and a person's name after a title.  A surrogate
-is drawn by a keyed hash of the kind and the value, so one entity has one surrogate in the
-whole corpus (coreference).  It keeps the format: digits for digits, letters for letters of
-the same case and script, separators, a phone's country code, an address's top domain, a
-card's first digit and Luhn sum, octets below 255; a name keeps the gender of its title
-and its number of words.
+Kinds: email, IPv4 and IPv6, phone, card, ssn, iban, and a person's name: after a title, after
+words that introduce one ("my name is"), after a known given name, and wherever its family
+name stands again in the same text.  Other names without any such sign aren't told from other
+capitalised words, and stay.  A surrogate is drawn by a keyed hash of the kind and the value, so
+one entity has one surrogate in the whole corpus (coreference).  It keeps the format: digits
+for digits, letters for letters of the same case and script, separators, a phone's country
+code, an address's top domain, a card's first digit and Luhn sum, octets below 255; a name
+keeps the gender of its title and its number of words.  Given and family names are entities
+of their own, so a family keeps its name in every full name, also when one is drawn again.
 
 Collision checks run over the distinct entities of the corpus: a surrogate that two values
 share, or that is itself an entity of the corpus, is drawn again (the smallest value keeps
-its own) until none is left.  From the attempt GROW_AFTER on each attempt adds a syllable to a
+its own) until none is left.  From the attempt GROW_AFTER on (for names from the first) each attempt adds a syllable to a
 name, a letter to an address and a digit to a phone, so their room never runs out; the other
 kinds have 10 ** 9 surrogates or more, and a corpus that uses them up is an error.  Redrawn entities are usually a handful; up to MAX_BROADCAST
 they are broadcast, more are joined to the documents that hold them.
 
 Null texts stay null; texts without entities stay as they are.  Rows that repeat a doc_id
 are treated row by row.  Only `doc_id` and `text` are read; other columns may have any name.
+The key is the caller's; the query takes it from the setting spark.surrogates.key and else
+uses DEMO_KEY, which is public and protects nothing.
 """
 
 from __future__ import annotations
@@ -27,12 +32,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmark.llm.common import stored, table, text_key
+from glyphmark.llm.common import dropped, stored, table, text_key
 
-KEY = "surrogate-key-1"
+KEY_SETTING, DEMO_KEY = "spark.surrogates.key", "surrogate-key-1"
 MAX_BROADCAST, MAX_ROUNDS = 100_000, 50
 GROW_AFTER = 6
 
@@ -41,15 +47,16 @@ _NUMBER = re.compile(
     r"(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w\-]))"
     r"|(?P<card>(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?!\w))"
-    r"|(?P<phone>(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}|\+\d{8,14}|\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4})(?!\w))"
+    r"|(?P<phone>(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}|\+\d{8,14}|\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}|0\d{2,4}[ \-/]\d{3,4}[ \-]?\d{3,4})(?!\w))"
     r")"
 )
-_LEFT, _RIGHT = re.compile(r"[\w.%+\-]+\Z"), re.compile(r"[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
+_RIGHT = re.compile(r"[\w\-\u0300-\u036f]++(?:\.[\w\-\u0300-\u036f]+)*\.[^\W\d_]{2,}")
+_IPV6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 #: Titles and the gender they tell.
 TITLES = {"Mr.": "m", "Mr": "m", "Herr": "m", "Señor": "m", "Sr.": "m", "Monsieur": "m", "Господин": "m", "Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra.": "f", "Madame": "f", "Mme": "f", "Госпожа": "f", "Dr.": "n", "Dr": "n", "Prof.": "n"}
-_NAME = re.compile(r"(?<!\w)(" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + r")[ \t]+([A-ZÀ-ÖØ-ÞА-Я][\w'’\-]+(?:[ \t]+[A-ZÀ-ÖØ-ÞА-Я][\w'’\-]+){0,2})")
-_TITLE_START = re.compile("|".join(sorted({re.escape(t[:2]) for t in TITLES})))
+#: Words that introduce a name.
+CUES = ("my name is", "My name is", "Name:", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "me llamo", "Me llamo", "je m'appelle", "Je m'appelle", "меня зовут", "Меня зовут")
 #: First names by script and gender, syllables for family names.
 NAMES = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Lukas Martin Nils Oscar Paul Robert Simon Thomas Victor".split(),
@@ -58,6 +65,37 @@ NAMES = {
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Ксения Лариса Мария Ольга".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va ve".split(), "cyrillic": "ба бе во га да де ка ко ла ле ма мо на не по ра ре са та то".split()}
+_GIVEN = {n: f"name-{g}" for (_, g), names in NAMES.items() for n in names}
+_ONE = r"\p{Lu}[\p{L}\p{M}]*(?:['’\-][\p{L}\p{M}]+)*"
+_FULL = rf"({_ONE}(?:[ \t]+{_ONE}){{0,2}})"
+_either = lambda words: "|".join(regex.escape(w, literal_spaces=True) for w in sorted(words, key=len, reverse=True))
+_TITLED = regex.compile(rf"(?<![\w])({_either(TITLES)})[ \t]+{_FULL}")
+_CUED = regex.compile(rf"(?<![\w])(?:{_either(CUES)})[ \t]+{_FULL}")
+_KNOWN = regex.compile(rf"(?<![\w.@\-])({_either(_GIVEN)})[ \t]+{_ONE}(?![\w@])")
+_TITLE_START = re.compile("|".join(sorted({re.escape(t[:2]) for t in TITLES})))
+
+
+def _before(text: str, at: int) -> int:
+    """Where the local part that ends at an @ begins, however long it is; a combining mark belongs to its letter."""
+    k = at
+    while k and ((c := text[k - 1]).isalnum() or c in "_.%+-" or unicodedata.category(c)[0] == "M"):
+        k -= 1
+    while k < at and text[k] in ".-%+":
+        k += 1
+    return k
+
+
+def _names(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    if _TITLE_START.search(text):
+        out += [(m.start(2), m.end(2), "name-" + TITLES[m[1]]) for m in _TITLED.finditer(text)]
+    out += [(m.start(1), m.end(1), "name-n") for m in _CUED.finditer(text)]
+    out += [(m.start(), m.end(), _GIVEN[m[1]]) for m in _KNOWN.finditer(text)]
+    families = {text[s:e].split()[-1] for s, e, _ in out}
+    if families:
+        again = regex.compile(rf"(?<![\w@.\-])(?:{_either(families)})(?![\w@])")
+        out += [(m.start(), m.end(), "name-n") for m in again.finditer(text)]
+    return out
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -65,20 +103,18 @@ def find(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
-        left, right = _LEFT.search(text, max(0, at - 64), at), _RIGHT.match(text, at + 1)
-        if left and right:
-            lead = len(left[0]) - len(left[0].lstrip(".-%+"))
-            if left.start() + lead < at:
-                out.append((left.start() + lead, right.end(), "email"))
+        right, start = _RIGHT.match(text, at + 1), _before(text, at)
+        if right and start < at:
+            out.append((start, right.end(), "email"))
         at = text.find("@", at + 1)
     for m in _NUMBER.finditer(text):
         out.append((m.start(), m.end(), m.lastgroup))
     for m in _IBAN.finditer(text):
         out.append((m.start(), m.end(), "iban"))
-    if _TITLE_START.search(text):
-        for m in _NAME.finditer(text):
-            out.append((m.start(2), m.end(2), "name-" + TITLES[m[1]]))
-    out.sort(key=lambda x: (x[0], -x[1]))
+    if ":" in text:
+        out += [(m.start(), m.end(), "ip6") for m in _IPV6.finditer(text) if any(len(g) > 2 for g in m[0].split(":"))]
+    out += _names(text)
+    out.sort(key=lambda x: (x[0], -x[1], x[2]))
     kept: list[tuple[int, int, str]] = []
     for x in out:
         if not kept or x[0] >= kept[-1][1]:
@@ -86,12 +122,20 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+def parts_of(kind: str, value: str) -> list[tuple[str, str]]:
+    """The entities that a found one is made of: the words of a name, given ones with the gender; else itself."""
+    if not kind.startswith("name-"):
+        return [(kind, value)]
+    *given, family = value.split()
+    return [*((f"given-{kind[5:]}", w) for w in given), ("family", family)]
+
+
 class _Draw:
     """A stream of numbers keyed by kind, value and attempt."""
 
     def __init__(self, key: str, kind: str, value: str, attempt: int):
-        self.seed = f"{kind}\x00{attempt}\x00{value}".encode("utf-8", "surrogatepass")
         self.key, self.turn, self.pool = key.encode()[:64], 0, b""
+        self.seed = hashlib.blake2b(f"{kind}\x00{attempt}\x00{value}".encode("utf-8", "surrogatepass"), key=self.key).digest()
 
     def below(self, n: int) -> int:
         if len(self.pool) < 4:
@@ -152,22 +196,24 @@ def _card(value: str, draw: _Draw) -> str:
     return "".join(str(next(digits)) if c.isdigit() else c for c in value)
 
 
-def _name(value: str, gender: str, key: str, attempt: int) -> str:
-    """First names are drawn by name, gender and script, so a family keeps its family name."""
-    script = "cyrillic" if re.search("[А-я]", value) else "latin"
-    words = value.split()
-    out = []
-    for k, w in enumerate(words):
-        draw = _Draw(key, f"name-{script}-{gender if k < len(words) - 1 else ''}", w, attempt)
-        if k < len(words) - 1:
-            pool = NAMES[script, gender] if gender != "n" else NAMES[script, "m"] + NAMES[script, "f"]
-            out.append(pool[draw.below(len(pool))])
-        else:
-            out.append("".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + draw.below(2) + _added(attempt))).capitalize())
-    return " ".join(out)
+def _name_word(kind: str, word: str, key: str, attempt: int) -> str:
+    """A given name of the gender, or a family name of syllables; in other scripts letters of the script.  Each attempt makes it longer."""
+    script = "cyrillic" if regex.search(r"\p{Cyrillic}", word) else "latin" if regex.search(r"\p{Latin}", word) else ""
+    draw = _Draw(key, f"{kind}-{script}", word, attempt)
+    if not script:
+        return "".join(_alike(c, draw) for c in word + word[-1] * attempt)
+    syllables = lambda n: "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(n))
+    if kind == "family":
+        new = "-".join(syllables(3 + draw.below(2) + (attempt if k == 0 else 0)).capitalize() for k in range(len(word.split("-"))))
+    else:
+        gender = kind[6:]
+        pool = NAMES[script, gender] if gender != "n" else NAMES[script, "m"] + NAMES[script, "f"]
+        new = pool[draw.below(len(pool))] + syllables(attempt)
+    return new.upper() if len(word) > 1 and word.isupper() else new
 
 
-def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
+def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
+    """The surrogate of one entity as parts_of gives it."""
     draw = _Draw(key, kind, value, attempt)
     if kind == "email":
         local, host = value.rsplit("@", 1)
@@ -179,8 +225,10 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
         return _card(value, draw)
-    if kind.startswith("name-"):
-        return _name(value, kind[5:], key, attempt)
+    if kind == "family" or kind.startswith("given-"):
+        return _name_word(kind, value, key, attempt)
+    if kind == "ip6":
+        return "".join((f"{draw.below(15) + 1:x}".upper() if c.isupper() else f"{draw.below(15) + 1:x}") if c.isalnum() else c for c in value)
     keep = 0
     if kind == "phone":
         keep = re.match(r"\+\d{1,3}(?=\D)|\+\d|", value).end()
@@ -190,10 +238,10 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
     return value[:keep] + "".join(_alike(c, draw) for c in value[keep:])
 
 
-def replace(text: str, attempts: dict[tuple[str, str], int], key: str = KEY) -> tuple[str, list[dict]]:
+def replace(text: str, attempts: dict[tuple[str, str], int], key: str) -> tuple[str, list[dict]]:
     parts, found, at, size = [], [], 0, 0
     for s, e, kind in find(text):
-        new = surrogate(kind, text[s:e], attempts.get((kind, text[s:e]), 0), key)
+        new = " ".join(surrogate(k, v, key, attempts.get((k, v), 0)) for k, v in parts_of(kind, text[s:e]))
         parts += [text[at:s], new]
         size += s - at
         found.append({"kind": kind.split("-")[0], "start": size, "n_chars": len(new)})
@@ -202,10 +250,13 @@ def replace(text: str, attempts: dict[tuple[str, str], int], key: str = KEY) ->
     return "".join([*parts, text[at:]]), found
 
 
+def _entities(text: str) -> set[tuple[str, str]]:
+    return {x for s, e, kind in find(text) for x in parts_of(kind, text[s:e])}
+
+
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = {(k, t[s:e]) for t in batch.column("text").to_pylist() if t for s, e, k in find(t)}
-        rows = sorted(seen)
+        rows = sorted({x for t in batch.column("text").to_pylist() if t for x in _entities(t)})
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], names=["kind", "value"])
 
 
@@ -213,13 +264,13 @@ def _draw_all(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(k).to_pylist() for k in ("kind", "value", "attempt")), strict=True)
-            new = [surrogate(k, v, a, key) for k, v, a in rows]
+            new = [surrogate(k, v, key, a) for k, v, a in rows]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), batch.column("attempt"), pa.array(new, pa.string())], names=["kind", "value", "attempt", "surrogate"])
 
     return run
 
 
-def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
+def redrawn(docs: DataFrame, key: str) -> DataFrame:
     """kind, value, attempt of the entities whose first surrogate collides; the others stay at attempt 0."""
     entities = stored(docs.select("text").mapInArrow(_list, "kind string, value string").distinct().withColumn("attempt", F.lit(0)), "entities")
     for turn in range(MAX_ROUNDS):
@@ -232,7 +283,8 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
         clash = stored(twins.unionByName(taken).distinct(), "clashes")
         if not clash.limit(1).count():
             break
-        entities = stored(entities.join(clash.withColumn("again", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt")), "entities")
+        before, entities = entities, stored(entities.join(clash.withColumn("again", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt")), "entities")
+        dropped(before, drawn, clash)
     else:
         raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds: {[(r['kind'], r['n']) for r in clash.groupBy('kind').agg(F.count('*').alias('n')).collect()]}")
     return entities.where("attempt > 0")
@@ -259,12 +311,14 @@ def _replace(attempts_bc, key: str):
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(d, r, k, v) for d, r, t in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text")), strict=True) if t for k, v in {(k, t[s:e]) for s, e, k in find(t)}]
+        rows = [(d, r, k, v) for d, r, t in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text")), strict=True) if t for k, v in _entities(t)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc", "row", "kind", "value"])
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, text (with surrogates), n_entities, entities (kind, start, n_chars in the new text); a row for each row of docs."""
+    if not key:
+        raise ValueError("a key is needed")
     again = redrawn(docs, key)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     few = again.limit(max_broadcast + 1).collect()
@@ -280,4 +334,4 @@ def pseudonymize(docs: DataFrame, key: str = KEY, max_broadcast: int = MAX_BROAD
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents"))
+    return pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, DEMO_KEY))

@@ -21,7 +21,7 @@ OPERATORS = {
     "op4": substrings.find_repeats,
     "op6": lambda d: toxicity.score(d, toxicity.train(d, d.selectExpr("doc_id", "1 AS toxic"))),
     "op7": mixing.mixed_counts,
-    "op10": surrogates.pseudonymize,
+    "op10": lambda d: surrogates.pseudonymize(d, "k"),
 }
 
 

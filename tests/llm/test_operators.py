@@ -184,7 +184,7 @@ def test_html_table(spark):
 def test_surrogates(spark):
     t = "Call +1 (743) 555-3824 or hein.19@mail5.example.com, Mrs. Anna Schmidt and Mr. Schmidt at 196.197.208.3, card 4111 1111 1111 1111."
     df = spark.createDataFrame([(1, t, "a"), (2, "again hein.19@mail5.example.com", "b"), (3, None, "c"), (4, "plain text 2024", "d"), (4, "plain text 2024", "d")], "doc_id long, text string, entities string")
-    got = {r.doc_id: r for r in surrogates.pseudonymize(df).collect()}
+    got = {r.doc_id: r for r in surrogates.pseudonymize(df, "k").collect()}
     new = got[1].text
     for value in ("555-3824", "hein.19", "mail5", "Anna", "Schmidt", "196.197.208.3", "4111 1111 1111 1111"):
         assert value not in new
@@ -193,34 +193,34 @@ def test_surrogates(spark):
     assert got[2].text == "again " + new[e.start : e.start + e.n_chars]
     family = re.search(r"Mrs\. \S+ (\S+) and Mr\. (\S+) at", new)
     assert family[1] == family[2]
-    few = surrogates.pseudonymize(df, max_broadcast=-1)
-    assert sorted(str(r.text) for r in few.collect()) == sorted(str(r.text) for r in surrogates.pseudonymize(df).collect())
+    few = surrogates.pseudonymize(df, "k", max_broadcast=-1)
+    assert sorted(str(r.text) for r in few.collect()) == sorted(str(r.text) for r in surrogates.pseudonymize(df, "k").collect())
 
 
 def test_surrogates_stay_distinct(spark):
     rows = [(k, f"Mr. Name{k}x") for k in range(3000)]
     df = spark.createDataFrame([(k, t.replace(str(k), "".join(chr(97 + int(c)) for c in str(k)))) for k, t in rows], "doc_id long, text string")
-    assert len({r.text for r in surrogates.pseudonymize(df).collect()}) == 3000
+    assert len({r.text for r in surrogates.pseudonymize(df, "k").collect()}) == 3000
 
 
 def test_surrogates_stay_distinct_where_their_format_is_used_up(spark, monkeypatch):
     phones = [f"+1 {k // 100:02d} {k % 100:02d}" for k in range(5100)]
     df = spark.createDataFrame(list(enumerate(phones)), "doc_id long, text string")
-    new = {r.text for r in surrogates.pseudonymize(df).collect()}
+    new = {r.text for r in surrogates.pseudonymize(df, "k").collect()}
     assert len(new) == 5100 and not new & set(phones)
     monkeypatch.setattr(surrogates, "MAX_ROUNDS", 1)
     with pytest.raises(RuntimeError, match="still collide"):
-        surrogates.pseudonymize(df)
+        surrogates.pseudonymize(df, "k")
 
 
 def test_surrogates_of_every_script():
-    assert surrogates.surrogate("email", "佐藤@例え.jp") != "佐藤@例え.jp"
+    assert surrogates.surrogate("email", "佐藤@例え.jp", "k") != "佐藤@例え.jp"
     for word in ("佐藤", "παῦλος", "şahin", "łódź", "יוסף", "김철수", "ёлка", "სახლი"):
-        new = surrogates.surrogate("email", f"{word}@example.jp")
+        new = surrogates.surrogate("email", f"{word}@example.jp", "k")
         local = new.split("@")[0]
         assert len(local) == len(word) and local != word and local.isalpha()
-    growing = [surrogates.surrogate("name-m", "Schmidt", k) for k in (0, 5, 8, 20)]
-    assert len(growing[1]) <= 8 < len(growing[2]) < len(growing[3])
+    growing = [surrogates.surrogate("family", "Schmidt", "k", n) for n in (0, 2, 8, 20)]
+    assert len(growing[0]) <= 8 < len(growing[2]) < len(growing[3])
 
 
 def test_pipeline_runs_on_its_tables(spark):
