@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmark.llm import decontaminate, htmltext, linededup, minhash, mixing, secrets, substrings, surrogates, toxicity, vectors
+from glyphmark.llm import decontaminate, htmltext, linededup, minhash, mixing, substrings, surrogates, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words int, kept string, doc int, row int, block int, size int"
 
@@ -155,14 +155,6 @@ def test_mixing(docs):
     assert mixing.mix(docs).columns == [*docs.columns, "mix_copies"]
 
 
-def test_secrets(spark, docs):
-    model = secrets.train(secrets.labelled_findings(spark, 2100))
-    texts = [(1, 'a token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" here', "src"), (2, "id 550e8400-e29b-41d4-a716-446655440000 and commit 2321bac4d15ec8f90433955bf9d3cf61da5bdd1e", "src"), (3, None, None), (4, "", "x")]
-    got = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string, source string"), model).collect()
-    assert [(r.doc_id, r.is_secret) for r in sorted(got, key=lambda r: (r.doc_id, r.ordinal))] == [(1, True), (2, False), (2, False)]
-    assert secrets.scan(docs.limit(0), model).count() == 0
-
-
 PAGE = "<html><head><title>T</title><script>if(a<b)('<p>no</p>')</script></head><body><header><a href=/>Home</a></header><nav><ul><li>Menu one</ul></nav><div class='cookie-notice'>We use cookies on this site</div>{}<aside>Side words here</aside><section class=comments><p>First comment said so</p></section><form><label>Name</label></form><footer>Foot &copy;</footer></body></html>"
 BODY = "<h1>Head &amp; line</h1><p>First  <b>bold</b>text\n here.<div class=ad>Buy now please</div><p>Second &#233;&nbsp;one<!-- note --></p>"
 
