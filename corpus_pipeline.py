@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 in the shared folder and read again as the next one's docs.  All but the last return the
 columns of `documents`; the last adds `mix_copies`, how often the mix uses a document.
-A learned score has no SQL, so ORACLE_SQL is None; tests hold each stage against brute force.
+A learned score has no SQL, so ORACLE_SQL is None.  tests/llm holds line dedup, near dedup and
+decontamination against brute force, mixing against a plain loop and toxicity against labels
+it hasn't seen; the run as a whole is only tested to give rows within its bounds.
+
+In every stage: null and empty texts are documents without words, lines or hits; a null
+doc_id is kept until mixing; rows that repeat a doc_id are judged as the stage's operator
+says; an empty table gives an empty table; other columns may have any name and stay.
 """
 
 from __future__ import annotations
@@ -20,12 +26,12 @@ from glyphmark.llm.toxicity import drop_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score 0.5 or more."""
+    """Rejects documents that score 0.5 or more; null and empty texts score as texts without hits, repeated rows one by one."""
     return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops frequent lines; n_chars follows the text."""
+    """Drops frequent lines; n_chars follows the text.  A null text stays null; rows that repeat a doc_id count as one document."""
     out = drop_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -34,17 +40,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five words, 0.8)."""
+    """Keeps one document of each group of near copies (five words, 0.8), the smallest doc_id; texts without words and null doc_ids stay, and all rows of a kept doc_id."""
     return keep_representatives(docs, 80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a passage of the benchmark."""
+    """Removes documents that hold a passage of the benchmark; null and empty texts stay, repeated rows are judged one by one."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents towards the sources' target weights."""
+    """Takes documents towards the sources' target weights; those without words are taken 0 times and go, a null source is one of its own."""
     return mix(docs)
 
 
