@@ -1,10 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Substring dedup by factors against an index of reference blocks, after relative Lempel-Ziv.
 
 A reference block is the run of consecutive WINDOW-word windows that share one minimizer
 (the least of their GRAM-word hashes), so equal windows always lie in blocks of an equal
 minimizer, wherever their documents put them.  The index keeps, for each distinct block,
-the place where it occurs first.  A document is parsed greedily: each of its blocks is
-looked up, and neighbouring hits that go on in the same reference are one factor.  A
+the place where it occurs first.  Each block of a document is looked up, and neighbouring
+hits whose first places adjoin are one factor.  This isn't the greedy longest match of a
+true parse, so one long copy may be several factors; what is removed is the same.  A
 block that first occurs here, but whose minimizer also lies in other blocks, is a factor
 boundary: its windows are looked up one by one.  Every factor of at least WINDOW words is
 a duplicate span.  Blocks whose minimizer occurs once in the corpus are never looked up.
@@ -147,14 +148,19 @@ def _parse(keep_text: bool):
 
 def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, tag, pending = (batch.column(k).to_pylist() for k in ("doc", "tag", "pending"))
+        doc, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "tag"))
+        pending = batch.column("pending").to_pylist()
         for c in chunks(batch.column("kept"), False, SPACE):
             h = c.hashes()
             one, two = windows(h, WINDOW, 21), windows(h, WINDOW, 22)
-            for r in range(c.lo, c.hi):
-                at = np.concatenate([np.arange(p >> 4, (p >> 4) + (p & 15)) for p in pending[r]])
-                k = at + c.first[r - c.lo]
-                yield pa.RecordBatch.from_arrays([pa.array(one[k].view(np.int64)), pa.array(two[k].view(np.int64)), pa.array(np.full(len(k), doc[r])), pa.array((tag[r] << 32) | (at << 4) | 1)], names=["one", "two", "doc", "place"])
+            rows = np.repeat(np.arange(c.lo, c.hi), [len(pending[r]) for r in range(c.lo, c.hi)])
+            packed = np.concatenate([np.array(pending[r], np.int64) for r in range(c.lo, c.hi)])
+            count = packed & 15
+            at = np.repeat(packed >> 4, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            row = np.repeat(rows, count)
+            k = at + c.first[row - c.lo]
+            place = (tag[row] << 32) | (at << 4) | 1
+            yield pa.RecordBatch.from_arrays([pa.array(one[k].view(np.int64)), pa.array(two[k].view(np.int64)), pa.array(doc[row]), pa.array(place)], names=["one", "two", "doc", "place"])
 
 
 def _hits(rows: DataFrame, keys: list[str]) -> DataFrame:
