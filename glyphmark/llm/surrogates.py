@@ -281,12 +281,13 @@ def redrawn(docs: DataFrame, key: str) -> DataFrame:
         real = drawn.select(group.alias("g"), F.col("value").alias("s")).distinct()
         taken = drawn.join(real, (group == F.col("g")) & (F.col("surrogate") == F.col("s"))).select("kind", "value")
         clash = stored(twins.unionByName(taken).distinct(), "clashes")
-        if not clash.limit(1).count():
+        left = [(r["kind"], r["n"]) for r in clash.groupBy("kind").agg(F.count("*").alias("n")).collect()]
+        if not left:
             break
         before, entities = entities, stored(entities.join(clash.withColumn("again", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt")), "entities")
         dropped(before, drawn, clash)
     else:
-        raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds: {[(r['kind'], r['n']) for r in clash.groupBy('kind').agg(F.count('*').alias('n')).collect()]}")
+        raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds: {left}")
     return entities.where("attempt > 0")
 
 
