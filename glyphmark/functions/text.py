@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from glyphmark.functions.edits import text_edits, word_edits
+
 #: The characters that count as white space for stripping.
 BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
@@ -32,16 +34,17 @@ def normalize(text: Column) -> Column:
 
 
 def cer(reference: Column, read: Column) -> Column:
-    return F.try_divide(F.levenshtein(reference, read).cast("double"), F.length(reference).cast("double"))
+    return F.try_divide(text_edits(reference, read).cast("double"), F.length(reference).cast("double"))
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def wer(reference: Column, read: Column) -> Column:
-    """Word edits by the words of the reference: each word becomes one character, then levenshtein."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    """Word edits by the words of the reference."""
     r, h = words(reference), words(read)
-    vocabulary = F.array_distinct(F.concat(r, h))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.hex((F.lit(19968) + F.array_position(vocabulary, w)).cast("long"))), "UTF-16BE")), "")
-    return F.try_divide(F.levenshtein(coded(r), coded(h)).cast("double"), F.size(r).cast("double"))
+    return F.try_divide(word_edits(r, h).cast("double"), F.size(r).cast("double"))
 
 
 def abstains(text: Column, marker: str = "<<NOTEXT>>") -> Column:

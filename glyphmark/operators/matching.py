@@ -1,46 +1,46 @@
-"""Pairing predictions with ground truth: box-overlap join and greedy one-to-one assignment.
-
-All pairing is keyed by image, so one shuffle on image_id serves candidates, assignment
-and the anti-joins.  An image's candidates are one small array; the fold over it is
-quadratic in that array only.
-"""
+"""Pairing predictions with ground truth: box-overlap join and greedy one-to-one assignment."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmark.functions.geometry import iou
 from glyphmark.functions.text import normalize
+from glyphmark.operators.assignment import assign, many_edged
+from glyphmark.operators.overlaps import crowded, overlapping
 
 GT = ("g", "token_text", "x0", "y0", "x1", "y1", "label")
 
 
 def candidates(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, g, w, iou and both sides' fields, for pairs of one image at or above the threshold."""
-    a, b = gt.alias("a"), pred.alias("b")
-    overlap = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("a.y1"))
-    on = (F.col("a.image_id") == F.col("b.image_id")) & (iou("a", "b") >= threshold)
-    if threshold > 0:
-        on = on & overlap
-    return a.join(b, on).select(
-        F.col("a.image_id"), F.col("a.g"), F.col("b.w"), iou("a", "b").alias("iou"), F.col("a.token_text"), F.col("a.label"), F.col("b.text"), F.col("b.confidence"),
+    return _candidates(gt, pred, threshold, crowded(gt, pred))
+
+
+def _candidates(gt: DataFrame, pred: DataFrame, threshold: float, crowd: DataFrame | None) -> DataFrame:
+    return overlapping(gt, pred, threshold, crowd).select(
+        "image_id", "a.g", "b.w", "iou", "a.token_text", "a.label", "b.text", "b.confidence",
         F.struct(*[F.col(f"a.{c}") for c in ("x0", "y0", "x1", "y1", "token_text", "label", "g")]).alias("gt_key"),
         F.struct(*[F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1", "text")], F.col("b.confidence").isNull().alias("unsure"), F.coalesce("b.confidence", F.lit(0.0)).alias("sure"), F.col("b.w")).alias("word_key"),
     )
 
 
+def _ranked(found: DataFrame, *carried: str) -> DataFrame:
+    """Best overlap first, ties by content."""
+    rank = F.struct((-F.col("iou")).alias("order"), "gt_key", "word_key")
+    return found.select("image_id", F.col("g").cast("long").alias("g"), F.col("w").cast("long").alias("w"), "iou", *carried, rank.alias("rank"))
+
+
 def greedy(found: DataFrame) -> DataFrame:
-    """image_id, g, w, iou: best overlap first, ties by content; every token and word at most once."""
-    item = F.struct((-F.col("iou")).alias("order"), "gt_key", "word_key", "g", "w", "iou")
-    listed = found.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.array().cast("array<struct<g:bigint,w:bigint,iou:double>>")
+    """image_id, g, w, iou of the pairs taken from candidates; every token and word at most once."""
+    edges = _ranked(found)
+    return assign(edges, many_edged(edges))
 
-    def take(done, x):
-        busy = F.exists(done, lambda m: (m["g"] == x["g"]) | (m["w"] == x["w"]))
-        return F.when(busy, done).otherwise(F.concat(done, F.array(F.struct(x["g"].cast("long").alias("g"), x["w"].cast("long").alias("w"), x["iou"].alias("iou")))))
 
-    return listed.select("image_id", F.explode(F.aggregate("items", none, take)).alias("m")).select("image_id", "m.g", "m.w", "m.iou")
+def match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, *carried: str) -> DataFrame:
+    """The same from both sides, with carried columns of the candidates; images are counted once."""
+    crowd = crowded(gt, pred)
+    return assign(_ranked(_candidates(gt, pred, threshold, crowd), *carried), crowd)
 
 
 def omissions(gt: DataFrame, matches: DataFrame) -> DataFrame:

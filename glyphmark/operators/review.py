@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmark.functions.text import strip
+from glyphmark.operators.assignment import assign
+from glyphmark.operators.overlaps import crowded, overlapping
 from glyphmark.operators.rollup import grouped
 
 #: States of a record, reasons to defer one, labels, group of an unlisted image.
@@ -72,9 +74,6 @@ def seed_quality(diff: DataFrame, by: str) -> DataFrame:
     return grouped(diff, by, *[F.count_if(F.col("change") == c).alias(c) for c in CHANGES])
 
 
-TOKEN = "array<struct<g:bigint,text:string,label:string,x0:double,y0:double,x1:double,y1:double>>"
-
-
 def self_agreement(first: DataFrame, second: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Two rounds' tokens (image_id, g, text, label, x0, y0, x1, y1; the second also state).
 
@@ -84,31 +83,18 @@ def self_agreement(first: DataFrame, second: DataFrame, threshold: float = 0.5)
     image of the second round is undecided: it is listed, and its counts are 0.  A round's
     image without tokens is a row with a null g.
     """
-    listed = lambda rows: F.array_sort(F.filter(F.collect_list(F.struct("g", "text", "label", "x0", "y0", "x1", "y1")), lambda t: t["g"].isNotNull()))
-    a = first.groupBy("image_id").agg(listed(first).alias("a"))
-    b = second.groupBy("image_id").agg(listed(second).alias("b"), F.bool_or(F.col("state") == "deferred").alias("deferred"))
-
-    def overlap(x, y):
-        side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(x[hi], y[hi]) - F.greatest(x[lo], y[lo]))
-        inter = side("x0", "x1") * side("y0", "y1")
-        union = (x["x1"] - x["x0"]) * (x["y1"] - x["y0"]) + (y["x1"] - y["x0"]) * (y["y1"] - y["y0"]) - inter
-        return F.when(union > 0, F.try_divide(inter, union)).otherwise(0.0)
-
-    def step(state, x):
-        free = F.filter("b", lambda y: ~F.array_contains(state["used"], y["g"]) & (overlap(x, y) >= threshold))
-        best = F.array_max(F.transform(free, lambda y: F.struct(overlap(x, y).alias("iou"), y["g"].alias("g"), y["text"].alias("text"), y["label"].alias("label"))))
-        hit = best.isNotNull()
-        more = lambda name, when: (state[name] + F.when(hit & when, 1).otherwise(0)).alias(name)
-        return F.struct(
-            F.when(hit, F.concat(state["used"], F.array(best["g"]))).otherwise(state["used"]).alias("used"),
-            more("texts", ~best["text"].eqNullSafe(x["text"])), more("labels", ~best["label"].eqNullSafe(x["label"])),
-        )
-
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.lit(0).alias("texts"), F.lit(0).alias("labels"))
-    rows = a.join(b, "image_id").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
-    rows = rows.withColumns({c: F.when(F.col("deferred"), F.array().cast(TOKEN)).otherwise(F.col(c)) for c in ("a", "b")})
-    rows = rows.select("image_id", "deferred", F.size("a").alias("n1"), F.size("b").alias("n2"), F.aggregate("a", start, step).alias("s")).withColumn("matched", F.size("s.used"))
-    return rows.select("image_id", "deferred", "matched", F.col("s.texts").alias("text_disagree"), F.col("s.labels").alias("label_disagree"), (F.col("n1") - F.col("matched")).alias("r1_only"), (F.col("n2") - F.col("matched")).alias("r2_only"))
+    decided = second.groupBy("image_id").agg(F.coalesce(F.bool_or(F.col("state") == "deferred"), F.lit(False)).alias("deferred"), F.count("g").alias("n2"))
+    images = first.groupBy("image_id").agg(F.count("g").alias("n1")).join(decided, "image_id")
+    open_images = images.where("NOT deferred").select("image_id")
+    a, b = (rows.where("g IS NOT NULL").join(open_images, "image_id", "left_semi") for rows in (first, second))
+    differ = lambda c: (~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"{c}_differs")
+    g, w = F.col("a.g").cast("long"), F.col("b.g").cast("long")
+    crowd = crowded(a, b)
+    pairs = overlapping(a, b, threshold, crowd).select("image_id", g.alias("g"), w.alias("w"), differ("text"), differ("label"), F.struct(g.alias("first"), (-F.col("iou")).alias("best"), (-w).alias("later")).alias("rank"))
+    found = assign(pairs, crowd).groupBy("image_id").agg(F.count("*").alias("matched"), F.count_if("text_differs").alias("text_disagree"), F.count_if("label_differs").alias("label_disagree"))
+    out = images.join(found, "image_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("int") for c in ("matched", "text_disagree", "label_disagree")})
+    only = lambda n: F.when(F.col("deferred"), 0).otherwise(F.col(n) - F.col("matched")).cast("int")
+    return out.select("image_id", "deferred", "matched", "text_disagree", "label_disagree", only("n1").alias("r1_only"), only("n2").alias("r2_only"))
 
 
 def agreement_totals(agreement: DataFrame) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmark.functions.text import normalize
-from glyphmark.operators.matching import candidates, greedy
+from glyphmark.functions.text import cer, normalize, strip, wer
+from glyphmark.operators.matching import match
 
 
 def matched_tokens(gt: DataFrame, pred: DataFrame, allowed: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Every token with found, exact, allow_listed, confidence of its word."""
-    words = pred.select("image_id", "w", "text", F.col("confidence").alias("word_confidence"))
-    pairs = greedy(candidates(gt, pred, threshold)).join(words, ["image_id", "w"]).select("image_id", "g", "text", "word_confidence", F.lit(True).alias("found"))
+    pairs = match(gt, pred, threshold, "text", "confidence").select("image_id", "g", "text", F.col("confidence").alias("word_confidence"), F.lit(True).alias("found"))
     out = gt.join(pairs, ["image_id", "g"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
     out = out.withColumn("exact", F.col("found") & (normalize(F.col("text")) == normalize(F.col("token_text"))))
     if allowed is None:
@@ -22,15 +21,24 @@ def matched_tokens(gt: DataFrame, pred: DataFrame, allowed: DataFrame | None = N
 
 
 def image_scores(images: DataFrame, tokens: DataFrame, pred: DataFrame) -> DataFrame:
-    """One row per image of the dimension table; an image without tokens is a negative control.  Found and added counts stay apart."""
+    """One row per image of the dimension table; an image without tokens is a negative control.  Found and added counts stay apart.
+
+    cer and wer, a diagnosis and no ranking signal, compare the found tokens, joined in content
+    order, with what was read for them; an image where nothing was found has none.
+    """
     keep = F.col("label") == "KEEP"
     redacted = keep & ~(F.col("exact") & F.col("allow_listed"))
     chars = F.length(normalize(F.col("token_text")))
+    pair = F.struct("x0", "y0", "x1", "y1", "token_text", "label", "g", normalize(F.col("token_text")).alias("want"), normalize(F.col("text")).alias("read"))
     per = tokens.groupBy("image_id").agg(
         F.count("*").alias("gt_total"), F.count_if("found").alias("found_count"), F.count_if(~F.col("found")).alias("omission_count"),
         F.count_if(keep).alias("keep_total"), F.count_if(keep & F.col("exact")).alias("keep_exact_match_count"), F.count_if(redacted).alias("false_redaction_count"),
-        F.sum(F.when(keep, chars)).alias("keep_chars_total"), F.sum(F.when(redacted, chars)).alias("keep_chars_censored"),
+        F.sum(F.when(keep, chars)).alias("keep_chars_total"), F.sum(F.when(redacted, chars)).alias("keep_chars_censored"), F.array_sort(F.collect_list(F.when(F.col("found"), pair))).alias("pairs"),
     )
+    joined = lambda side: strip(F.array_join(F.transform("pairs", lambda p: p[side]), " "))
+    per = per.withColumn("want", joined("want")).withColumn("read", joined("read"))
+    measured = lambda measure: F.when(F.col("want") != "", measure(F.col("want"), F.col("read")))
+    per = per.withColumn("cer", measured(cer)).withColumn("wer", measured(wer)).drop("pairs", "want", "read")
     words = pred.groupBy("image_id").agg(F.count("*").alias("word_total"))
     out = images.join(per, "image_id", "left").join(words, "image_id", "left")
     zero = ("gt_total", "found_count", "omission_count", "keep_total", "keep_exact_match_count", "false_redaction_count", "keep_chars_total", "keep_chars_censored", "word_total")

@@ -27,9 +27,12 @@ per AS (SELECT image_id, count(*) AS gt_total, count(*) FILTER (WHERE found) AS
   count(*) FILTER (WHERE label = 'KEEP' AND exact) AS keep_exact_match_count, count(*) FILTER (WHERE label = 'KEEP' AND NOT (exact AND allow_listed)) AS false_redaction_count,
   sum(length(token_text)) FILTER (WHERE label = 'KEEP') AS keep_chars_total, sum(length(token_text)) FILTER (WHERE label = 'KEEP' AND NOT (exact AND allow_listed)) AS keep_chars_censored FROM tok GROUP BY image_id),
 wc AS (SELECT image_id, count(*) AS n FROM pred GROUP BY image_id),
-sc AS (SELECT images.*, coalesce(gt_total, 0) AS gt_total, coalesce(found_count, 0) AS found_count, coalesce(omission_count, 0) AS omission_count, coalesce(keep_total, 0) AS keep_total, coalesce(keep_exact_match_count, 0) AS keep_exact_match_count,
+texts AS (SELECT image_id, string_agg(token_text, ' ' ORDER BY x0, y0, x1, y1, token_text, label, g) AS ref, string_agg(text, ' ' ORDER BY x0, y0, x1, y1, token_text, label, g) AS hyp FROM tok WHERE found GROUP BY image_id),
+coded AS (SELECT *, string_split(ref, ' ') AS r, string_split(hyp, ' ') AS h, list_distinct(string_split(ref || ' ' || hyp, ' ')) AS v FROM texts),
+edits AS (SELECT image_id, levenshtein(ref, hyp) / length(ref) AS cer, levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(33 + list_position(v, x) AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(33 + list_position(v, x) AS INTEGER))), '')) / len(r) AS wer FROM coded),
+sc AS (SELECT images.*, cer, wer, coalesce(gt_total, 0) AS gt_total, coalesce(found_count, 0) AS found_count, coalesce(omission_count, 0) AS omission_count, coalesce(keep_total, 0) AS keep_total, coalesce(keep_exact_match_count, 0) AS keep_exact_match_count,
   coalesce(false_redaction_count, 0) AS false_redaction_count, coalesce(keep_chars_total, 0) AS keep_chars_total, coalesce(keep_chars_censored, 0) AS keep_chars_censored, coalesce(n, 0) - coalesce(found_count, 0) AS added_count, gt_total IS NULL AS negative_control
-  FROM images LEFT JOIN per USING (image_id) LEFT JOIN wc USING (image_id)),
+  FROM images LEFT JOIN per USING (image_id) LEFT JOIN wc USING (image_id) LEFT JOIN edits USING (image_id)),
 scores AS (SELECT *, CASE WHEN negative_control THEN added_count ELSE 0 END AS floor_count, keep_total > 0 AND keep_exact_match_count = keep_total AS keep_exact_match_all FROM sc)"""
 P95 = "(CASE WHEN len(e) = 1 THEN e[1] WHEN len(e) > 1 THEN (e[j] * (100 - (95 * (len(e) + 1) - 100 * j)) + e[j + 1] * (95 * (len(e) + 1) - 100 * j)) / 100 END)"
 
@@ -58,19 +61,19 @@ def iou_candidates(spark, d):
 
 @register("greedy_match", f"WITH RECURSIVE {MATCHES} SELECT image_id, g, w, iou FROM matches")
 def greedy_match(spark, d):
-    return matching.greedy(matching.candidates(fx.gt_tokens(spark, d), fx.predictions(spark, d)))
+    return matching.match(fx.gt_tokens(spark, d), fx.predictions(spark, d))
 
 
 @register("omissions", f"WITH RECURSIVE {MATCHES} SELECT image_id, g, token_text, label FROM gt ANTI JOIN matches USING (image_id, g)")
 def omissions(spark, d):
     gt = fx.gt_tokens(spark, d)
-    return matching.omissions(gt, matching.greedy(matching.candidates(gt, fx.predictions(spark, d)))).select("image_id", "g", "token_text", "label")
+    return matching.omissions(gt, matching.match(gt, fx.predictions(spark, d))).select("image_id", "g", "token_text", "label")
 
 
 @register("hallucinations", f"WITH RECURSIVE {MATCHES} SELECT image_id, w, text, confidence FROM pred ANTI JOIN matches USING (image_id, w)")
 def hallucinations(spark, d):
     pred = fx.predictions(spark, d)
-    return matching.hallucinations(pred, matching.greedy(matching.candidates(fx.gt_tokens(spark, d), pred))).select("image_id", "w", "text", "confidence")
+    return matching.hallucinations(pred, matching.match(fx.gt_tokens(spark, d), pred)).select("image_id", "w", "text", "confidence")
 
 
 @register("boxfree_match", f"WITH {fx.SQL}, blobs AS (SELECT image_id, string_agg(text, ' ' ORDER BY text, coalesce(confidence, 0), w) AS blob FROM pred GROUP BY image_id) SELECT image_id, g, coalesce(contains(blob, token_text), false) AS found, blob FROM gt LEFT JOIN blobs USING (image_id)")

@@ -50,12 +50,12 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 def score_extra(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") / 1024.0).alias("elapsed"), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_custkey") % 7) / 8.0).alias("verifier_elapsed"), ((F.col("o_custkey") % 11) / 64.0).alias("cost"), F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_custkey") % 8) / 8.0).alias("cer"), F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_custkey") % 16) / 8.0).alias("wer"))
+    return o.select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") / 1024.0).alias("elapsed"), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_custkey") % 7) / 8.0).alias("verifier_elapsed"), ((F.col("o_custkey") % 11) / 64.0).alias("cost"))
 
 
 #: The same relations for the SQL side.
 SQL = """images AS (SELECT o_orderkey AS image_id, 1024 AS w, 768 AS h, c_mktsegment AS stratum, o_orderpriority AS modality, n_name AS vendor, CAST(o_orderkey % 60 AS INTEGER) AS frame_idx,
-  o_custkey / 1024.0 AS elapsed, CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey % 7) / 8.0 END AS verifier_elapsed, (o_custkey % 11) / 64.0 AS cost, CASE WHEN o_orderkey % 4 <> 0 THEN (o_custkey % 8) / 8.0 END AS cer, CASE WHEN o_orderkey % 4 <> 0 THEN (o_custkey % 16) / 8.0 END AS wer FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  o_custkey / 1024.0 AS elapsed, CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey % 7) / 8.0 END AS verifier_elapsed, (o_custkey % 11) / 64.0 AS cost FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 slots AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS slot FROM lineitem),
 boxed AS (SELECT *, x0 + q * 4 AS x1, y0 + 24 AS y1 FROM (SELECT l_orderkey AS image_id, slot, l_partkey AS part, l_returnflag AS flag, CAST(l_quantity AS DOUBLE) AS q,
   CASE WHEN l_suppkey % 17 <> 0 THEN CAST(l_suppkey % 100 AS DOUBLE) / 100 END AS confidence, CAST((slot - 1) % 4 * 240 + 20 AS DOUBLE) AS x0, CAST((slot - 1) * 30 + 10 AS DOUBLE) AS y0 FROM slots)),
