@@ -98,35 +98,48 @@ def floor_order(events: DataFrame) -> DataFrame:
 class RunLedger:
     """A run's state in its output folder: RUNNING, then COMPLETE with all tables or INCOMPLETE with none.
 
-    A folder that holds anything is refused.  Tables are written beside the folder's end place
-    and moved there together when the run ends well; the state is one small JSON file.
+    A folder that holds anything is refused.  Tables are written to a pending folder, which is renamed to
+    `tables` as a whole when the run ends well and every expected table is there: readers see all or
+    none, whatever stops the run.  A rename that fails leaves the run INCOMPLETE.  The state is one
+    small JSON file; of a failed run it tells which tables were written and which not, and the failure's kind.
     """
 
-    def __init__(self, spark, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark, folder: str, expected: tuple[str, ...] = ()):
+        self.spark, self.folder, self.expected = spark, folder.rstrip("/"), tuple(expected)
         if paths.listed(spark, self.folder):
             raise FileExistsError(f"{folder} is not empty")
-        self.tables: dict[str, str] = {}
+        self.tables: list[str] = []
         self._say("RUNNING")
 
-    def _say(self, status: str) -> None:
-        paths.write_text(self.spark, f"{self.folder}/run_status.json", json.dumps({"status": status, "tables": sorted(self.tables)}, sort_keys=True))
+    def _say(self, status: str, **more) -> None:
+        told = {"status": status, "tables": sorted(self.tables) if status == "COMPLETE" else [], "done": sorted(self.tables), "pending": sorted(set(self.expected) - set(self.tables)), **more}
+        paths.write_text(self.spark, f"{self.folder}/run_status.json", json.dumps(told, sort_keys=True))
 
     def add(self, name: str, rows: DataFrame) -> None:
-        self.tables[name] = f"{self.folder}/_pending/{name}"
-        rows.write.parquet(self.tables[name])
+        rows.write.parquet(f"{self.folder}/_pending/{name}")
+        self.tables.append(name)
+        self._say("RUNNING")
 
     def __enter__(self) -> RunLedger:
         return self
 
     def __exit__(self, kind, error, trace) -> None:
-        if kind is None:
-            for name, path in self.tables.items():
-                paths.move(self.spark, path, f"{self.folder}/{name}")
-        else:
-            self.tables = {}
-        paths.remove(self.spark, f"{self.folder}/_pending")
-        self._say("COMPLETE" if kind is None else "INCOMPLETE")
+        try:
+            if kind is None:
+                absent = sorted(set(self.expected) - set(self.tables))
+                if absent:
+                    raise ValueError(f"tables without a result: {', '.join(absent)}")
+                if self.tables:
+                    paths.move(self.spark, f"{self.folder}/_pending", f"{self.folder}/tables")
+        except Exception as failure:
+            kind = type(failure)
+            raise
+        finally:
+            if kind is None:
+                self._say("COMPLETE")
+            else:
+                paths.remove(self.spark, f"{self.folder}/_pending")
+                self._say("INCOMPLETE", failure=kind.__name__)
 
 
 def collate(spark, folders: list[str]) -> DataFrame:

@@ -50,9 +50,12 @@ def floor_order(spark, d):
 GRID_SQL = ", ".join(f"('{e}', {k}, '{json.dumps(c, sort_keys=True)}')" for e, g in experiments.GRIDS.items() for k, c in enumerate(g))
 
 
-@register("sweep_grid", f"SELECT engine, trial_no, config, substr(sha256(config), 1, 12) AS config_hash FROM (VALUES {GRID_SQL}) g(engine, trial_no, config) WHERE trial_no < 5")
+@register("sweep_grid", f"WITH g AS (SELECT engine, trial_no, config, row_number() OVER (PARTITION BY engine ORDER BY trial_no) - 1 AS k FROM (VALUES {GRID_SQL}) g(engine, trial_no, config)), e AS (SELECT engine, row_number() OVER (ORDER BY engine) - 1 AS k FROM (SELECT DISTINCT engine FROM g)) SELECT engine, trial_no, config, substr(sha256(config), 1, 12) AS config_hash, count(*) AS n_images FROM orders JOIN e ON o_custkey % 3 = e.k JOIN g USING (engine) WHERE g.k < 5 GROUP BY ALL")
 def sweep_grid(spark, d):
-    return experiments.grid(spark, 5)[0]
+    """The trials of each engine within a budget of five, with the images that a development set deals to it."""
+    engines = F.array(*[F.lit(e) for e in sorted(experiments.GRIDS)])
+    images = fx.read(spark, d, "orders").groupBy(F.get(engines, (F.col("o_custkey") % 3).cast("int")).alias("engine")).agg(F.count("*").alias("n_images"))
+    return experiments.grid(spark, 5)[0].join(images, "engine").select("engine", "trial_no", "config", "config_hash", "n_images")
 
 
 @register("render_last_wins", "SELECT o_custkey AS image_id, max(o_orderkey) AS at, arg_max(o_orderpriority, o_orderkey) AS sha256 FROM orders GROUP BY 1")

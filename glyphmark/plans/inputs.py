@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmark.functions.digest import config_digest
+from glyphmark.functions.digest import json_digest
 from glyphmark.functions.text import percent
 from glyphmark.plans import fixtures as fx
 from glyphmark.plans.registry import QUERIES, register
 from glyphmark.sources import csvfiles
 from glyphmark.sources.paths import work_folder
-from glyphmark.streaming import counters
+from glyphmark.streaming import attempts, counters
 
 COLUMNS = ["part_key", "label", "note"]
 #: Lines of a file by p_partkey % 10: 0 blank, 1 short, 2 quotes and a line end, 3 an empty quoted field, else plain.
@@ -46,14 +46,12 @@ def strict_csv_problems(spark, d):
     return problems.select(_file("path"), "row_no", "code")
 
 
-#: The grid of configurations: an engine with a threshold each.
-GRID = [("a", 0.2), ("a", 0.5), ("b", 0.2), ("b", None)]
-GRID_SQL = "VALUES " + ", ".join(f"('{e}', CAST({'NULL' if t is None else t} AS DOUBLE), '{{\"engine\": \"{e}\", \"thr\": {'null' if t is None else t}}}')" for e, t in GRID)
-
-
-@register("config_digest", f"SELECT engine, thr, substr(sha256(config), 1, 12) AS config_hash FROM ({GRID_SQL}) g(engine, thr, config)")
+@register("config_digest", """SELECT p_partkey, substr(sha256('{"engine": "' || p_brand || '", "name": ' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"' || p_type || '"' END || ', "size": ' || p_size || '}'), 1, 12) AS config_hash FROM part""")
 def config_digests(spark, d):
-    return spark.createDataFrame([(e, t, config_digest({"thr": t, "engine": e})) for e, t in GRID], "engine string, thr double, config_hash string")
+    """Configurations as a table tells them, their keys in another order than the digest's."""
+    name = F.when(F.col("p_partkey") % 3 != 0, F.col("p_type"))
+    told = F.to_json(F.struct(F.col("p_size").alias("size"), name.alias("name"), F.col("p_brand").alias("engine")), {"ignoreNullFields": "false"})
+    return fx.read(spark, d, "part").select("p_partkey", json_digest(told).alias("config_hash"))
 
 
 @register("report_table_c", "WITH " + fx.SQL + """, b AS (SELECT image_id, true AS is_gt, part % 9 <> 0 AS seen, false AS made FROM gt UNION ALL SELECT image_id, false, false, part % 4 = 0 FROM boxed WHERE image_id % 5 = 0)
@@ -86,3 +84,29 @@ def pending_work(spark, d):
     wanted = fx.read(spark, d, "orders").select(k.alias("image_id"), F.lit("engine-2").alias("engine"))
     done = fx.read(spark, d, "orders").where(k % 3 != 0).select(k.alias("image_id"), F.when(k % 7 == 0, "engine-1").otherwise("engine-2").alias("engine"))
     return counters.pending(wanted, done, "image_id", "engine", True).select("image_id")
+
+
+#: An attempt fails where its event has no value or is an error; its provenance is the kind of event.
+ATTEMPTS_SQL = """a AS (SELECT user_id, event_id AS seq, event_type AS provenance, CASE WHEN event_type = 'error' OR event_id % 3 = 0 THEN 'E' || event_id % 5 END AS error FROM events),
+k AS (SELECT user_id, count(*) AS attempts, count(error) AS failures, arg_max(provenance, seq) FILTER (WHERE error IS NULL) AS provenance, max(seq) FILTER (WHERE error IS NULL) AS result_seq, arg_max(error, seq) FILTER (WHERE error IS NOT NULL) AS error, max(seq) FILTER (WHERE error IS NOT NULL) AS error_seq FROM a GROUP BY user_id)"""
+
+
+def _tracked(spark, d):
+    """The events as a stream of attempts, tracked until none is left."""
+    folder, seq = work_folder(spark, "attempts"), F.col("event_id")
+    stream = spark.readStream.schema(fx.read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    error = F.when((F.col("event_type") == "error") | (seq % 3 == 0), F.concat(F.lit("E"), (seq % 5).cast("string")))
+    attempts.track(stream.select("user_id", seq.cast("long").alias("seq"), F.col("event_type").alias("provenance"), error.alias("error")), folder, "user_id").awaitTermination()
+    return attempts.latest(spark, folder, "user_id", stream.schema["user_id"].dataType.simpleString())
+
+
+@register("attempt_status", f"WITH {ATTEMPTS_SQL} SELECT * FROM k")
+def attempt_status(spark, d):
+    return _tracked(spark, d)
+
+
+@register("attempt_pending", f"WITH {ATTEMPTS_SQL} SELECT user_id FROM k WHERE provenance IS NULL OR provenance <> 'purchase'")
+def attempt_pending(spark, d):
+    """What a rerun under one provenance that overwrites has to do: items without a result, and those made under another."""
+    wanted = fx.read(spark, d, "events").select("user_id", F.lit("purchase").alias("provenance")).distinct()
+    return attempts.pending(wanted, _tracked(spark, d), "user_id", True).select("user_id")

@@ -166,10 +166,9 @@ def control_boxes(spark, d):
 
 @register("read_axis_split", WITH + " SELECT image_id, count(*) FILTER (WHERE is_gt AND r <> '') AS found, count(*) FILTER (WHERE is_gt AND r = '') AS omitted, count(*) FILTER (WHERE NOT is_gt AND r <> '') AS invented FROM (SELECT image_id, true AS is_gt, CASE WHEN part % 9 = 0 THEN '' ELSE token_text END AS r FROM gt UNION ALL SELECT image_id, false, CASE WHEN part % 4 = 0 THEN 'z' ELSE '' END FROM boxed WHERE image_id % 5 = 0) GROUP BY image_id")
 def read_axis_split(spark, d):
-    gt = fx.gt_tokens(spark, d).select("image_id", F.lit(True).alias("is_gt"), F.when(F.col("part") % 9 == 0, " \t").otherwise(F.col("token_text")).alias("r"))
-    control = fx.read(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("image_id"), F.lit(False).alias("is_gt"), F.when(F.col("l_partkey") % 4 == 0, "z").otherwise("").alias("r"))
-    rows = gt.unionByName(control).withColumn("read", text.normalize(F.col("r")) != "")
-    return rows.groupBy("image_id").agg(F.count_if(F.expr("is_gt AND read")).alias("found"), F.count_if(F.expr("is_gt AND NOT read")).alias("omitted"), F.count_if(F.expr("NOT is_gt AND read")).alias("invented"))
+    gt = fx.gt_tokens(spark, d).select("image_id", F.lit(True).alias("is_gt"), F.when(F.col("part") % 9 == 0, " \t").otherwise(F.col("token_text")).alias("read"))
+    control = fx.read(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("image_id"), F.lit(False).alias("is_gt"), F.when(F.col("l_partkey") % 4 == 0, "z").otherwise("").alias("read"))
+    return reading.axis_split(gt.unionByName(control))
 
 
 @register("reader_floor", WITH + " SELECT count(*) AS crops, count(*) FILTER (WHERE part % 4 = 0) AS inventions, count(*) FILTER (WHERE part % 4 = 0) / count(*) AS per_crop, count(*) FILTER (WHERE part % 4 = 0) / count(DISTINCT image_id) AS per_image FROM boxed WHERE image_id % 5 = 0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmark.operators import experiments, groundtruth, manifests, review, sampling, selection
+from glyphmark.operators import experiments, groundtruth, manifests, reconcile, review, sampling, selection
 from glyphmark.plans import fixtures as fx
 from glyphmark.plans.evaluation import PAIRS
 from glyphmark.plans.registry import register
@@ -77,8 +77,7 @@ def _series(spark, d):
 
 def _excluded(spark, d):
     o = fx.read(spark, d, "orders").select(F.concat(F.lit(" s"), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("series_uid"), "o_orderkey")
-    lists = o.where("o_orderkey % 6 = 1").unionByName(o.where("o_orderkey % 6 IN (1, 2)"))
-    return lists.select(F.trim("series_uid").alias("uid")).where("uid <> ''").distinct()
+    return reconcile.excluded([o.where("o_orderkey % 6 = 1"), o.where("o_orderkey % 6 IN (1, 2)")]).select(F.col("series_uid").alias("uid"))
 
 
 @register("excluded_keys", f"WITH {SERIES} SELECT uid FROM ex")

@@ -93,11 +93,18 @@ def test_run_ledger(spark, tmp_path):
     with experiments.RunLedger(spark, good) as run:
         run.add("t", rows)
         assert json.loads((tmp_path / "good/run_status.json").read_text())["status"] == "RUNNING"
-    assert spark.read.parquet(f"{good}/t").count() == 1
+        assert not (tmp_path / "good/tables").exists()
+    assert spark.read.parquet(f"{good}/tables/t").count() == 1
     with pytest.raises(RuntimeError), experiments.RunLedger(spark, bad) as run:
         run.add("t", rows)
         raise RuntimeError("stop")
-    assert not (tmp_path / "bad/t").exists() and not (tmp_path / "bad/_pending").exists()
+    assert not (tmp_path / "bad/tables").exists() and not (tmp_path / "bad/_pending").exists()
+    told = json.loads((tmp_path / "bad/run_status.json").read_text())
+    assert (told["done"], told["failure"]) == (["t"], "RuntimeError")
+    with pytest.raises(ValueError, match="without a result: u"), experiments.RunLedger(spark, str(tmp_path / "short"), ("t", "u")) as run:
+        run.add("t", rows)
+    told = json.loads((tmp_path / "short/run_status.json").read_text())
+    assert (told["status"], told["tables"], told["done"], told["pending"]) == ("INCOMPLETE", [], ["t"], ["u"]) and not (tmp_path / "short/tables").exists()
     with pytest.raises(FileExistsError):
         experiments.RunLedger(spark, good)
     (tmp_path / "odd").mkdir()
@@ -178,3 +185,14 @@ def test_run_report_has_its_blocks_and_notes(spark):
     row = summary.where("grp = 'ALL'").first()
     assert (row.cost_sum, row.cer_mean, row.wer_mean, row.n_cer_images, row.char_censor_rate) == (0.25, 0.5, None, 1, 0.0)
     assert "VOID" in documents.ground_truth_facts("b", "a") and "VOID" not in documents.ground_truth_facts("a", "a")
+
+
+def test_a_failed_rename_leaves_an_incomplete_run(spark, tmp_path, monkeypatch):
+    def fail(*_):
+        raise OSError("no rename")
+
+    folder = tmp_path / "run"
+    with pytest.raises(OSError, match="no rename"), experiments.RunLedger(spark, str(folder)) as run:
+        run.add("t", spark.range(1))
+        monkeypatch.setattr(experiments.paths, "move", fail)
+    assert json.loads((folder / "run_status.json").read_text())["status"] == "INCOMPLETE" and not (folder / "_pending").exists()
