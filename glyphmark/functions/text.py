@@ -1,10 +1,10 @@
-"""Text measures as column expressions; NFC is the one pandas UDF, skipped for ASCII."""
+"""Text measures as column expressions; NFC is an Arrow UDF, skipped for ASCII."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -15,9 +15,14 @@ from glyphmark.functions.edits import text_edits, word_edits
 BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def _composed(texts: pa.Array) -> pa.Array:
+    """Each different text once; Arrow's own kernel leaves letters and their marks apart, so it can't be used."""
+    coded = texts.dictionary_encode()
+    words = [w if unicodedata.is_normalized("NFC", w) else unicodedata.normalize("NFC", w) for w in coded.dictionary.to_pylist()]
+    return pa.array(words, pa.string()).take(coded.indices)
+
+
+_nfc = F.arrow_udf(_composed, StringType())
 
 
 def strip(text: Column) -> Column:
@@ -28,9 +33,14 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
+def nfc(text: Column) -> Column:
+    """Only texts that aren't ASCII leave the JVM."""
+    return F.when(is_ascii(text), text).otherwise(_nfc(F.when(~is_ascii(text), text)))
+
+
 def normalize(text: Column) -> Column:
     """NFC, then stripped of white space; case stays."""
-    return strip(F.when(is_ascii(text), text).otherwise(_nfc(text)))
+    return strip(nfc(text))
 
 
 def cer(reference: Column, read: Column) -> Column:

@@ -78,7 +78,8 @@ def hallucinations(spark, d):
 
 @register("boxfree_match", f"WITH {fx.SQL}, blobs AS (SELECT image_id, string_agg(text, ' ' ORDER BY text, coalesce(confidence, 0), w) AS blob FROM pred GROUP BY image_id) SELECT image_id, g, coalesce(contains(blob, token_text), false) AS found, blob FROM gt LEFT JOIN blobs USING (image_id)")
 def boxfree_match(spark, d):
-    return matching.boxfree(fx.gt_tokens(spark, d), fx.predictions(spark, d))
+    pred = fx.predictions(spark, d)
+    return matching.boxfree(fx.gt_tokens(spark, d), pred).join(matching.blobs(pred), "image_id", "left")
 
 
 COUNTS = ("gt_total", "found_count", "omission_count", "keep_total", "keep_exact_match_count", "false_redaction_count", "added_count", "floor_count")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmark.functions import cost, geometry, text
-from glyphmark.operators import manifests, ocrseeds, reading, reconcile, review, rollup
+from glyphmark.operators import manifests, ocrseeds, reading, reconcile, review, rollup, sets
 from glyphmark.plans import fixtures as fx
 from glyphmark.plans.registry import register
 
@@ -252,8 +252,7 @@ def box_geometry(spark, d):
 
 @register("set_hash", WITH + " SELECT stratum, sha256(string_agg(image_id || chr(10), '' ORDER BY CAST(image_id AS VARCHAR))) AS digest FROM images GROUP BY stratum")
 def set_hash(spark, d):
-    ids = F.array_sort(F.collect_list(F.col("image_id").cast("string")))
-    return fx.images(spark, d).groupBy("stratum").agg(F.sha2(F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("digest"))
+    return sets.set_digest(fx.images(spark, d), "stratum").drop("n")
 
 
 @register("linear_window", "SELECT p_partkey, array_to_string(list_transform([p_partkey % 300, p_partkey % 700, p_partkey % 50], lambda x: CAST(round_even(greatest(0, least(255, (x - 40) / 400.0 * 255)), 0) AS INTEGER)), ',') AS pixels FROM part")
