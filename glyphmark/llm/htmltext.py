@@ -7,7 +7,7 @@ ratio of its rates inside and outside as its cost.  At most about MAX_TRAIN page
 for that, picked by a hash of page_id; SEED_PAGES stands for pages labelled beforehand.  One
 linear scan (Kadane) finds the best region; menus, notices, forms, comments and the like
 inside it are left out by the same weights.  A class speaks only if all its words are known
-("cookie-notice", not "notice-board"), and classes of inline elements in an article don't.
+("cookie-notice", not "notice-board"); ids and the classes of inline elements in an article don't.
 Time and memory are linear in the page, however broken it is.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
@@ -39,11 +39,11 @@ RAW = frozenset("script style textarea title noscript template iframe svg select
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Elements and class words of what is no main text, and of what is; each stands for so many labelled words.
 SEED_PAGES = {
-    False: "tag:nav tag:aside tag:footer tag:form tag:dialog tag:menu is:ad is:ads is:advert is:advertisement is:sponsor is:sponsored is:promo is:cookie is:cookies is:consent is:gdpr is:notice is:banner is:alert is:menu is:nav is:navbar is:navigation is:sidebar is:aside is:widget is:comment is:comments is:disqus is:replies is:respond is:related is:recommended is:share is:social is:footer is:breadcrumb is:breadcrumbs is:popup is:modal is:overlay is:newsletter is:subscribe is:signup is:login is:search is:pagination is:toolbar is:masthead is:copyright is:complementary is:contentinfo".split(),
+    False: "tag:nav tag:aside tag:footer tag:form tag:dialog tag:menu is:ad is:ads is:advert is:advertisement is:sponsor is:sponsored is:promo is:cookie is:cookies is:consent is:gdpr is:notice is:banner is:alert is:menu is:nav is:navbar is:navigation is:sidebar is:aside is:widget is:comment is:comments is:feedback is:disqus is:replies is:respond is:related is:recommended is:share is:social is:footer is:breadcrumb is:breadcrumbs is:popup is:modal is:overlay is:newsletter is:subscribe is:signup is:login is:search is:pagination is:toolbar is:masthead is:copyright is:complementary is:contentinfo".split(),
     True: "tag:article tag:main is:article is:main is:content is:post is:entry is:story".split(),
 }
 #: Words of a class that say nothing by themselves; a class speaks only if all its words are known.
-GENERIC = frozenset("area block body box container inner item items list outer page section site slot text top bottom left right wrap wrapper".split())
+GENERIC = frozenset("area block body box container inner item items list outer page reader readers section site slot text thread top bottom left right user wrap wrapper".split())
 SEED_WORDS = 2000
 #: What a tag costs where no labelled page tells, and the labelled tags that this stands for.
 TAG_COST, LINE_TAG_COST, SEED_TAGS = -0.3, -0.05, 50
@@ -57,8 +57,17 @@ _WORD = re.compile(r"[a-z]+")
 _NAME = re.compile(r"[a-zA-Z][^\s/><]*")
 #: What follows a tag's name: quotes count only after an equals sign; a tag also ends where another begins.  No step is taken back.
 _TAIL = re.compile(r"(?>[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+")
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: One attribute: its name and its value in double, single or no quotes.  No step is taken back.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))?)?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Values by lower-cased name; of a name that comes twice the first counts, as in browsers."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 class Element:
@@ -68,18 +77,20 @@ class Element:
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         own = (f"tag:{name}",)
-        marked = False
-        if "=" in attributes and (name not in INLINE or not (parent and parent.inside)):
-            for m in _MARK.finditer(attributes):
-                for token in (m[1] or m[2] or m[3] or "").lower().split():
-                    words = _WORD.findall(token)
-                    own += (f"class:{token}",)
-                    if all(w in _KNOWN or w in GENERIC for w in words):
-                        own += tuple(f"is:{w}" for w in words if w in _KNOWN)
-                    marked = marked or token == "main" and m[0][:4].lower() == "role"
+        within = bool(parent and parent.inside)
+        has = attributes_of(attributes) if attributes else {}
+        roles = has.get("role", "").lower().split()
+        # An id inside an article is an anchor, and an inline element's class there is its looks.
+        said = [] if within and name in INLINE else [*has.get("class", "").lower().split(), *roles, *([] if within else has.get("id", "").lower().split())]
+        for token in said:
+            words = _WORD.findall(token)
+            own += (f"class:{token}",)
+            if all(w in _KNOWN or w in GENERIC for w in words):
+                own += tuple(f"is:{w}" for w in words if w in _KNOWN)
         self.name, self.parent, self.own = name, parent, own
-        self.inside = marked or name in ("article", "main") or bool(parent and parent.inside)
-        self.hidden = bool(parent and parent.hidden) or ("hidden" in attributes or "display" in attributes.lower()) and bool(_HIDDEN.search(attributes))
+        self.inside = within or "main" in roles or name in ("article", "main")
+        unseen = "hidden" in has or has.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(has.get("style", "")))
+        self.hidden = unseen or bool(parent and parent.hidden)
         self.state = self.new = None
 
 

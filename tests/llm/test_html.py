@@ -68,3 +68,22 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark):
     assert sorted(r.n_chars for r in got) == [0, 0, 0, 4, len(body.strip())]
     nulls = df.limit(0).unionByName(spark.createDataFrame([(None,) * 5] * 3, df.schema))
     assert [r.text for r in htmltext.extract_pages(nulls, htmltext.train(nulls)).collect()] == ["", "", ""]
+
+
+@pytest.mark.parametrize("second", ['<p title="the hidden gem is here">', '<p data-id="menu">', '<div data-role="banner">', '<h2 id="search">', '<h2 id="related">', '<section id="comments">', '<p data-note="display: none">', "<p title='class=\"menu\"'>", '<p id=footer data-hidden="1">', '<p aria-hidden=false>'])
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<div>", "</div>")])
+def test_attributes_that_say_nothing_take_no_text(second, tags):
+    if tags[0] == "<div>" and " id=" in second:
+        pytest.skip("an id outside an article is evidence")
+    page = f"<body>{tags[0]}<p>First part of the story as it was told.</p>{second}Second paragraph must stay.</p>{tags[1]}"
+    assert htmltext.extract(page, PLAIN) == "First part of the story as it was told.\nSecond paragraph must stay."
+
+
+@pytest.mark.parametrize("piece", ['<div class="feedback-thread">', '<div class="reader-comments">', "<div hidden>", '<div style="color:red; DISPLAY : none">', "<div aria-hidden='true'>", '<div role="navigation">', "<div HIDDEN=''>"])
+def test_comments_and_hidden_parts_of_an_article_go(piece):
+    page = f"<body><article><p>First part of the story as it was told.</p>{piece}I was there, too.</div><p>The end of it.</p></article>"
+    assert htmltext.extract(page, PLAIN) == "First part of the story as it was told.\nThe end of it."
+
+
+def test_attributes_are_read_by_name_and_value():
+    assert htmltext.attributes_of(""" CLASS = "a b" id=x data-id='menu' hidden title="it's class=c" class=d/""") == {"class": "a b", "id": "x", "data-id": "menu", "hidden": "", "title": "it's class=c"}
