@@ -63,6 +63,21 @@ def abstains(text: Column, marker: str = "<<NOTEXT>>") -> Column:
     return F.lower(F.regexp_replace(bare, r"\s+", "")) == marker.lower()
 
 
+def rounded(x: Column, places: int) -> Column:
+    """The binary value to so many decimals, half to even only where it is exactly between."""
+    scale = float(10**places)
+    big = x * 134217729.0
+    high = big - (big - x)
+    product = x * scale
+    # What the product lost in rounding, exactly.
+    lost = (high * scale - product) + (x - high) * scale
+    below = F.floor(product).cast("double")
+    over = product - below
+    up = (over > 0.5) | (over == 0.5) & ((lost > 0) | (lost == 0) & (below % 2 != 0))
+    # From 2^52 units on there is nothing between them.
+    return F.when(F.abs(x) < 2.0**52 / scale, (below + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
+
+
 def percent(x: Column, missing: str = "—") -> Column:
     """Two decimals, half to even; the formatter by itself rounds half up."""
     return F.when(x.isNull(), missing).otherwise(F.format_string("%.2f%%", F.rint(x * 100 * 100) / 100))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmark.functions import cost, geometry, text
-from glyphmark.operators import manifests, ocrseeds, reading, reconcile, review, rollup, sets
+from glyphmark.functions import cost, geometry, ids, text
+from glyphmark.operators import heights, manifests, ocrseeds, reading, reconcile, review, rollup, sets
 from glyphmark.plans import fixtures as fx
 from glyphmark.plans.registry import register
 
@@ -56,7 +56,7 @@ def bench_reader(spark, d):
 @register("image_id_hash", "SELECT o_orderkey, substr(sha256('s' || o_orderkey || '|' || o_orderkey % 60), 1, 8) AS hashed FROM orders")
 def image_id_hash(spark, d):
     k = F.col("o_orderkey")
-    return fx.read(spark, d, "orders").select("o_orderkey", F.substring(F.sha2(F.concat_ws("|", F.concat(F.lit("s"), k.cast("string")), (k % 60).cast("string")), 256), 1, 8).alias("hashed"))
+    return fx.read(spark, d, "orders").select("o_orderkey", ids.image_id(F.concat(F.lit("s"), k.cast("string")), k % 60).alias("hashed"))
 
 
 SIZES = "z AS (SELECT p_partkey, 100 + p_partkey % 1500 AS w, 100 + p_partkey * 7 % 1100 AS h FROM part)"
@@ -122,8 +122,10 @@ def fmt_rate(spark, d):
 def config_label(spark, d):
     k = F.col("p_partkey")
     arm = F.concat(F.lit("e"), (k % 4).cast("string"), F.when(k % 2 == 0, ":stock").otherwise(":tuned"))
-    knob = F.when(k % 3 == 0, 0.7).when(k % 3 == 1, 0.2).otherwise(0.5)
-    return fx.read(spark, d, "part").select("p_partkey", F.split_part(arm, F.lit(":"), F.lit(1)).alias("engine"), F.split_part(arm, F.lit(":"), F.lit(2)).alias("variant"), F.when(knob == 0.7, "stock").when(knob == 0.2, "thr0.2").otherwise("tuned").alias("config_id"))
+    knob = lambda stock: F.when(k % 3 == 0, stock).when(k % 3 == 1, ids.SHIPPED).otherwise(0.5)
+    engine, variant = ids.arm_parts(arm)
+    label = ids.config_label(knob(ids.LIBRARY_TEXT), knob(ids.LIBRARY_LOW), F.lit(ids.LINK))
+    return fx.read(spark, d, "part").select("p_partkey", engine.alias("engine"), variant.alias("variant"), label.alias("config_id"))
 
 
 @register("manifest_project", "SELECT sha256('s' || o_orderkey) AS series_uid, o_orderpriority AS modality, c_mktsegment AS stratum, n_name AS vendor, CAST(o_orderkey % 60 AS INTEGER) AS frame_idx FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -154,6 +156,20 @@ def gt_geometry(spark, d):
     return rollup.grouped(rows, "stratum", F.median("height").alias("median_height"), F.count("*").alias("n"))
 
 
+@register("control_heights", WITH + ", m AS (SELECT stratum, median(y1 - y0 + part % 7) AS own FROM gt JOIN images USING (image_id) WHERE stratum <> 'MACHINERY' GROUP BY stratum) SELECT image_id, coalesce(own, (SELECT median(y1 - y0 + part % 7) FROM gt JOIN images USING (image_id) WHERE stratum <> 'MACHINERY')) AS box_height FROM images LEFT JOIN m USING (stratum) WHERE image_id % 5 = 0")
+def control_heights(spark, d):
+    """Blank images with the height of their control boxes; a stratum without tokens takes the height of all."""
+    images = fx.images(spark, d).select("image_id", "stratum")
+    tokens = fx.gt_tokens(spark, d).join(images.where("stratum <> 'MACHINERY'"), "image_id").select("stratum", "y0", (F.col("y1") + F.col("part") % 7).alias("y1"))
+    return heights.control_heights(images.where("image_id % 5 = 0"), tokens).select("image_id", "box_height")
+
+
+@register("rounded_geometry", WITH + ", h AS (SELECT stratum, x1 - x0 + part % 9 / 16.0 AS v FROM gt JOIN images USING (image_id)) SELECT stratum, CAST(round_even(CAST(quantile_disc(v, 0.5) AS DECIMAL(38, 18)), 1) AS DOUBLE) AS p50, CAST(round_even(CAST(quantile_disc(v, 0.9) AS DECIMAL(38, 18)), 1) AS DOUBLE) AS p90 FROM h GROUP BY stratum")
+def rounded_geometry(spark, d):
+    rows = fx.gt_tokens(spark, d).join(fx.images(spark, d).select("image_id", "stratum"), "image_id")
+    return heights.nearest_rank(rows, "stratum", F.col("x1") - F.col("x0") + F.col("part") % 9 / 16.0, {"p50": 0.5, "p90": 0.9})
+
+
 ANCHOR_SQL = "(VALUES " + ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(geometry.ANCHORS[:4])) + ") AS a(box_no, fx, fy)"
 
 
