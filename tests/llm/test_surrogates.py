@@ -73,3 +73,85 @@ def test_long_texts_take_linear_time():
 
     took(1000)
     assert took(40_000) < 12 * max(took(8_000), 0.02)
+
+
+WHOLE = [
+    ("Mr. Juan Carlos García López Ruiz left", ["Juan", "Carlos", "García", "López", "Ruiz"]), ("Mr. Karl von der Heide left", ["Karl", "Heide"]), ("Mr. von der Heide left", ["Heide"]),
+    ("Herr Dr. Müller kam", ["Müller"]), ("Frau Prof. Dr. med. Ute Sommer kam", ["Ute", "Sommer"]), ("Sra. Ana de la Cruz vino", ["Ana", "Cruz"]), ("Dr.Jekyll", ["Jekyll"]),
+    ("call +49 (0)30 123456 now", ["30 123456"]), ("call (020) 7946 0958 now", ["7946 0958"]), ("card 3782 822463 10005", ["822463", "10005"]), ("电话13812345678号", ["13812345678"]),
+    ("my name is anna schmidt", ["anna", "schmidt"]), ("my name is anna and I live here", ["anna"]), ("from O'Brien@example.com", ["Brien", "O'"]), ("https://user:pass@host.com/x", ["user", "pass"]),
+    ("Anna Schmidt came. Anna left, Schmidt's car and ANNA stayed.", ["Anna", "ANNA", "Schmidt"]), ("+1 743 555 3824 2024 12 31", ["555 3824"]),
+]
+
+
+@pytest.mark.parametrize(("text", "gone"), WHOLE)
+def test_the_whole_of_an_entity_goes(text, gone):
+    new, _ = surrogates.replace(text, {}, "k")
+    assert not [x for x in gone if x in new], new
+
+
+def test_what_stands_around_an_entity_stays():
+    new = surrogates.replace("Herr Dr. Müller kam, Mr. Karl von der Heide, +49 (0)30 123456, mailto:a.b@c.org", {}, "k")[0]
+    assert re.fullmatch(r"Herr Dr\. \w+ kam, Mr\. \w+ von der \w+, \+49 \(0\)\d\d \d{6}, mailto:\w\.\w@\w\.org", new)
+    assert surrogates.replace("Mr. Young came. Young people like it, said Young.", {}, "k")[0].count("Young") == 1
+    for text in ("my name is not important", "in 2024 (12) 34 of 5678", "sum 1+2 +3 and x+45", "ids 20240102030 and a13812345678"):
+        assert surrogates.replace(text, {}, "k") == (text, [])
+
+
+SPELLINGS = [
+    ("phone", ["+1 743 555 3824", "+17435553824", "+1 (743) 555-3824", "+1.743.555.3824"]), ("phone", ["+49 (0)30 123456", "+49 30 123456", "+4930123456"]),
+    ("email", ["a.b@mail.example.org", "A.B@Mail.Example.org"]), ("card", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]),
+    ("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]), ("ip6", ["2001:db8::ff00:42:8329", "2001:0DB8:0:0:0:FF00:0042:8329"]), ("family", ["Schmidt", "SCHMIDT", "schmidt"]),
+]
+
+
+@pytest.mark.parametrize(("kind", "values"), SPELLINGS)
+def test_one_entity_has_one_surrogate_however_it_is_spelled(kind, values):
+    for attempt in (0, 3, 9):
+        new = [surrogates.surrogate(kind, v, "k", attempt) for v in values]
+        assert len({surrogates.plain(kind, v) for v in new}) == 1 and len(set(new)) == len(new)
+        for v, n in zip(values, new, strict=True):
+            assert n != v and surrogates.plain(kind, n) != surrogates.plain(kind, v)
+            if kind not in ("family",) and attempt == 0:
+                assert [c.isalnum() for c in n] == [c.isalnum() for c in v]
+        if kind != "family":
+            assert [(v, k) for v, k in ((new[0][s:e], k) for s, e, k in surrogates.find(new[0]))] == [(new[0], kind)]
+
+
+def test_work_tables_hold_no_clear_value_and_go(spark, monkeypatch):
+    from glyphmark.llm.common import shared_dir
+
+    seen = []
+    kept = surrogates.stored
+    monkeypatch.setattr(surrogates, "stored", lambda df, name: seen.append(kept(df, name)) or seen[-1])
+    removed = surrogates.dropped
+    contents = []
+    monkeypatch.setattr(surrogates, "dropped", lambda *dfs: (contents.extend(str(r) for df in dfs for r in df.collect()), removed(*dfs)))
+    df = spark.createDataFrame([(k, f"Mr. {n} Quillfeder wrote quill{k}@example.com") for k, n in enumerate(["Adam", "Bruno", "Carl"])], "doc_id long, text string")
+    assert surrogates.pseudonymize(df, "k").count() == 3
+    assert contents and not [c for c in contents if re.search("quill|adam|bruno", c, re.I)]
+    paths = [t.stored_at.removeprefix("file:") for t in seen]
+    import os
+
+    assert shared_dir(spark) and not [p for p in paths if os.path.exists(p)]
+
+
+def test_kinds_against_a_plain_search_over_the_corpus(spark):
+    rng = random.Random(5)
+    made = {
+        "phone": [f"+{c} {rng.randint(20, 99)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}" for c in (1, 44, 49, 351) for _ in range(60)],
+        "email": ["".join(rng.choice("abc") for _ in range(3)) + f"@{rng.choice('xyz')}.org" for _ in range(150)],
+        "card": [f"4{rng.randint(10**14, 10**15 - 1)}" for _ in range(60)],
+        "ssn": [f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" for _ in range(60)],
+        "ip": [".".join(str(rng.randint(1, 254)) for _ in range(4)) for _ in range(60)],
+        "iban": [f"DE{rng.randint(10, 99)}{rng.randint(10**17, 10**18 - 1)}" for _ in range(60)],
+    }
+    rows = [(kind, v) for kind, values in made.items() for v in values]
+    df = spark.createDataFrame([(k, f"see {v} here") for k, (_, v) in enumerate(rows)], "doc_id long, text string")
+    new = {r.doc_id: r.text[4:-5] for r in surrogates.pseudonymize(df, "k").collect()}
+    for kind, values in made.items():
+        mapped = {}
+        for k, (other, v) in enumerate(rows):
+            if other == kind:
+                assert mapped.setdefault(v, new[k]) == new[k]
+        assert set(mapped) == set(values) and len(set(mapped.values())) == len(mapped) and not set(mapped.values()) & set(mapped)
