@@ -4,7 +4,9 @@ Each Arrow batch of documents is a shard.  Its words become codes of the benchma
 vocabulary (a word the benchmark lacks is a terminator, since no match can hold it),
 the suffixes long enough to hold a benchmark window are sorted, and every benchmark
 suffix is binary-searched in that array.  The range found has all its occurrences
-and their places; adjacent windows on one diagonal join to the longest verbatim match.
+and their places.  The longest verbatim match with an item is the longest run of a
+document's windows that is also one of the item's: a suffix automaton of the item's windows
+finds it in one pass, however often words repeat in either.
 
 The benchmark is a stated query set.  It is read in blocks of at most `block_words`
 words, each broadcast by itself, so a broadcast never grows with the data; several
@@ -32,13 +34,15 @@ WIDTH = 10
 BLOCK_WORDS = 2_000_000
 #: Words of a batch that are sorted together at most, apart from one longer document.
 SHARD_WORDS = 4_000_000
+#: States of the items' automata that a task keeps for the next documents.
+AUTOMATON_STATES = 500_000
 
 
 class BenchmarkBlock:
     """Vocabulary, distinct windows and their items, of at most about BLOCK_WORDS words."""
 
     def __init__(self, ids: list, texts: list, width: int):
-        self.width = width
+        self.width, self.ids = width, ids
         parts, item_of = [], []
         for c in chunks(pa.array(texts, pa.large_string()), True, ALNUM):
             h = c.hashes()
@@ -61,8 +65,8 @@ class BenchmarkBlock:
             places.append(np.arange(len(m)))
         self.shortest = min((int(x[0]) for x in lengths), default=width)
         if not keys:
-            self.keys = self.lengths = self.items = self.places = np.zeros(0, int)
-            self.first = np.zeros(1, int)
+            self.keys = self.lengths = self.items = self.rows = self.sequence = np.zeros(0, int)
+            self.first = self.begins = np.zeros(1, int)
             return
         flat = np.ascontiguousarray(np.concatenate(keys).astype(">u4")).view(f"S{4 * width}").ravel()
         lengths, owners, places = np.concatenate(lengths), np.concatenate(owners), np.concatenate(places)
@@ -72,9 +76,16 @@ class BenchmarkBlock:
         new[1:] = (flat[1:] != flat[:-1]) | (lengths[1:] != lengths[:-1])
         at = np.flatnonzero(new)
         self.keys, self.lengths = flat[at], lengths[at]
-        self.first = np.append(at, len(flat))
-        self.items = np.array(ids, np.int64)[owners[order]]
-        self.places = places[order]
+        # Each window's item rows, each once; each row's windows in order of their places.
+        window = np.cumsum(new) - 1
+        owners, places = owners[order], places[order]
+        once = np.ones(len(flat), bool)
+        once[1:] = new[1:] | (owners[1:] != owners[:-1])
+        self.rows = owners[once]
+        self.first = np.searchsorted(window[once], np.arange(len(at) + 1))
+        self.items = np.array(ids, np.int64)[self.rows]
+        by_row = np.lexsort((places, owners))
+        self.sequence, self.begins = window[by_row], np.searchsorted(owners[by_row], np.arange(len(ids) + 1))
         after = np.full((len(at), width), 0xFFFFFFFF, ">u4")
         head = np.arange(width)[None, :] < self.lengths[:, None]
         after[head] = np.ascontiguousarray(np.frombuffer(b"".join(k.ljust(4 * width, b"\0") for k in self.keys), ">u4").reshape(-1, width))[head]
@@ -131,21 +142,79 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[int]:
     return out
 
 
-def _longest(pos: np.ndarray, win: np.ndarray, block: BenchmarkBlock, origin: int) -> list[dict]:
-    """For each item its longest verbatim match in one document, and the place."""
+class Automaton:
+    """The suffix automaton of a sequence: all its runs, and where each first ends."""
+
+    def __init__(self, sequence: list[int]):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.size, self.end = [-1], [0], [-1]
+        last = 0
+        for k, w in enumerate(sequence):
+            new = self._state({}, self.size[last] + 1, k)
+            p, last = last, new
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = new
+                p = self.link[p]
+            if p < 0:
+                self.link[new] = 0
+                continue
+            q = self.next[p][w]
+            if self.size[q] != self.size[p] + 1:
+                twin = self._state(dict(self.next[q]), self.size[p] + 1, self.end[q])
+                self.link[twin] = self.link[q]
+                self.link[q] = twin
+                while p >= 0 and self.next[p].get(w) == q:
+                    self.next[p][w] = twin
+                    p = self.link[p]
+                q = twin
+            self.link[new] = q
+
+    def _state(self, following: dict[int, int], size: int, end: int) -> int:
+        self.next.append(following)
+        self.link.append(-1)
+        self.size.append(size)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def longest(self, pos: list[int], win: list[int]) -> tuple[int, int, int]:
+        """(windows, first position, place in the sequence) of the longest run of win on adjacent positions; the first of equal ones."""
+        best, state, size, last = (0, 0, 0), 0, 0, -2
+        for p, w in zip(pos, win, strict=True):
+            if p != last + 1:
+                state = size = 0
+            while state and w not in self.next[state]:
+                state = self.link[state]
+                size = self.size[state]
+            if w in self.next[state]:
+                state, size = self.next[state][w], size + 1
+            if size > best[0]:
+                best = (size, p - size + 1, self.end[state] - size + 1)
+            last = p
+        return best
+
+
+def _longest(pos: np.ndarray, win: np.ndarray, block: BenchmarkBlock, origin: int, automata: dict[int, Automaton]) -> list[dict]:
+    """For each item its longest verbatim match in one document, and the place; pos is in order."""
     best: dict[int, tuple[int, int, int]] = {}
-    open_runs: dict[tuple[int, int], tuple[int, int]] = {}
-    order = np.argsort(pos, kind="stable")
-    for p, w in zip(pos[order].tolist(), win[order].tolist(), strict=True):
-        size = int(block.lengths[w])
-        for k in range(int(block.first[w]), int(block.first[w + 1])):
-            item, place = int(block.items[k]), int(block.places[k])
-            begun, last = open_runs.get((item, place - p), (p, p - 1))
-            begun = begun if last == p - 1 else p
-            open_runs[item, place - p] = (begun, p)
-            length = p - begun + size
-            if length > best.get(item, (0,))[0]:
-                best[item] = (length, begun - origin, place - (p - begun))
+    used, which = np.unique(win, return_inverse=True)
+    counts = block.first[used + 1] - block.first[used]
+    rows = np.concatenate([block.rows[block.first[w] : block.first[w + 1]] for w in used])
+    order = np.argsort(rows, kind="stable")
+    rows, holds = rows[order], np.repeat(np.arange(len(used)), counts)[order]
+    by_window = np.argsort(which, kind="stable")
+    edges = np.searchsorted(which[by_window], np.arange(len(used) + 1))
+    for mine in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1):
+        row = int(rows[mine[0]])
+        at = np.sort(np.concatenate([by_window[edges[u] : edges[u + 1]] for u in holds[mine]]))
+        if row not in automata:
+            if sum(len(x.end) for x in automata.values()) > AUTOMATON_STATES:
+                automata.clear()
+            automata[row] = Automaton(block.sequence[block.begins[row] : block.begins[row + 1]].tolist())
+        n, begun, place = automata[row].longest(pos[at].tolist(), win[at].tolist())
+        found = (n - 1 + int(block.lengths[used[holds[mine[0]]]]), begun - origin, place)
+        item = int(block.ids[row])
+        if found[0] > best.get(item, (0,))[0]:
+            best[item] = found
     return [{"item_id": i, "doc_start": d, "item_start": s, "n_words": n} for i, (n, d, s) in sorted(best.items())]
 
 
@@ -182,7 +251,7 @@ FOUND = "n_words long, hit_intervals array<long>, items array<long>, matches arr
 
 def _annotate(block_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = block_bc.value
+        block, automata = block_bc.value, {}
         for batch in batches:
             n = batch.num_rows
             words, hits, items, spans = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
@@ -192,7 +261,7 @@ def _annotate(block_bc):
                     hits[r] = _merged(pos - origin, pos - origin + block.lengths[win])
                     w = np.unique(win)
                     items[r] = np.unique(np.concatenate([block.items[block.first[k] : block.first[k + 1]] for k in w])).tolist()
-                    spans[r] = _longest(pos, win, block, origin)
+                    spans[r] = _longest(pos, win, block, origin, automata)
             before = dict(zip(batch.schema.names, batch.columns, strict=True))
             if "hit_intervals" in before:
                 for name, new in (("hit_intervals", hits), ("items", items), ("matches", spans)):
