@@ -13,8 +13,13 @@ linear in its output.
 
 The bounds are exact for any data; how much they prune depends on it.  For vectors spread
 evenly over many dimensions hardly any cell can be left out, and the work is that of all
-blocks against all blocks.  There are at most MAX_PIVOTS cells (their pivots are broadcast),
-so beyond about MAX_PIVOTS * CELL_ROWS vectors the blocks of one cell add to that, too.
+blocks against all blocks.  There are at most about MAX_PIVOTS cells of at most PIVOT_BYTES
+in all (their pivots are broadcast), so beyond about MAX_PIVOTS * CELL_ROWS vectors the
+blocks of one cell add to that, too.
+
+Vectors of all lengths go through the same jobs.  A length whose vectors fit one block is one
+group, without pivots; the others have cells of their own.  The driver holds only what is
+counted of those: at most one row for each CELL_BYTES of vectors.
 
 Equal vectors are one class from the start.  Vectors that are null, empty, zero, or hold
 null, NaN or infinite components link with nothing, nor do vectors of another length.  A
@@ -25,11 +30,13 @@ one node.  Only `vec_id` and `embedding` are read; other columns may have any na
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +47,8 @@ from glyphmark.llm.textcore import mix
 CELL_ROWS, MAX_PIVOTS, GUESTS = 6000, 16_384, 4
 #: Bytes of a block's vectors; long vectors make smaller blocks.
 CELL_BYTES = 16 << 20
+#: Bytes of all pivots at most; they are broadcast.
+PIVOT_BYTES = 32 << 20
 #: Rows whose distances to all pivots are held at once.
 AT_ONCE = 256
 SLACK = 1e-9
@@ -62,15 +71,46 @@ def _bytes(x: np.ndarray) -> pa.Array:
 
 
 def _assign(pivots_bc):
+    """Cell and distance of each vector; cell -1 where its length fits one block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = pivots_bc.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(lo, AT_ONCE)
-                x = _matrix(part.column("v"), pivots.shape[1])
-                d = _distances(x, pivots)
-                cell = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), _bytes(x)], names=["rep", "n", "cell", "distance", "unit_vector"])
+            for size, rows in _by_size(batch, pc.list_value_length(batch.column("v"))):
+                for lo in range(0, rows.num_rows, AT_ONCE):
+                    part = rows.slice(lo, AT_ONCE)
+                    x, pivots = _matrix(part.column("v"), size), pivots_bc.value.get(size)
+                    if pivots is None:
+                        cell, distance = np.full(len(x), -1), np.zeros(len(x))
+                    else:
+                        d = _distances(x, pivots)
+                        cell = d.argmin(axis=1)
+                        distance = d[np.arange(len(x)), cell]
+                    yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), pa.array(np.full(len(x), size, np.int32)), pa.array(cell.astype(np.int32)), pa.array(distance), _bytes(x)], names=["rep", "n", "size", "cell", "distance", "unit_vector"])
+
+    return run
+
+
+def _by_size(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[tuple[int, pa.RecordBatch]]:
+    sizes = sizes.to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        yield int(size), batch.take(pa.array(np.flatnonzero(sizes == size)))
+
+
+@dataclass
+class One:
+    """The layout of one length, as its own broadcast would hold it."""
+
+    value: Any
+
+
+def _each_size(step: Callable, layouts_bc):
+    """Runs a step that knows one length on the rows of each length, and puts the length beside its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, rows in _by_size(batch, batch.column("size")):
+                for out in step(One(layouts_bc.value.get(size)))(iter([rows])):
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, size, np.int32))], names=[*out.schema.names, "size"])
 
     return run
 
@@ -136,6 +176,10 @@ def _deal(layout_bc):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lay: Layout = layout_bc.value
         for batch in batches:
+            if lay is None:
+                alone = [pa.array(np.full(batch.num_rows, -1, np.int32)), pa.array(np.zeros(batch.num_rows, np.int32)), pa.array(np.ones(batch.num_rows, bool))]
+                yield pa.RecordBatch.from_arrays([*alone, *(batch.column(c) for c in ("rep", "n", "unit_vector"))], names=["block", "chunk", "resident", "rep", "n", "unit_vector"])
+                continue
             for part, x, cell in _parts(batch):
                 draw = mix(part.column("rep").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 home = lay.first[cell] + (draw % lay.blocks[cell].astype(np.uint64)).astype(int)
@@ -205,24 +249,50 @@ def _join(cosine: float):
     return run
 
 
-def _range_join(classes: DataFrame, size: int, rows: int, cosine: float) -> DataFrame:
+def _wanted(sizes: list[tuple[int, int]]) -> dict[int, float]:
+    """(length, rows) of lengths beyond one block: the share of rows to take as pivots, which together keep to MAX_PIVOTS and PIVOT_BYTES."""
+    pivots = {size: 4 * (rows // cell_rows(size)) for size, rows in sizes}
+    total, weight = sum(pivots.values()), sum(8 * size * n for size, n in pivots.items())
+    part = min(1.0, MAX_PIVOTS / max(1, total), PIVOT_BYTES / max(1, weight))
+    return {size: part * pivots[size] / rows for size, rows in sizes}
+
+
+def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots of each length beyond one block: rows of the smallest hashes; any one vector where the share gives none."""
+    spark, size = classes.sparkSession, F.size("v").alias("size")
+    room = F.greatest(F.lit(cell_rows(1 << 40)), F.least(F.lit(cell_rows(1)), F.floor(F.lit(CELL_BYTES) / (8 * F.col("size")))))
+    big = classes.groupBy(size).agg(F.count("*").alias("rows")).where(F.col("rows") > room).collect()
+    if not big:
+        return {}
+    shares = _wanted([(r["size"], r["rows"]) for r in big])
+    of = F.broadcast(spark.createDataFrame(list(shares.items()), "size int, share double"))
+    draw = (F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    picked = classes.select(size, "rep", "v").join(of, "size").where(draw < F.col("share")).select("size", "rep", "v").toArrow().sort_by("rep")
+    out = {}
+    for n in shares:
+        mine = picked.filter(pc.equal(picked.column("size"), n)).column("v").combine_chunks()
+        out[n] = _matrix(mine, n) if len(mine) else np.eye(1, n)
+    return out
+
+
+def _range_join(classes: DataFrame, cosine: float) -> DataFrame:
     """(a, b null, n): links of class a found by one task; (a, b, 0): an edge of the forest."""
-    context = classes.sparkSession.sparkContext
-    mine = classes.where(F.size("v") == size)
-    wanted = min(MAX_PIVOTS, max(1, 4 * (rows // cell_rows(size))))
-    picked = mine.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").collect()
-    pivots = _matrix(pa.array([r["v"] for r in picked], pa.list_(pa.float64())), size)
-    placed = stored(mine.select("rep", "n", "v").mapInArrow(_assign(context.broadcast(pivots)), "rep long, n long, cell int, distance double, unit_vector binary"), "cells")
-    counts, radii = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("d")).collect():
-        counts[r["cell"]], radii[r["cell"]] = r["n"], r["d"]
-    layout = Layout(pivots, counts, radii, math.sqrt(2 - 2 * cosine) + SLACK)
-    visitors = np.zeros(len(pivots), np.int64)
-    for r in placed.mapInArrow(_count_visits(context.broadcast(layout)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        visitors[r["cell"]] = r["n"]
-    layout.expect(visitors)
-    dealt = placed.mapInArrow(_deal(context.broadcast(layout)), "block int, chunk int, resident boolean, rep long, n long, unit_vector binary")
-    return dealt.groupBy("block", "chunk").applyInArrow(_join(cosine), "a long, b long, n long")
+    context, pivots = classes.sparkSession.sparkContext, _pivots(classes)
+    placed = stored(classes.select("rep", "n", "v").mapInArrow(_assign(context.broadcast(pivots)), "rep long, n long, size int, cell int, distance double, unit_vector binary"), "cells")
+    reach = math.sqrt(2 - 2 * cosine) + SLACK
+    layouts = {}
+    if pivots:
+        counts, radii, visitors = ({size: np.zeros(len(p), kind) for size, p in pivots.items()} for kind in (np.int64, float, np.int64))
+        for r in placed.where("cell >= 0").groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("distance").alias("d")).collect():
+            counts[r["size"]][r["cell"]], radii[r["size"]][r["cell"]] = r["n"], r["d"]
+        layouts = {size: Layout(p, counts[size], radii[size], reach) for size, p in pivots.items()}
+        counted = placed.where("cell >= 0").mapInArrow(_each_size(_count_visits, context.broadcast(layouts)), "cell int, n long, size int")
+        for r in counted.groupBy("size", "cell").agg(F.sum("n").alias("n")).collect():
+            visitors[r["size"]][r["cell"]] = r["n"]
+        for size, layout in layouts.items():
+            layout.expect(visitors[size])
+    dealt = placed.mapInArrow(_each_size(_deal, context.broadcast(layouts)), "block int, chunk int, resident boolean, rep long, n long, unit_vector binary, size int")
+    return dealt.groupBy("size", "block", "chunk").applyInArrow(_join(cosine), "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
@@ -231,9 +301,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     sound = F.expr("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("v", F.when(sound, F.col("v")))
     classes = stored(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
-    sizes = classes.groupBy(F.size("v").alias("size")).count().collect()
-    empty = classes.sparkSession.createDataFrame([], "a long, b long, n long")
-    found = stored(reduce(DataFrame.unionByName, [_range_join(classes, r["size"], r["count"], cosine) for r in sizes], empty), "links")
+    found = stored(_range_join(classes, cosine), "links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     known = classes.join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
