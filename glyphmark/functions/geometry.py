@@ -12,9 +12,9 @@ ANCHORS = ((0.02, 0.02), (0.98, 0.02), (0.02, 0.98), (0.98, 0.98), (0.50, 0.02),
 CONTROL_ASPECT, CONTROL_FRACTION, CONTROL_MIN_HEIGHT = 6.0, 0.035, 16.0
 
 
-def iou(a: str, b: str) -> Column:
-    """Intersection over union of the boxes a.x0.. and b.x0..; 0 where the union is not positive, null for a null box."""
-    c = lambda t, k: F.col(f"{t}.{k}")
+def iou(a: str | Column, b: str | Column) -> Column:
+    """Intersection over union of the boxes a.x0.. and b.x0.. (of a relation's name or a struct); 0 where the union is not positive, null for a null box."""
+    c = lambda t, k: F.col(f"{t}.{k}") if isinstance(t, str) else t[k]
     span = lambda lo, hi: F.when(c(a, lo).isNotNull() & c(b, lo).isNotNull(), F.greatest(F.lit(0.0), F.least(c(a, hi), c(b, hi)) - F.greatest(c(a, lo), c(b, lo))))
     inter = span("x0", "x1") * span("y0", "y1")
     area = lambda t: (c(t, "x1") - c(t, "x0")) * (c(t, "y1") - c(t, "y0"))

@@ -7,7 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from glyphmark.functions.edits import text_edits, word_edits
 
@@ -22,7 +22,12 @@ def _composed(texts: pa.Array) -> pa.Array:
     return pa.array(words, pa.string()).take(coded.indices)
 
 
+def _composed_lists(lists: pa.Array) -> pa.Array:
+    return pa.array([None if texts is None else _composed(pa.array(texts, pa.string())).to_pylist() for texts in lists.to_pylist()], pa.list_(pa.string()))
+
+
 _nfc = F.arrow_udf(_composed, StringType())
+_nfc_lists = F.arrow_udf(_composed_lists, ArrayType(StringType()))
 
 
 def strip(text: Column) -> Column:
@@ -43,6 +48,12 @@ def normalize(text: Column) -> Column:
     return strip(nfc(text))
 
 
+def normalize_all(texts: Column) -> Column:
+    """The same of each text of an array, by one call a list."""
+    plain = is_ascii(F.array_join(texts, ""))
+    return F.transform(F.when(plain, texts).otherwise(_nfc_lists(F.when(~plain, texts))), strip)
+
+
 def cer(reference: Column, read: Column) -> Column:
     return F.try_divide(text_edits(reference, read).cast("double"), F.length(reference).cast("double"))
 

@@ -10,7 +10,7 @@ task.  There are as many rounds as the longest chain of ever better edges: a few
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmark.sources.paths import remove, work_folder
@@ -27,11 +27,17 @@ def folded(edges: DataFrame) -> DataFrame:
     listed = edges.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", row.alias("row")))).alias("items"))
     kind = listed.schema["items"].dataType.elementType["row"].dataType.simpleString()
 
+    return listed.select("image_id", F.explode(taken("items", kind, lambda item: item["row"])).alias("m")).select("image_id", "m.*")
+
+
+def taken(items, kind: str, row) -> Column:
+    """row(item), of type `kind` with g and w, of the items of a sorted array whose ends are free when it is their turn."""
+
     def take(done, item):
-        busy = F.exists(done, lambda m: (m["g"] == item["row"]["g"]) | (m["w"] == item["row"]["w"]))
-        return F.when(busy, done).otherwise(F.concat(done, F.array(item["row"])))
+        busy = F.exists(done, lambda m: (m["g"] == row(item)["g"]) | (m["w"] == row(item)["w"]))
+        return F.when(busy, done).otherwise(F.concat(done, F.array(row(item))))
 
-    return listed.select("image_id", F.explode(F.aggregate("items", F.array().cast(f"array<{kind}>"), take)).alias("m")).select("image_id", "m.*")
+    return F.aggregate(items, F.array().cast(f"array<{kind}>"), take)
 
 
 def in_rounds(edges: DataFrame) -> DataFrame:

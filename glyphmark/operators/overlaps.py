@@ -28,12 +28,18 @@ SIDES = (("x0", "x1"), ("y0", "y1"))
 def crowded(left: DataFrame, right: DataFrame) -> DataFrame | None:
     """image_id of the images above FEW or MANY boxes, written once; None if there are none."""
     n, m = (rows.groupBy("image_id").agg(F.count("*").alias(c)) for rows, c in ((left, "n"), (right, "m")))
-    path = work_folder(left.sparkSession, "crowded")
-    n.join(m, "image_id").where((F.col("n") > FEW) | (F.col("m") > MANY)).select("image_id").write.parquet(path)
-    found = left.sparkSession.read.schema(left.select("image_id").schema).parquet(path)
+    return crowded_by(n.join(m, "image_id"))
+
+
+def crowded_by(counts: DataFrame) -> DataFrame | None:
+    """The same from image_id, n and m, the boxes of either side."""
+    spark = counts.sparkSession
+    path = work_folder(spark, "crowded")
+    counts.where((F.col("n") > FEW) | (F.col("m") > MANY)).select("image_id").write.parquet(path)
+    found = spark.read.schema(counts.select("image_id").schema).parquet(path)
     if not found.isEmpty():
         return found
-    remove(left.sparkSession, path)
+    remove(spark, path)
     return None
 
 
@@ -50,10 +56,10 @@ def _places(lo: str, hi: str, level: str, reach: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.col(level), F.col(level) + reach), lambda k: F.transform(on(k), lambda at: F.struct(k.alias("level"), at.alias("at")))))
 
 
-def _sound() -> Column:
+def _sound(box: Column | None = None) -> Column:
     ok = F.lit(True)
     for lo, hi in SIDES:
-        side = F.col(hi) - F.col(lo)
+        side = F.col(hi) - F.col(lo) if box is None else box[hi] - box[lo]
         ok = ok & (side > 0) & (side < float("inf"))
     return ok
 
@@ -79,6 +85,21 @@ def tile_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     return met.where(here).select(F.col("a.image_id").alias("image_id"), F.col("a.own").alias("a"), F.col("b.own").alias("b"))
 
 
+def overlaps_of(boxes: Column, others: Column, threshold: float, pair) -> Column:
+    """pair(iou, a, b) for the elements of two arrays of boxes that `overlapping` would pair."""
+    if threshold > 0:
+        boxes = F.filter(boxes, _sound)
+
+    def partners(a: Column) -> Column:
+        near = others
+        if threshold > 0:
+            # Rows of words differ in y, so that side decides first.
+            near = F.filter(others, lambda b: (a["y0"] < b["y1"]) & (b["y0"] < a["y1"]) & (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & _sound(b))
+        return F.filter(F.transform(near, lambda b: pair(iou(a, b), a, b)), lambda p: p["iou"] >= threshold)
+
+    return F.flatten(F.transform(boxes, partners))
+
+
 def overlapping(left: DataFrame, right: DataFrame, threshold: float, crowd: DataFrame | None) -> DataFrame:
     """image_id, a, b, iou of the pairs of one image at or above the threshold; crowd as `crowded` gives it.
 

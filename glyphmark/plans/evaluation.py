@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmark.operators import matching, rollup, scoring
+from glyphmark.operators import matching, overlaps, rollup, scoring
 from glyphmark.plans import fixtures as fx
 from glyphmark.plans.registry import register
 
@@ -47,11 +47,18 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.image_scores(fx.images(spark, d), tokens(spark, d), fx.predictions(spark, d)).join(fx.score_extra(spark, d), "image_id")
+    crowd = overlaps.crowded_by(fx.board_sizes(spark, d))
+    gt = fx.gt_tokens(spark, d)
+    few = gt if crowd is None else gt.join(crowd, "image_id", "left_anti")
+    counts = scoring.board_counts(fx.boards(spark, d, crowd), scoring.unlisted(few, allowlist(gt)))
+    if crowd is not None:
+        many, words = (rows.join(crowd, "image_id", "left_semi") for rows in (gt, fx.predictions(spark, d)))
+        counts = counts.unionByName(scoring.image_counts(scoring.matched_tokens(many, words, allowlist(gt)), words))
+    return scoring.scored(fx.images(spark, d, extra=True), counts)
 
 
 def latencies(spark: SparkSession, d: str) -> DataFrame:
-    return fx.images(spark, d).select("image_id", "stratum").join(fx.score_extra(spark, d), "image_id")
+    return fx.images(spark, d, extra=True).select("image_id", "stratum", "elapsed", "verifier_elapsed")
 
 
 @register("iou_candidates", f"WITH {PAIRS} SELECT image_id, g, w, i / (s - i) AS iou FROM cand")
