@@ -64,3 +64,14 @@ def test_a_text_of_many_candidates_takes_no_quadratic_time(spark):
 
     took(100)
     assert took(20_000) < 40
+
+
+def test_the_language_is_of_all_documents(spark):
+    """More documents than any sample: every word is counted, whatever its row's id."""
+    docs = spark.range(0, 12_000).select(F.lit(None).cast("string").alias("doc_id"), F.concat(F.lit("every "), F.translate(F.format_string("%07d", "id"), "0123456789", "abcdefghij")).alias("text"))
+    once = docs.where("text = 'every aaaaaab'").unionByName(docs.where("text = 'every aaaaaab'")).unionByName(docs)
+    language = secrets.Language.learn(once)
+    assert language.words[:3] == ["every", "aaaaaab", "aaaaaaa"] and len(language.words) == secrets.DICTIONARY
+    # The second letter of a number is always a, so "ya" is no pair and "aa" one of each word.
+    at = lambda pair: language.pairs[37 * (secrets.ALPHABET.index(pair[0]) + 1) + secrets.ALPHABET.index(pair[1]) + 1]
+    assert at("aa") > at("ev") > at("ya")
